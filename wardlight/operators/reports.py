@@ -128,11 +128,12 @@ def recent_runs(log: DataFrame, latest: int = 10) -> DataFrame:
 
 
 def class_overview(log: DataFrame, latest: int | None = 50) -> DataFrame:
-    runs = search_runs(log, None, latest, ["prompt_id"])
-    whole = runs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return runs.groupBy("detection_outcome").agg(
+    """Rows, share and mean length per class.  The total is taken from the grouped rows, so the log is read once."""
+    grouped = search_runs(log, None, latest, ["prompt_id"]).groupBy("detection_outcome").agg(
         F.count(F.lit(1)).alias("n"), F.avg("input_length").alias("_length")
-    ).select(
+    )
+    whole = grouped.agg(F.sum("n").alias("n")).scalar()
+    return grouped.select(
         "detection_outcome",
         "n",
         F.round(F.col("n") / whole * 100.0, 6).alias("percent"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # One phrase per rule class; prompt i is the whole text of document i followed by phrase i % 17.
@@ -43,7 +43,7 @@ def prompts_from(documents: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (i % len(PHRASES) + 1).cast("int"))
 
-    def share(step: int, base: int) -> F.Column:
+    def share(step: int, base: int) -> Column:
         return ((i * step) % base).cast("double") / F.lit(float(base))
 
     return documents.select(
@@ -66,8 +66,17 @@ def prompts_from(documents: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for heavy per-row work when the scan has fewer splits than the cluster has cores.
+
+    A large table has far more splits than cores and is left as it is: no shuffle of texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts_from(table(spark, folder, "documents"))
+    return prompts_from(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,11 +94,15 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Four scores in steps of 1/40 from the digits of event_id, so that all vote layers are reached."""
+    """Four scores from the digits of event_id: steps of 1/40 for even ids, of 1/80 up to 0.5 for odd ids.
+
+    Together they reach every vote layer.
+    """
     i = F.col("event_id")
 
-    def digit(step: int) -> F.Column:
-        return ((F.floor(i / step) * 7 + i) % 41).cast("double") / F.lit(40.0)
+    def digit(step: int) -> Column:
+        part = ((F.floor(i / step) * 7 + i) % 41).cast("double")
+        return part / F.when(i % 2 == 0, 40.0).otherwise(80.0)
 
     return table(spark, folder, "events").select(
         i.alias("prompt_id"),

@@ -173,10 +173,10 @@ decisions AS (SELECT prompt_id, ts, 'ensemble_decision_' || {NAME_STAMP} AS run_
     CASE WHEN early_exit THEN 'early_exit' ELSE 'full_ensemble' END AS decision_type FROM final)"""
 
 
-GRID = """grid AS (SELECT event_id AS prompt_id, ((event_id * 7 + event_id) % 41)::DOUBLE / 40e0 AS keyword_score,
-    (((event_id // 5) * 7 + event_id) % 41)::DOUBLE / 40e0 AS toxic_score,
-    (((event_id // 11) * 7 + event_id) % 41)::DOUBLE / 40e0 AS hate_score,
-    (((event_id // 23) * 7 + event_id) % 41)::DOUBLE / 40e0 AS safety_score,
+GRID = """grid AS (SELECT event_id AS prompt_id, ((event_id * 7 + event_id) % 41)::DOUBLE / CASE WHEN event_id % 2 = 0 THEN 40e0 ELSE 80e0 END AS keyword_score,
+    (((event_id // 5) * 7 + event_id) % 41)::DOUBLE / CASE WHEN event_id % 2 = 0 THEN 40e0 ELSE 80e0 END AS toxic_score,
+    (((event_id // 11) * 7 + event_id) % 41)::DOUBLE / CASE WHEN event_id % 2 = 0 THEN 40e0 ELSE 80e0 END AS hate_score,
+    (((event_id // 23) * 7 + event_id) % 41)::DOUBLE / CASE WHEN event_id % 2 = 0 THEN 40e0 ELSE 80e0 END AS safety_score,
     (['high', 'conservative', 'balanced', 'other'])[event_id % 4 + 1] AS mode FROM events)"""
 GRID_VOTE = GRID + f""",
 {modes_values()},
