@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import fixed_values as V
-from wardlight.functions.text import WILDCARD, any_of, constant, fragments
+from wardlight.functions.text import WILDCARD, any_of, constant, fragments, line_regex
 
 HIGH, PLAIN, DOWN, PATTERN = "high", "plain", "down", "pattern"
-GUARD = 5
+TELLING = 4  # letters from which a word is rare enough to look for
 
 
 @dataclass(frozen=True)
@@ -36,7 +35,7 @@ class RuleSet:
         for word in self.literals:
             kind = DOWN if word in self.down_weighted else HIGH if word in self.high_risk else PLAIN
             out.append((kind, word, [word]))
-        return out + [(PATTERN, "(?d)" + p, fragments(p)) for p in self.patterns]
+        return out + [(PATTERN, line_regex(p), fragments(p)) for p in self.patterns]
 
 
 def grouped_by_anchor(rules: RuleSet) -> list[tuple[str, list[tuple[str, str, list[str]]]]]:
@@ -52,7 +51,7 @@ def grouped_by_anchor(rules: RuleSet) -> list[tuple[str, list[tuple[str, str, li
         sharing: dict[str, list] = {}
         for rule in left:
             own = set(rule[2])
-            shared = {w for part in rule[2] for w in part.replace(WILDCARD, " ").split() if len(w) > 3 or w in own}
+            shared = {w for part in rule[2] for w in part.replace(WILDCARD, " ").split() if len(w) >= TELLING or w in own}
             for word in shared | (own if rule[0] != PATTERN else set()):
                 sharing.setdefault(word, []).append(rule)
         anchor = max(sharing, key=lambda w: (len(sharing[w]), len(w), w))
@@ -62,50 +61,17 @@ def grouped_by_anchor(rules: RuleSet) -> list[tuple[str, list[tuple[str, str, li
     return groups
 
 
-def alternation(words: list[str], guard: int = 0) -> str:
-    """One regex for a list of words none of which starts with another, with shared beginnings written once.
-
-    ``guard`` groups that many first letters behind a look-ahead class, so that a position that starts no word is
-    dismissed after a few class tests.
-    """
-    tails: dict[str, list[str]] = {}
-    for word in sorted(words):
-        tails.setdefault(word[0], []).append(word[1:])
-    branches = {
-        head: re.escape(head) + ("" if rest == [""] else alternation(rest)) for head, rest in tails.items()
-    }
-    if not guard:
-        return "(?:" + "|".join(branches.values()) + ")" if len(branches) > 1 else next(iter(branches.values()))
-    heads = list(branches)
-    groups = [heads[i:i + guard] for i in range(0, len(heads), guard)]
-    return "|".join(
-        "(?=[" + "".join(map(re.escape, g)) + "])(?:" + "|".join(branches[h] for h in g) + ")" for g in groups
-    )
-
-
 def rule_hits(lowered: Column, rules: RuleSet | None = None) -> Column:
-    """Array of the rule structs that hit a lower-cased text.
-
-    One regex pass with a capturing look-ahead lists the shared words that occur, at every position and overlapping;
-    only their groups are then tested rule by rule.
-    """
-    by_word = grouped_by_anchor(rules or RuleSet())
-    starts = [w for w, _ in by_word if not any(o != w and w.startswith(o) for o, _ in by_word)]
+    """Array of the rule structs that hit a lower-cased text column: shared words, then parts, then the rule itself."""
+    kind = "array<struct<kind string, rule string, parts array<string>>>"
     groups = [
-        {
-            "start": next(o for o in starts if word.startswith(o)),
-            "members": [{"kind": k, "rule": r, "parts": p} for k, r, p in members],
-        }
-        for word, members in by_word
+        {"anchor": anchor, "members": [{"kind": k, "rule": rule, "parts": p} for k, rule, p in members]}
+        for anchor, members in grouped_by_anchor(rules or RuleSet())
     ]
-    table = constant(groups, "array<struct<start string, members array<struct<kind string, rule string, parts array<string>>>>>")
-    found = F.regexp_extract_all(lowered, F.lit(f"(?=({alternation(starts, GUARD)}))"), F.lit(1))
-    # transform over a one-element array evaluates the pass once per text instead of once per group
-    near = F.flatten(F.flatten(F.transform(F.array(F.array_distinct(found)), lambda words: F.transform(
-        F.filter(table, lambda g: F.array_contains(words, g["start"])), lambda g: g["members"]
-    ))))
-    present = F.filter(near, lambda r: F.forall(r["parts"], lambda p: F.contains(lowered, p)))
-    return F.filter(present, lambda r: (r["kind"] != PATTERN) | F.rlike(lowered, r["rule"]))
+    table = constant(groups, f"array<struct<anchor string, members {kind}>>")
+    near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(lowered, g["anchor"])), lambda g: g["members"]))
+    present = F.filter(near, lambda m: F.forall(m["parts"], lambda p: F.contains(lowered, p)))
+    return F.filter(present, lambda m: (m["kind"] != PATTERN) | F.rlike(lowered, m["rule"]))
 
 
 def hit_count(hits: Column, kind: str) -> Column:

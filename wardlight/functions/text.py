@@ -7,6 +7,7 @@ fast as the same list spelled out as one generated-code sum of ``contains`` call
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from operator import or_
 
@@ -41,15 +42,27 @@ def fragments(pattern: str) -> list[str]:
     return sorted((part for part in pattern.split(WILDCARD) if part), key=len, reverse=True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Regex search where ``.`` stops at ``\\n`` only.
+def line_regex(pattern: str) -> str:
+    """Java form of an ``a.*b.*c`` search in which ``.`` stops at ``\\n`` only.
 
-    Java's ``.`` also stops at ``\\r``, U+0085, U+2028 and U+2029 unless UNIX_LINES ``(?d)`` is set.  The literal
-    parts are asked for first: ``And`` short-circuits, so the regex engine runs only on the few texts with all of
-    them.
+    Java's ``.`` also stops at ``\\r``, U+0085, U+2028 and U+2029 unless UNIX_LINES ``(?d)`` is set.  The form with
+    one attempt per line start and possessive steps finds the same lines (taking each part at its first place leaves
+    the most room for the next) but never backtracks, so a long line costs linear time.
     """
-    parts = F.forall(strings(fragments(pattern)), lambda f: F.contains(text, f))
-    return parts & text.rlike("(?d)" + pattern)
+    parts = pattern.split(WILDCARD)
+    if all(re.fullmatch(r"[\w ]+", part) for part in parts):
+        return "(?dm)^" + "".join(f"(?>.*?{part})" for part in parts)
+    return "(?d)" + pattern
+
+
+def has_parts(text: Column, pattern: str) -> Column:
+    return F.forall(strings(fragments(pattern)), lambda f: F.contains(text, f))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Regex search.  The literal parts are asked for first: ``And`` short-circuits, so the regex engine runs only on
+    the few texts with all of them."""
+    return has_parts(text, pattern) & text.rlike(line_regex(pattern))
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
