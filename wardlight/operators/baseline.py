@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardlight.operators.dataprep import label_encode, label_map
 from wardlight.operators.evaluation import class_weights, macro_metrics
 from wardlight.operators.ngrams import TfIdf
+from wardlight.session import small_side
 
 INVERSE_STRENGTH = 0.1
 ITERATIONS = 1000
@@ -26,7 +27,7 @@ class Baseline:
         encoded = label_encode(train)
         weights = class_weights(encoded.select("label_id"), "label_id").select("label_id", "weight")
         rows = train.count()
-        weighted = self.features.fit(train).transform(encoded).join(F.broadcast(weights), "label_id")
+        weighted = self.features.fit(train).transform(encoded).join(small_side(weights), "label_id")
         # reg = 1 / (C * total weight); balanced weights sum to the number of rows
         self.model = LogisticRegression(
             featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=ITERATIONS,

@@ -57,30 +57,39 @@ def model_performance(perf: DataFrame, as_of: str, days: int = 7, model_name: st
 
 
 def event_counters(scored: DataFrame) -> DataFrame:
-    """All labelled counters of a scored prompt log in one pass: (metric, model_name, kind) and a count."""
-    flagged, failed = F.col("is_adversarial"), F.col("error")
-    none = F.lit(None).cast("string")
-
-    def tick(metric: str, model: Column, kind: Column, when: Column | None = None) -> Column:
-        row = F.struct(F.lit(metric).alias("metric"), model.alias("model_name"), kind.alias("kind"))
-        return row if when is None else F.when(when, row)
-
-    decider = F.when(failed, "fallback_detector").otherwise("fast_ensemble")
-    ticks = [
-        tick("chat_requests_total", none, none),
-        tick("adversarial_detections_total", decider, none, flagged),
-        tick("safe_prompts_total", none, none, ~flagged),
-        tick("model_inference_errors_total", F.lit("fast_detector"), F.lit("detection_failure"), failed),
+    """All labelled counters of a scored prompt log: (metric, model_name, kind) and a count.
+
+    The label sets are fixed, so all counters are side-by-side conditional counts of one aggregate; the single result
+    row is turned into rows afterwards.  Counters that never fired are left out.
+    """
+    flagged, failed, every = F.col("is_adversarial"), F.col("error"), F.lit(True)
+    counters = [
+        ("chat_requests_total", None, None, every),
+        ("adversarial_detections_total", "fast_ensemble", None, flagged & ~failed),
+        ("adversarial_detections_total", "fallback_detector", None, flagged & failed),
+        ("safe_prompts_total", None, None, ~flagged),
+        ("model_inference_errors_total", "fast_detector", "detection_failure", failed),
     ]
     for model, short in zip(V.COUNTER_MODELS, V.SCORE_NAMES):
-        ticks.append(tick("model_inference_total", F.lit(model), F.lit("fast_detector")))
-        over = F.col(f"{short}_score") > V.MODEL_THRESHOLD
-        ticks.append(tick("adversarial_detections_total", F.lit(model), none, over))
-    return (
-        scored.select(F.explode(F.array_compact(F.array(*ticks))).alias("t"))
-        .groupBy("t.metric", "t.model_name", "t.kind")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        counters.append(("model_inference_total", model, "fast_detector", every))
+        counters.append(("adversarial_detections_total", model, None, F.col(f"{short}_score") > V.MODEL_THRESHOLD))
+    counted = scored.agg(*[F.count_if(when).alias(f"c{i}") for i, (*_, when) in enumerate(counters)])
+    rows = F.inline(F.array(*[
+        F.struct(
+            F.lit(metric).alias("metric"),
+            F.lit(model).cast("string").alias("model_name"),
+            F.lit(kind).cast("string").alias("kind"),
+            F.col(f"c{i}").alias("n"),
+        )
+        for i, (metric, model, kind, _) in enumerate(counters)
+    ]))
+    return counted.select(rows).where(F.col("n") > 0)
+
+
+def failure_counters(chats: DataFrame) -> DataFrame:
+    """Failed chat requests per error type (column ``error_type``, NULL for chats that went through)."""
+    failed = chats.where(F.col("error_type").isNotNull())
+    return failed.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prediction_counters(events: DataFrame) -> DataFrame:

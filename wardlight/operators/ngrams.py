@@ -83,8 +83,6 @@ class TfIdf:
         # The vocabulary is a parameter-bounded list (1000 words by default), so it may come to the driver.
         counts = ngram_counts(train, self.longest, self.stop_words)
         self.vocabulary = sorted(row["gram"] for row in top_ngrams(counts, self.size).collect())
-        context = train.sparkSession.sparkContext
-        assert context is not None
         self.counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="_tf")
         counted = self.counter.transform(self._grams(train))
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf

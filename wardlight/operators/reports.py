@@ -53,22 +53,26 @@ def detection_rate(log: DataFrame, latest: int | None = 100) -> DataFrame:
 
 
 def mechanism_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
-    """Triggers per vote layer and the share of them that ended adversarial; 0 where a layer never fired."""
+    """Triggers per vote layer and the share of them that ended adversarial; 0 where a layer never fired.
+
+    The layers are counted side by side in one aggregate and turned into rows afterwards.
+    """
     runs = search_runs(log, F.col("total_inference_time_ms") > 0, latest)
-    each = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("mechanism"), (F.col(f"voting_{m}") == 1).alias("fired")) for m in LAYERS
+    counts = []
+    for m in LAYERS:
+        fired = F.coalesce(F.col(f"voting_{m}") == 1, F.lit(False))
+        counts += [F.count_if(fired).alias(m), F.count_if(fired & F.col("adversarial")).alias(f"{m}_hits")]
+    each = F.inline(F.array(*[
+        F.struct(
+            F.lit(m.replace("_", " ").title()).alias("mechanism"),
+            F.col(m).alias("triggers"),
+            F.round(
+                F.when(F.col(m) > 0, F.col(f"{m}_hits") / F.col(m) * 100.0).otherwise(0.0), 6
+            ).alias("accuracy"),
+        )
+        for m in LAYERS
     ]))
-    fired = F.coalesce(F.col("m.fired"), F.lit(False))
-    long = runs.select("adversarial", each.alias("m")).groupBy("m.mechanism").agg(
-        F.sum(fired.cast("int")).alias("triggers"),
-        F.sum((fired & F.col("adversarial")).cast("int")).alias("adversarial"),
-    )
-    share = F.when(F.col("triggers") > 0, F.col("adversarial") / F.col("triggers") * 100.0).otherwise(0.0)
-    return long.select(
-        F.initcap(F.replace(F.col("mechanism"), F.lit("_"), F.lit(" "))).alias("mechanism"),
-        "triggers",
-        F.round(share, 6).alias("accuracy"),
-    )
+    return runs.agg(*counts).select(each)
 
 
 def early_exit_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
@@ -128,11 +132,11 @@ def recent_runs(log: DataFrame, latest: int = 10) -> DataFrame:
 
 
 def class_overview(log: DataFrame, latest: int | None = 50) -> DataFrame:
-    """Rows, share and mean length per class.  The total is taken from the grouped rows, so the log is read once."""
+    """Rows, share and mean length per class.  The total is summed over the two grouped rows, so the log is read once."""
     grouped = search_runs(log, None, latest, ["prompt_id"]).groupBy("detection_outcome").agg(
         F.count(F.lit(1)).alias("n"), F.avg("input_length").alias("_length")
     )
-    whole = grouped.agg(F.sum("n").alias("n")).scalar()
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return grouped.select(
         "detection_outcome",
         "n",

@@ -479,6 +479,8 @@ def oracle() -> dict[str, str]:
             FROM ev WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND model_name = 'electra_small' GROUP BY 1""",
         "event_counters": counters(),
         "prediction_counters": f"WITH {EVENTS} SELECT model_name, count(*) AS n FROM ev GROUP BY 1",
+        "failure_counters": """SELECT CASE WHEN user_id % 2 = 0 THEN 'general_error' ELSE 'timeout' END AS error_type,
+            count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1""",
         "latency_histogram": f"""WITH {EVENTS}, {BUCKETS}, sums AS (SELECT model_name, round(sum(latency_s), 6) AS latency_sum,
             count(*) AS latency_count FROM ev GROUP BY 1),
             hist AS (SELECT model_name, le, count(*) FILTER (latency_s <= hi) AS cumulative_count FROM ev, buckets GROUP BY 1, 2)

@@ -483,6 +483,15 @@ def prediction_counters(spark, folder):
     return monitoring.prediction_counters(inputs.model_events(spark, folder))
 
 
+@query
+def failure_counters(spark, folder):
+    """Chats that failed: events of the error type, their error named by the user group."""
+    events = inputs.table(spark, folder, "events").withColumn("error_type", F.when(
+        F.col("event_type") == "error", F.when(F.col("user_id") % 2 == 0, "general_error").otherwise("timeout")
+    ))
+    return monitoring.failure_counters(events)
+
+
 @query
 def latency_histogram(spark, folder):
     return monitoring.latency_histogram(inputs.model_events(spark, folder))
