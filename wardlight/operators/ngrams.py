@@ -14,28 +14,37 @@ LEAK_VOCABULARY, LEAK_NGRAMS = 5000, 3
 BASELINE_VOCABULARY, BASELINE_NGRAMS = 1000, 2
 
 
-def ngrams(text: Column, longest: int, stop_words: list[str] | None = None) -> Column:
-    """Array of all 1..``longest``-grams; stop words are removed before the grams are formed."""
-    tokens = words(text)
+def with_ngrams(df: DataFrame, longest: int, stop_words: list[str] | None = None, text: str = "prompt") -> DataFrame:
+    """Add ``_grams``: all 1..``longest``-grams of the text; stop words are removed before the grams are formed.
+
+    Each length is the previous one zipped with the tokens that follow, in its own projection, so nothing is computed
+    twice.
+    """
+    tokens = words(F.col(text))
     if stop_words:
         tokens = F.filter(tokens, lambda t: ~F.array_contains(strings(stop_words), t))
+    out = df.withColumn("_gram_1", tokens)
+    first = F.col("_gram_1")
+    for k in range(2, longest + 1):
+        count = F.greatest(F.size(first) - (k - 1), F.lit(0))
+        heads, tails = F.slice(F.col(f"_gram_{k - 1}"), 1, count), F.slice(first, F.lit(k), count)
+        out = out.withColumn(f"_gram_{k}", F.zip_with(heads, tails, lambda a, b: F.concat(a, F.lit(" "), b)))
+    lengths = [f"_gram_{k}" for k in range(1, longest + 1)]
+    return out.withColumn("_grams", F.concat(*lengths)).drop(*lengths)
 
-    def of_length(k: int):
-        def build(t: Column) -> Column:
-            last = F.size(t) - (k - 1)
-            spots = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(spots, lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
-        return build
 
-    # transform over a one-element array names the token array once instead of recomputing it per length
-    return F.flatten(F.flatten(F.transform(
-        F.array(tokens), lambda t: F.array(*[of_length(k)(t) for k in range(1, longest + 1)])
-    )))
+def exploded(df: DataFrame, array: str | Column, name: str, *keep: str) -> DataFrame:
+    """One row per array element.
+
+    A plain ``explode`` lets the optimizer infer ``size(array) > 0`` and push it towards the scan, where the whole
+    array expression is computed once more for every row.  The outer form followed by a null test does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def ngram_counts(df: DataFrame, longest: int = LEAK_NGRAMS, stop_words: list[str] | None = None) -> DataFrame:
     """Corpus frequency per n-gram; equal grams combine inside every map task before the shuffle."""
-    grams = df.select(F.explode(ngrams(F.col("prompt"), longest, stop_words)).alias("gram"))
+    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram")
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -51,7 +60,7 @@ def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign"
     Prompts without the gram count as zero in the mean.  One aggregate carries the corpus frequency and both label
     sums, so the text is tokenised and shuffled once.
     """
-    grams = df.select("label", F.explode(ngrams(F.col("prompt"), longest, stop_words)).alias("gram"))
+    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", "label")
     counted = grams.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == first).alias("_a"),
@@ -77,7 +86,7 @@ class TfIdf:
         self.size, self.longest, self.stop_words = size, longest, stop_words
 
     def _grams(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_grams", ngrams(F.col("prompt"), self.longest, self.stop_words))
+        return with_ngrams(df, self.longest, self.stop_words)
 
     def fit(self, train: DataFrame) -> TfIdf:
         # The vocabulary is a parameter-bounded list (1000 words by default), so it may come to the driver.
@@ -100,6 +109,6 @@ class TfIdf:
         """One row per prompt and gram with a weight."""
         pairs = F.arrays_zip(strings(self.vocabulary).alias("gram"), vector_to_array("features").alias("weight"))
         present = F.filter(pairs, lambda p: p["weight"] > 0)
-        return self.transform(df).select(key, F.explode(present).alias("p")).select(
+        return exploded(self.transform(df), present, "p", key).select(
             key, F.col("p.gram").alias("gram"), F.col("p.weight").alias("weight")
         )
