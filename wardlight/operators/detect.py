@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,29 @@ def with_early_exit(df: DataFrame) -> DataFrame:
     return df.withColumn("early_exit", F.col("keyword_score") > V.EARLY_EXIT_THRESHOLD)
 
 
+def with_scores(
+    prompts: DataFrame,
+    scorers: dict[str, Scorer] | None = None,
+    rules: RuleSet | None = None,
+    text: str = "prompt",
+    failed: Column | None = None,
+) -> DataFrame:
+    """The four scores, ``early_exit`` and ``error``; early exits and failed prompts have the keyword score only."""
+    df = with_early_exit(with_keyword_score(prompts, text, rules))
+    if scorers:
+        cut = F.substring(F.coalesce(F.col(text), F.lit("")), 1, MODEL_INPUT_CHARS)
+        df = df.withColumn("_input", F.when(~F.col("early_exit"), cut))
+        df = df.withColumns({name: fn(F.col("_input")) for name, fn in scorers.items()}).drop("_input")
+    error = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False)) & ~F.col("early_exit")
+    df = df.withColumn("error", error)
+    lowered, skip = F.col("_lowered"), F.col("early_exit") | F.col("error")
+    return df.withColumns({
+        "toxic_score": F.when(skip, 0.0).otherwise(classifiers.toxic_score(lowered, F.col("toxic"))),
+        "hate_score": F.when(skip, 0.0).otherwise(classifiers.hate_score(lowered, F.col("hate"))),
+        "safety_score": F.when(skip, 0.0).otherwise(classifiers.safety_score(lowered, F.col("safety"))),
+    }).drop("_lowered", *RAW_COLUMNS)
+
+
 def score_prompts(
     prompts: DataFrame,
     mode: str | Column | None = None,
@@ -33,28 +57,39 @@ def score_prompts(
     """Decide every prompt of a table or stream; one pass, no shuffle.
 
     ``prompts`` holds the raw classifier outputs as struct<label, score> columns ``toxic``, ``hate`` and
-    ``safety``, or ``scorers`` maps these names to functions from a text column to such a struct (a Spark ML
-    model, a pandas UDF).  Early-exit prompts never reach a scorer: it gets NULL for them, which it has to pass
+    ``safety``, or ``scorers`` maps these names to functions from a text column to such a struct (see
+    ``batch_scorer``).  Early-exit prompts never reach a scorer: it gets NULL for them, which it has to pass
     through, so the rules are evaluated once and not once per branch.
 
     ``failed`` marks rows whose models broke down: these fall back to the keyword score alone.
     ``parallel`` selects the texts of the parallel form of the detector; the scores are the same.
     """
-    df = with_early_exit(with_keyword_score(prompts, text, rules))
-    if scorers:
-        model_input = F.when(~F.col("early_exit"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, MODEL_INPUT_CHARS))
-        df = df.withColumn("_input", model_input)
-        df = df.withColumns({name: fn(F.col("_input")) for name, fn in scorers.items()}).drop("_input")
-    error = F.coalesce(failed, F.lit(False)) & ~F.col("early_exit") if failed is not None else F.lit(False)
-    df = df.withColumn("error", error)
-    lowered, skip = F.col("_lowered"), F.col("early_exit") | F.col("error")
-    df = df.withColumns({
-        "toxic_score": F.when(skip, 0.0).otherwise(classifiers.toxic_score(lowered, F.col("toxic"))),
-        "hate_score": F.when(skip, 0.0).otherwise(classifiers.hate_score(lowered, F.col("hate"))),
-        "safety_score": F.when(skip, 0.0).otherwise(classifiers.safety_score(lowered, F.col("safety"))),
-        "_settings": voting.mode_settings(mode),
-    })
-    return decide(voting.with_vote(df), parallel).drop("_lowered", "_settings", *RAW_COLUMNS)
+    df = with_scores(prompts, scorers, rules, text, failed).withColumn("_settings", voting.mode_settings(mode))
+    return decide(voting.with_vote(df), parallel).drop("_settings")
+
+
+def compare_modes(prompts: DataFrame, parallel: bool = False, **options) -> DataFrame:
+    """Every prompt under every sensitivity mode.  Rules and models run once per prompt, before the explode."""
+    each = with_scores(prompts, **options).withColumn("mode", F.explode(voting.all_modes()))
+    each = each.withColumn("_settings", voting.mode_settings(F.col("mode")))
+    return decide(voting.with_vote(each), parallel).drop("_settings")
+
+
+def batch_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Scorer:
+    """Turn a model into a scorer.  ``load`` runs once per task and returns a function from a list of texts to
+    (label, score) pairs; Arrow batches go in, NULL texts are left out and stay NULL."""
+
+    @F.pandas_udf("label string, score double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = load()
+        for texts in batches:
+            known = texts.dropna()
+            result = pd.DataFrame({"label": None, "score": None}, index=texts.index)
+            if len(known):
+                result.loc[known.index] = pd.DataFrame(predict(known.tolist()), index=known.index, columns=["label", "score"])
+            yield result.astype({"score": "float64"})
+
+    return score
 
 
 def decide(df: DataFrame, parallel: bool = False) -> DataFrame:

@@ -80,7 +80,8 @@ def model_run_log(scored: DataFrame, times_ms: dict[str, Column], mode: str = V.
     )
 
 
-def decision_log(scored: DataFrame, total_ms: Column, mode: str = V.DEFAULT_MODE, details: bool = True) -> DataFrame:
+def decision_log(scored: DataFrame, total_ms: Column, mode: str | Column = V.DEFAULT_MODE,
+                 details: bool = True) -> DataFrame:
     """One row per prompt with scores, flags, winning mechanism and the thresholds in force."""
     scores = [F.col(f"{m}_score") for m in V.SCORE_NAMES]
     flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble",
@@ -95,7 +96,7 @@ def decision_log(scored: DataFrame, total_ms: Column, mode: str = V.DEFAULT_MODE
         stamp(F.col("ts")).alias("timestamp"),
         F.col("is_adversarial").alias("adversarial"),
         *_input_columns(text),
-        F.lit(mode).alias("sensitivity_mode"),
+        (F.lit(mode) if isinstance(mode, str) else mode).alias("sensitivity_mode"),
         total_ms.alias("total_inference_time_ms"),
         F.greatest(*scores).alias("max_individual_score"),
         F.col("reason").alias("decision_reason"),

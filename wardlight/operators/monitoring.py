@@ -56,6 +56,21 @@ def model_performance(perf: DataFrame, as_of: str, days: int = 7, model_name: st
     )
 
 
+def statistics(chats: DataFrame, perf: DataFrame, as_of: str, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Chat totals and model performance of the last days."""
+    return chat_statistics(chats, as_of, days), model_performance(perf, as_of, days)
+
+
+def statistics_rows(chat_totals: DataFrame, models: DataFrame) -> DataFrame:
+    """The two statistics tables in one long form."""
+    def long(df: DataFrame, part: str, name: Column, metrics: list[str]) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return df.select(F.lit(part).alias("part"), name.alias("name"), F.inline(F.array(*cells)))
+
+    chat = long(chat_totals, "chat", F.lit("all"), chat_totals.columns)
+    return chat.unionByName(long(models, "model", F.col("model_name"), [c for c in models.columns if c != "model_name"]))
+
+
 def event_counters(scored: DataFrame) -> DataFrame:
     """All labelled counters of a scored prompt log: (metric, model_name, kind) and a count.
 

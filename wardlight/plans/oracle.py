@@ -355,6 +355,23 @@ recent AS (SELECT conv_id, (7 - rn)::BIGINT AS slot, CASE WHEN lower(role) = 'us
     text AS content FROM ranked WHERE rn <= 6)"""
 
 
+LENGTH = "length(substr(prompt, 1, 512))"
+SCORED_PROMPTS = f"""plain AS (SELECT doc_id AS prompt_id,
+    text || ' ' || ({texts(PHRASES)})[doc_id % {len(PHRASES)} + 1] AS prompt FROM documents),
+docs AS (SELECT *, CASE WHEN {LENGTH} % 2 = 1 THEN 'toxic' ELSE 'other' END AS t_label,
+    5e-1 + ({LENGTH} % 97)::DOUBLE / 200e0 AS t_score, t_label AS h_label, t_score AS h_score, t_label AS s_label,
+    t_score AS s_score FROM plain),
+low AS (SELECT *, lower(prompt) AS l FROM docs)"""
+
+
+def statistics_rows() -> str:
+    chat = ["total_chats", "adversarial_detected", "adversarial_rate", "avg_latency", "unique_sessions_count"]
+    model = ["total_inferences", "avg_inference_time", "avg_score", "max_score", "min_score"]
+    parts = [f"SELECT 'chat' AS part, 'all' AS name, '{m}' AS metric, {m}::DOUBLE AS value FROM chat" for m in chat]
+    parts += [f"SELECT 'model', model_name, '{m}', {m}::DOUBLE FROM model" for m in model]
+    return " UNION ALL ".join(parts)
+
+
 def oracle() -> dict[str, str]:
     sql = {
         # rule scoring
@@ -551,6 +568,7 @@ def oracle() -> dict[str, str]:
         # modelling
         "class_weights": f"""WITH {LABELLED} SELECT label, count(*) AS n, (SELECT count(*) FROM labelled)::DOUBLE
             / ((SELECT count(DISTINCT label) FROM labelled) * count(*)) AS weight FROM labelled GROUP BY 1""",
+        "detect_with_scorers": f"WITH {decided().replace(PROMPTS, SCORED_PROMPTS)} SELECT {DECISION} FROM final",
         "softmax_argmax": f"""WITH {EVALUATION} SELECT row_id, round(exp(logit1) / (exp(logit0) + exp(logit1)), 9) AS p1,
             predicted::BIGINT AS cls FROM guessed""",
         "binary_metrics": f"WITH {EVALUATION} {metrics('guessed')}",
@@ -582,4 +600,8 @@ def oracle() -> dict[str, str]:
         "stream_context": CHAT_CONTEXT + " SELECT * FROM recent",
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
+    performance = sql["model_performance"].replace(f"WITH {EVENTS} ", "")
+    sql["statistics_summary"] = (
+        f"WITH {EVENTS}, chat AS ({sql['chat_statistics']}), model AS ({performance}) " + statistics_rows()
+    )
     return sql

@@ -401,11 +401,8 @@ def early_exit_stats(spark, folder):
 
 @query
 def mode_stats(spark, folder):
-    each = None
-    for mode in V.MODES:
-        log = logs.decision_log(scored(spark, folder, mode=mode), total_ms(), mode, details=False)
-        each = log if each is None else each.unionByName(log)
-    return reports.mode_stats(each, None)
+    decided = detect.compare_modes(inputs.prompts(spark, folder))
+    return reports.mode_stats(logs.decision_log(decided, total_ms(), F.col("mode"), details=False), None)
 
 
 @query
@@ -458,6 +455,13 @@ def performance_events(spark, folder):
     )
 
 
+@query
+def statistics_summary(spark, folder):
+    """Both parts of the statistics page as one table of (part, name, metric, value)."""
+    parts = monitoring.statistics(inputs.chat_events(spark, folder), performance_events(spark, folder), AS_OF)
+    return monitoring.statistics_rows(*parts)
+
+
 @query
 def chat_statistics(spark, folder):
     return monitoring.chat_statistics(inputs.chat_events(spark, folder), AS_OF)
@@ -699,6 +703,18 @@ def batch_scoring(spark, folder):
     return baseline.Baseline().fit(train).transform(docs).select("row_id", "prediction", F.round("p", 6).alias("p"))
 
 
+def _length_model():
+    """Stand-in for a text classifier: label and score follow from the length of the text it is given."""
+    return lambda texts: [("toxic" if len(t) % 2 else "other", 0.5 + (len(t) % 97) / 200.0) for t in texts]
+
+
+@query
+def detect_with_scorers(spark, folder):
+    plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
+    scorer = detect.batch_scorer(_length_model)
+    return detect.score_prompts(plain, scorers={name: scorer for name in detect.RAW_COLUMNS}).select(*DECISION_COLUMNS)
+
+
 @query
 def softmax_argmax(spark, folder):
     a, b = F.col("logit0"), F.col("logit1")

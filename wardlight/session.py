@@ -27,10 +27,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests, local runs)."""
+    """The shared folder the cluster names.  A temporary one stands in for it in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get(CHECKPOINT_CONF, "") or ""
+        configured = spark.conf.get(CHECKPOINT_CONF, "")
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wardlight-"))
     return context.getCheckpointDir()
 
