@@ -118,3 +118,12 @@ def test_fuzzy_overlap_equals_brute_force(spark):
     frames = [spark.createDataFrame(pd.DataFrame(rows, columns=["row_id", "prompt"])) for rows in (test, train)]
     got = {tuple(r) for r in fuzzy.fuzzy_overlap(*frames).collect()}
     assert expected and got == expected
+
+
+def test_stop_words_by_list_and_by_language(spark):
+    from wardlight.operators.ngrams import ngram_counts
+
+    df = spark.createDataFrame([("The bomb and the gun, a C4",), ("",), (None,)], "prompt string")
+    expected = {"bomb", "gun", "c4", "bomb gun", "gun c4", "bomb gun c4"}
+    for stop in (["the", "and"], "english"):
+        assert {r["gram"] for r in ngram_counts(df, 3, stop).collect()} == expected

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -12,17 +12,20 @@ from wardlight.functions.text import strings, words
 
 LEAK_VOCABULARY, LEAK_NGRAMS = 5000, 3
 BASELINE_VOCABULARY, BASELINE_NGRAMS = 1000, 2
+StopWords = list[str] | str | None
 
 
-def with_ngrams(df: DataFrame, longest: int, stop_words: list[str] | None = None, text: str = "prompt") -> DataFrame:
-    """Add ``_grams``: all 1..``longest``-grams of the text; stop words are removed before the grams are formed.
+def with_ngrams(df: DataFrame, longest: int, stop_words: StopWords = None, text: str = "prompt") -> DataFrame:
+    """Add ``_grams``: all 1..``longest``-grams of the text; stop words are removed before the grams are formed
+    (a list, or the name of a language whose list Spark ML ships).
 
     Each length is the previous one zipped with the tokens that follow, in its own projection, so nothing is computed
     twice.
     """
     tokens = words(F.col(text))
-    if stop_words:
-        tokens = F.filter(tokens, lambda t: ~F.array_contains(strings(stop_words), t))
+    stop = StopWordsRemover.loadDefaultStopWords(stop_words) if isinstance(stop_words, str) else stop_words
+    if stop:
+        tokens = F.filter(tokens, lambda t: ~t.isin(stop))
     out = df.withColumn("_gram_1", tokens)
     first = F.col("_gram_1")
     for k in range(2, longest + 1):
@@ -42,7 +45,7 @@ def exploded(df: DataFrame, array: str | Column, name: str, *keep: str) -> DataF
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def ngram_counts(df: DataFrame, longest: int = LEAK_NGRAMS, stop_words: list[str] | None = None) -> DataFrame:
+def ngram_counts(df: DataFrame, longest: int = LEAK_NGRAMS, stop_words: StopWords = None) -> DataFrame:
     """Corpus frequency per n-gram; equal grams combine inside every map task before the shuffle."""
     grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram")
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -54,7 +57,7 @@ def top_ngrams(counts: DataFrame, size: int) -> DataFrame:
 
 
 def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign", longest: int = LEAK_NGRAMS,
-               vocabulary: int = LEAK_VOCABULARY, top: int = 20, stop_words: list[str] | None = None) -> DataFrame:
+               vocabulary: int = LEAK_VOCABULARY, top: int = 20, stop_words: StopWords = None) -> DataFrame:
     """Grams whose mean count per prompt differs most between two labels.
 
     Prompts without the gram count as zero in the mean.  One aggregate carries the corpus frequency and both label
@@ -82,7 +85,7 @@ class TfIdf:
     """TF-IDF with smoothed idf + 1 and unit length, as Spark ML stages over a bounded vocabulary."""
 
     def __init__(self, size: int = BASELINE_VOCABULARY, longest: int = BASELINE_NGRAMS,
-                 stop_words: list[str] | None = None):
+                 stop_words: StopWords = None):
         self.size, self.longest, self.stop_words = size, longest, stop_words
 
     def _grams(self, df: DataFrame) -> DataFrame:

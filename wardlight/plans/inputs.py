@@ -31,6 +31,9 @@ EVENT_MODELS = {
     "signup": "offensive_roberta",
     "purchase": "bart_mnli",
 }
+# Stop words of the registered leakage query (function words that occur in the given documents).
+STOP_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "re", "that",
+              "the", "this", "to", "was", "with"]
 OTHER_MODEL = "detect_adversarial_prompt"
 
 

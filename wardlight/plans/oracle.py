@@ -7,7 +7,7 @@ the engine's grouped evaluation, so that they check it.
 from __future__ import annotations
 
 from wardlight import fixed_values as V
-from wardlight.plans.inputs import EVENT_MODELS, OTHER_MODEL, PHRASES
+from wardlight.plans.inputs import EVENT_MODELS, OTHER_MODEL, PHRASES, STOP_WORDS
 from wardlight.plans.queries import AS_OF, TIME_SHARES
 
 
@@ -222,13 +222,14 @@ wide AS (SELECT unnest(generate_series(date_trunc('minute', ts) - INTERVAL 4 MIN
 TOKENS = "regexp_extract_all(lower(prompt), '[\\p{L}\\p{N}_]{2,}')"
 
 
-def grams(source: str, longest: int) -> str:
+def grams(source: str, longest: int, stop: list[str] | None = None) -> str:
+    kept = f"list_filter({TOKENS}, lambda x: NOT list_contains({texts(stop)}, x))" if stop else TOKENS
     parts = [
         f"SELECT row_id, label, array_to_string(t[i:i + {k - 1}], ' ') AS gram FROM (SELECT row_id, label, t, "
         f"unnest(generate_series(1, len(t) - {k - 1})) AS i FROM tokens)"
         for k in range(1, longest + 1)
     ]
-    return f"tokens AS (SELECT row_id, label, {TOKENS} AS t FROM {source}), grams AS (" + " UNION ALL ".join(parts) + ")"
+    return f"tokens AS (SELECT row_id, label, {kept} AS t FROM {source}), grams AS (" + " UNION ALL ".join(parts) + ")"
 
 
 EVALUATION = """rows AS (SELECT d.doc_id AS row_id, lang, source, toxic::INT AS y, (n_chars % 53)::DOUBLE / 10e0 AS logit0,
@@ -552,7 +553,7 @@ def oracle() -> dict[str, str]:
         "ngram_counts": f"WITH {CLEAN}, {grams('clean', 2)} SELECT gram, count(*) AS n FROM grams GROUP BY 1",
         "top_ngrams": f"""WITH {CLEAN}, {grams('clean', 3)} SELECT gram, count(*) AS n FROM grams GROUP BY 1
             ORDER BY n DESC, gram LIMIT 5000""",
-        "ngram_bias": f"""WITH {CLEAN}, {grams('clean', 3)}, counted AS (SELECT gram, count(*) AS n,
+        "ngram_bias": f"""WITH {CLEAN}, {grams('clean', 3, STOP_WORDS)}, counted AS (SELECT gram, count(*) AS n,
               count(*) FILTER (label = 'adversarial') AS a, count(*) FILTER (label = 'benign') AS b FROM grams GROUP BY 1),
             known AS (SELECT * FROM counted ORDER BY n DESC, gram LIMIT 5000),
             means AS (SELECT gram, a::DOUBLE / (SELECT count(*) FROM clean WHERE label = 'adversarial') AS x,

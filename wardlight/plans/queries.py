@@ -312,12 +312,14 @@ def chat_log_build(spark, folder):
 
 @query
 def chat_log_flat(spark, folder):
-    return logs.flatten_chat(_chat_log(spark, folder))
+    flat = logs.flatten_chat(_chat_log(spark, folder))
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query
 def model_perf_build(spark, folder):
-    return logs.model_performance_log(scored(spark, folder), F.col("latency_s"))
+    log = logs.model_performance_log(scored(spark, folder), F.col("latency_s"))
+    return log.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 @query
@@ -671,7 +673,7 @@ def top_ngrams(spark, folder):
 
 @query
 def ngram_bias(spark, folder):
-    return ngrams.ngram_bias(clean(spark, folder)).select(
+    return ngrams.ngram_bias(clean(spark, folder), stop_words=inputs.STOP_WORDS).select(
         "gram", F.round("mean_first", 9).alias("mean_first"), F.round("mean_second", 9).alias("mean_second"),
         F.round("difference", 9).alias("difference"),
     )
