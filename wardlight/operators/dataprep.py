@@ -9,7 +9,7 @@ from wardlight.operators.ordered import position
 from wardlight.session import small_side
 
 SEED = 42
-SPLIT_BUCKETS_HEX = 4
+SPLIT_BUCKETS_HEX = 5  # about a million buckets per label
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:

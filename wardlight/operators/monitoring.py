@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight import fixed_values as V
+from wardlight.functions.text import constant
 from wardlight.operators.ordered import running
 
 BOUNDS = V.LATENCY_BUCKETS
@@ -137,15 +138,13 @@ def latency_histogram(events: DataFrame) -> DataFrame:
 
 def histogram_quantile(cumulative: Column, q: float) -> Column:
     """Linear interpolation in the first bucket that reaches the rank; the lower bound in the open bucket."""
+    lows = constant([0.0, *BOUNDS[:-1]], "array<double>")
+    highs = constant([*BOUNDS[:-1], BOUNDS[-2]], "array<double>")
     rank = F.get(cumulative, F.lit(len(BOUNDS) - 1)) * F.lit(q)
-    result = F.lit(BOUNDS[-2])
-    for i in range(len(BOUNDS) - 2, -1, -1):
-        low = BOUNDS[i - 1] if i else 0.0
-        before = F.get(cumulative, F.lit(i - 1)) if i else F.lit(0)
-        upto = F.get(cumulative, F.lit(i))
-        inside = F.lit(low) + F.lit(BOUNDS[i] - low) * (rank - before) / (upto - before)
-        result = F.when(upto >= rank, inside).otherwise(result)
-    return result
+    at = (F.array_position(F.transform(cumulative, lambda n: n >= rank), True) - 1).cast("int")
+    low, before = F.get(lows, at), F.coalesce(F.get(cumulative, at - 1), F.lit(0))
+    inside = low + (F.get(highs, at) - low) * (rank - before) / (F.get(cumulative, at) - before)
+    return F.when(at == len(BOUNDS) - 1, low).otherwise(inside)
 
 
 def latency_quantile(events: DataFrame, q: float = 0.95) -> DataFrame:
@@ -169,10 +168,10 @@ def latency_quantiles_sliding(events: DataFrame, minutes: int = 5) -> DataFrame:
     windows = _sliding(per_minute, minutes).groupBy("window_start", "model_name").agg(
         *[F.sum(f"le_{i}").alias(f"le_{i}") for i in range(len(BOUNDS))]
     )
-    return windows.select(
+    return windows.select("window_start", "model_name", _cumulative().alias("_cumulative")).select(
         "window_start",
         "model_name",
-        *[F.round(histogram_quantile(_cumulative(), q) * 1000.0, 6).alias(f"p{round(q * 100)}_ms") for q in QUANTILES],
+        *[F.round(histogram_quantile(F.col("_cumulative"), q) * 1000.0, 6).alias(f"p{round(q * 100)}_ms") for q in QUANTILES],
     )
 
 

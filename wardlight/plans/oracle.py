@@ -601,6 +601,12 @@ def oracle() -> dict[str, str]:
         "stream_context": CHAT_CONTEXT + " SELECT * FROM recent",
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
+    sql["chat_log_stored"] = sql["chat_log_flat"]
+    sql["runlog_stored"] = f"""WITH {run_log()} SELECT ts::DATE AS day, model_name, count(*) AS n,
+        count(*) FILTER (adversarial) AS adversarial FROM runs GROUP BY 1, 2"""
+    sql["metrics_stored"] = f"""WITH macro AS ({sql["macro_metrics"]}) """ + " UNION ALL ".join(
+        f"SELECT 'baseline' AS run, '{m}' AS metric, \"{m}\" AS value FROM macro" for m in ("accuracy", "precision", "recall", "f1")
+    )
     performance = sql["model_performance"].replace(f"WITH {EVENTS} ", "")
     sql["statistics_summary"] = (
         f"WITH {EVENTS}, chat AS ({sql['chat_statistics']}), model AS ({performance}) " + statistics_rows()

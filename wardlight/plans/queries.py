@@ -316,6 +316,40 @@ def chat_log_flat(spark, folder):
     return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+CHAT_SCHEMA = """prompt_id bigint, timestamp timestamp, session_id string, prompt string, user_message string,
+bot_response string, detection_results struct<is_adversarial: boolean, scores: array<double>, reason: string,
+threshold: double>, latency_seconds double,
+metadata struct<model_count: int, user_agent: string, timezone: string>"""
+
+
+@query
+def chat_log_stored(spark, folder):
+    """Chat documents appended as JSON, half of them under the older prompt key, and read back."""
+    log, path = _chat_log(spark, folder), scratch_path(spark, "chats")
+    older = F.col("prompt_id") % 2 == 0
+    mixed = log.withColumn("user_message", F.when(older, F.col("prompt"))).withColumn("prompt", F.when(~older, F.col("prompt")))
+    tabular.append_log(mixed, path, "json", day_of="timestamp")
+    flat = logs.flatten_chat(tabular.read_chat_log(spark, path, CHAT_SCHEMA))
+    return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def runlog_stored(spark, folder):
+    """Run log appended as files per day; the day filter prunes folders."""
+    path = tabular.append_log(run_log(spark, folder), scratch_path(spark, "runs"))
+    stored = tabular.read_log(spark, path).where(F.col("day") >= "2024-01-01")
+    return stored.groupBy("day", "model_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("adversarial").alias("adversarial")
+    )
+
+
+@query
+def metrics_stored(spark, folder):
+    """Evaluation metrics of one run appended as (run, metric, value) rows and read back."""
+    path = tabular.append_metrics(macro_metrics(spark, folder), "baseline", scratch_path(spark, "metrics"))
+    return tabular.read_log(spark, path)
+
+
 @query
 def model_perf_build(spark, folder):
     log = logs.model_performance_log(scored(spark, folder), F.col("latency_s"))
@@ -798,7 +832,7 @@ def leaderboard(spark, folder):
 
 @query
 def stream_detect(spark, folder):
-    stream = inputs.prompts_from(jobs.table_stream(spark, folder, "documents"))
+    stream = inputs.prompts_from(jobs.table_stream(spark, folder, "documents", "doc_id"))
     path = scratch_path(spark, "stream-detect")
     decided = detect.score_prompts(stream).select(*DECISION_COLUMNS)
     jobs.write_batches(decided, path, scratch_path(spark, "state"))
@@ -807,7 +841,7 @@ def stream_detect(spark, folder):
 
 @query
 def stream_logs(spark, folder):
-    stream = detect.score_prompts(inputs.prompts_from(jobs.table_stream(spark, folder, "documents")))
+    stream = detect.score_prompts(inputs.prompts_from(jobs.table_stream(spark, folder, "documents", "doc_id")))
     path = scratch_path(spark, "stream-logs")
     jobs.log_batches(stream, {
         "decisions": lambda df: logs.decision_log(df, total_ms(), details=False),

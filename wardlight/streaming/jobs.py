@@ -15,11 +15,15 @@ from wardlight.operators.monitoring import BOUNDS, CONTEXT_TURNS, _bucket_counts
 WATERMARK = "10 minutes"
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over the files of one table in a folder."""
-    path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def table_stream(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """Stream over the files of one table in a folder.
+
+    ``spread_by`` uses all cores for heavy per-row work when the table has fewer splits than there are cores.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(2 * cores, spread_by) if spread_by and table.rdd.getNumPartitions() < cores else stream
 
 
 def run_available(writer, checkpoint: str) -> StreamingQuery:
