@@ -94,10 +94,8 @@ def metrics_at_threshold(df: DataFrame, threshold: Column, y: str = "y", p: str
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    whole = counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    return counted.select(
-        label, "n", (whole.select("n").scalar() / (whole.select("k").scalar() * F.col("n"))).alias("weight")
-    )
+    whole = counted.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
+    return counted.select(label, "n", (whole["n"] / (whole["k"] * F.col("n"))).alias("weight"))
 
 
 def best_checkpoints(log: DataFrame, run: str = "run", step: str = "step", f1: str = "f1") -> DataFrame:

@@ -69,13 +69,13 @@ def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign"
         F.count_if(F.col("label") == first).alias("_a"),
         F.count_if(F.col("label") == second).alias("_b"),
     )
-    sizes = df.agg(
+    sizes = df.agg(F.struct(
         F.count_if(F.col("label") == first).alias("a"), F.count_if(F.col("label") == second).alias("b")
-    )
+    ).alias("s")).scalar()  # one subquery for both sizes
     known = top_ngrams(counted, vocabulary).select(
         "gram",
-        (F.col("_a") / sizes.select("a").scalar()).alias("mean_first"),
-        (F.col("_b") / sizes.select("b").scalar()).alias("mean_second"),
+        (F.col("_a") / sizes["a"]).alias("mean_first"),
+        (F.col("_b") / sizes["b"]).alias("mean_second"),
     )
     biased = known.withColumn("difference", F.abs(F.col("mean_first") - F.col("mean_second")))
     return biased.orderBy(F.col("difference").desc(), "gram").limit(top)
