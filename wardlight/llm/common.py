@@ -20,6 +20,14 @@ BYTE_KINDS[[*b"abcdefghijklmnopqrstuvwxyz"]] = LETTER
 BYTE_KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = PUNCTUATION
 
 
+def spaced(data: bytes) -> bytes:
+    """A space put between every ASCII letter and following ASCII punctuation other than an apostrophe."""
+    raw = np.frombuffer(data, "u1")
+    kinds = BYTE_KINDS[raw]
+    at = np.flatnonzero((kinds[:-1] == LETTER) & (kinds[1:] == PUNCTUATION)) + 1
+    return np.insert(raw, at, 32).tobytes() if len(at) else data
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
@@ -64,7 +72,7 @@ class WordEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         data = text.encode("utf-8", "replace")
         if not any(o in data for o in self.openings):
-            data = self._spaced(data.lower())
+            data = spaced(data.lower())
         parts, known = data.split(), self.parts
         try:
             return b"".join([known[p] for p in parts])
@@ -76,14 +84,6 @@ class WordEncoder:
             self._learn(fresh)
             return b"".join([known[p] for p in parts])
 
-    @staticmethod
-    def _spaced(data: bytes) -> bytes:
-        """A space put between every ASCII letter and following ASCII punctuation."""
-        raw = np.frombuffer(data, "u1")
-        kinds = BYTE_KINDS[raw]
-        at = np.flatnonzero((kinds[:-1] == LETTER) & (kinds[1:] == PUNCTUATION)) + 1
-        return np.insert(raw, at, 32).tobytes() if len(at) else data
-
     def _learn(self, parts: set[bytes]) -> None:
         """Encode new parts: ASCII words by the merges alone, since neither normaliser nor splitter changes them; the
         others in one call with a special string between them, or one by one if they hold it."""

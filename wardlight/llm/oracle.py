@@ -13,5 +13,18 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
 
+OP9 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op8_heavy_hitter_dedup": OP8}
+    return {"op8_heavy_hitter_dedup": OP8, "op9_maxscore_top5": OP9}

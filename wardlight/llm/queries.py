@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.llm import exact_dedup, packing, rans, secrets_ledger
+from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, token_transducer
 from wardlight.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -30,6 +30,21 @@ def op2_rans_token_shards(spark, folder):
     )
 
 
+@query
+def op3_fragment_bpe(spark, folder):
+    both = bpe_fragments.encode_decode(table(spark, folder, "documents"), tokenizer(WORD_TOKENIZER))
+    return both.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_transducer_counts(spark, folder):
+    counted = token_transducer.token_counts(table(spark, folder, "documents"), tokenizer(BYTE_TOKENIZER))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 @query
 def op5_secret_ledger(spark, folder):
     found = secrets_ledger.scan(table(spark, folder, "documents").select("doc_id", "text"))
@@ -56,3 +71,8 @@ def op8_heavy_hitter_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).select(
         "doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+@query
+def op9_maxscore_top5(spark, folder):
+    return maxscore.top_k(table(spark, folder, "embeddings"), every=50, k=5)
