@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, token_transducer
+from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer
 from wardlight.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -76,3 +76,8 @@ def op8_heavy_hitter_dedup(spark, folder):
 @query
 def op9_maxscore_top5(spark, folder):
     return maxscore.top_k(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+@query
+def op10_signature_tree_join(spark, folder):
+    return signature_join.near_duplicates(table(spark, folder, "documents"))
