@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer
+from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer, toxicity
 from wardlight.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -22,6 +22,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_nearest_toxic_examples(spark, folder):
+    scored = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.withColumn("nearest", F.col("nearest.key"))
+
+
 @query
 def op2_rans_token_shards(spark, folder):
     read = rans.round_trip(table(spark, folder, "documents"), tokenizer(WORD_TOKENIZER), end_id=2, n_ids=49408)
