@@ -31,7 +31,7 @@ SEGMENT = 256  # ids of one lane between two checkpoints
 BLOCK = LANES * SEGMENT * 16
 FRAME_IDS = 1 << 20  # documents are added to a frame until it has so many ids
 LOW = np.uint64(1 << 31)
-WORD = np.uint64(32)
+WORD, ONE = np.uint64(32), np.uint64(1)
 HEADER = struct.Struct("<IIII")
 
 
@@ -57,22 +57,29 @@ class Coder:
         self.symbol = np.repeat(np.arange(len(frequencies), dtype="uint16" if len(frequencies) <= 65536 else "uint32"), frequencies)
 
     def _grid(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids as (steps, segments, lanes), and how many ids each segment holds."""
+        """ids as (steps, lanes, segments), and how many ids each segment holds."""
         per = LANES * SEGMENT
         n = -(-len(ids) // per)
         padded = np.zeros(n * per, ids.dtype)
         padded[: len(ids)] = ids
         held = np.full(n, per)
         held[-1] = len(ids) - (n - 1) * per
-        return padded.reshape(n, SEGMENT, LANES).transpose(1, 0, 2), held
+        return np.ascontiguousarray(padded.reshape(n, SEGMENT, LANES).transpose(1, 2, 0)), held
+
+    @staticmethod
+    def _live(t: int, held: np.ndarray) -> np.ndarray | None:
+        """Lanes that have an id in step ``t``; None when all do."""
+        if (t + 1) * LANES <= held.min():
+            return None
+        return t * LANES + np.arange(LANES)[:, None] < held
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Final states (segments, lanes) and the words of every segment, in reading order."""
+        """Final states (lanes, segments) and the words of every segment, in reading order."""
         grid, held = self._grid(ids)
-        steps, n, _ = grid.shape
-        state = np.full((n, LANES), LOW, "uint64")
-        words = np.zeros((steps, n, LANES), "uint32")
-        wrote = np.zeros((steps, n, LANES), bool)
+        steps, _, n = grid.shape
+        state = np.full((LANES, n), LOW, "uint64")
+        words = np.zeros((steps, LANES, n), "uint32")
+        wrote = np.zeros((steps, LANES, n), bool)
         shift = np.uint64(63 - SCALE_BITS)
         for t in range(min(steps, -(-int(held.max()) // LANES)) - 1, -1, -1):
             f, c = self.freq[grid[t]], self.start[grid[t]]
@@ -85,26 +92,20 @@ class Coder:
             words[t], wrote[t] = state, over
             small = np.where(over, state >> WORD, state)
             quotient = small // f
-            moved = (quotient << self.bits) + (small - quotient * f) + c
-            state = moved if live is None else np.where(live, moved, state)
-        words, wrote = np.ascontiguousarray(words.transpose(1, 0, 2)), np.ascontiguousarray(wrote.transpose(1, 0, 2))
+            small += quotient * ((ONE << self.bits) - f)  # the remainder, under the quotient
+            small += c
+            state = small if live is None else np.where(live, small, state)
+        words, wrote = np.ascontiguousarray(words.transpose(2, 0, 1)), np.ascontiguousarray(wrote.transpose(2, 0, 1))
         return state, [words[i][wrote[i]] for i in range(n)]
 
-    @staticmethod
-    def _live(t: int, held: np.ndarray) -> np.ndarray | None:
-        """Lanes that have an id in step ``t``; None when all do."""
-        if (t + 1) * LANES <= held.min():
-            return None
-        return t * LANES + np.arange(LANES) < held[:, None]
-
     def decode(self, states: np.ndarray, words: list[np.ndarray], held: np.ndarray) -> list[np.ndarray]:
-        """Ids of every segment; all segments advance together."""
+        """Ids of every segment; all segments advance together.  ``states`` is (lanes, segments)."""
         n = len(words)
         state = states.copy()
-        flat = np.concatenate([*words, np.zeros(1, "uint32")]).astype("uint64")
-        at = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]).astype("int64")
+        flat = np.concatenate([*words, np.zeros(LANES, "uint32")]).astype("uint64")
+        at = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]).astype("int64") - 1
         steps = -(-int(held.max()) // LANES)
-        out = np.zeros((steps, n, LANES), self.symbol.dtype)
+        out = np.zeros((steps, LANES, n), self.symbol.dtype)
         for t in range(steps):
             live = self._live(t, held)
             slot = state & self.mask
@@ -115,13 +116,15 @@ class Coder:
             need = state < LOW
             if live is not None:
                 need &= live
-            order = np.cumsum(need, axis=1)
-            got = flat[np.minimum(at[:, None] + order - 1, len(flat) - 1)]
-            state = np.where(need, (state << WORD) | got, state)
-            at += order[:, -1]
+            order = np.cumsum(need, axis=0, dtype="int64")
+            if order[-1].any():
+                order += at
+                at = order[-1].copy()
+                hit = np.flatnonzero(need)
+                state.reshape(-1)[hit] = (state.reshape(-1)[hit] << WORD) | flat[order.reshape(-1)[hit]]
         if not (state == LOW).all():
             raise ValueError("damaged segment: the final state is wrong")
-        out = np.ascontiguousarray(out.transpose(1, 0, 2))
+        out = np.ascontiguousarray(out.transpose(2, 0, 1))
         return [out[i].reshape(-1)[: held[i]] for i in range(n)]
 
 
@@ -138,7 +141,7 @@ def pack_frame(ids: np.ndarray, coder: Coder) -> bytes:
         parts.append(HEADER.pack(len(block), zlib.crc32(block.astype("<u4").tobytes()), n, 0))
         parts.append(np.array([len(w) for w in mine], "<u4").tobytes())
         for i, w in enumerate(mine):
-            parts += [states[at + i].astype("<u8").tobytes(), w.astype("<u4").tobytes()]
+            parts += [states[:, at + i].astype("<u8").tobytes(), w.astype("<u4").tobytes()]
         at += n
     return b"".join(parts)
 
@@ -162,7 +165,7 @@ def unpack_frame(data: bytes, coder: Coder) -> np.ndarray:
         blocks.append((n, crc))
     if not blocks:
         return np.zeros(0, "<u4")
-    segments = coder.decode(np.stack(states).astype("uint64"), words, np.array(held))
+    segments = coder.decode(np.stack(states, axis=1).astype("uint64"), words, np.array(held))
     out, first = [], 0
     for number, (n, crc) in enumerate(blocks):
         ids = np.concatenate(segments[first : first + n]).astype("<u4")
@@ -173,8 +176,16 @@ def unpack_frame(data: bytes, coder: Coder) -> np.ndarray:
     return np.concatenate(out)
 
 
-def document_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (little-endian unsigned 16-bit, or 32-bit for large vocabularies) with the end id."""
+def kind_of(n_ids: int) -> str:
+    """How ids are held between the steps: 16 bits where the vocabulary allows it."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def document_ids(
+    df: DataFrame, tokenizer: str, end_id: int, n_ids: int, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """key, ids (see ``kind_of``) with the end id."""
+    kind = kind_of(n_ids)
     rows = df.select(df[key].cast("bigint").alias("key"), text_of(df, text).alias("text"))
     end = end_id.to_bytes(4, "little")
 
@@ -183,7 +194,8 @@ def document_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                ids = [encoder.ids(v.as_py()) + end for v in batch.column(1)]
+                wide = [encoder.ids(v.as_py()) + end for v in batch.column(1)]
+                ids = [np.frombuffer(w, "<u4").astype(kind).tobytes() for w in wide]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, "binary")], ["key", "ids"])
 
     return rows.mapInArrow(encode, "key bigint, ids binary")
@@ -195,8 +207,8 @@ def frequencies(documents: DataFrame, n_ids: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, "int64")
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), "<u4"), minlength=n_ids)
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind_of(n_ids))
+            total += np.bincount(ids, minlength=n_ids)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, "int32"), pa.array(total[used], "int64")], ["id", "n"])
 
@@ -216,8 +228,8 @@ def write_frames(documents: DataFrame, table: np.ndarray, name: str = "rans") ->
     ``first`` counts ids from the start of the shard; ``shard_starts`` gives what lies before each shard.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(table)
-    size = F.length("ids")
+    shared, kind = spark.sparkContext.broadcast(table), kind_of(len(table))
+    width = np.dtype(kind).itemsize
     tie = F.xxhash64("ids")
     ordered = documents.select("key", tie.alias("tie"), "ids").repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
     ordered = ordered.select(F.spark_partition_id().alias("shard"), "key", "ids")
@@ -229,8 +241,8 @@ def write_frames(documents: DataFrame, table: np.ndarray, name: str = "rans") ->
 
         def frame() -> pa.RecordBatch:
             nonlocal first, number
-            ids = np.frombuffer(b"".join(pieces), "<u4")
-            lengths = [len(p) // 4 for p in pieces]
+            ids = np.frombuffer(b"".join(pieces), kind)
+            lengths = [len(p) // width for p in pieces]
             row = [[shard], [number], [first], [len(ids)], [keys], [lengths], [pack_frame(ids, coder)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             first, number = first + len(ids), number + 1
@@ -244,14 +256,14 @@ def write_frames(documents: DataFrame, table: np.ndarray, name: str = "rans") ->
                 shard = batch.column(0)[i].as_py()
                 keys.append(batch.column(1)[i].as_py())
                 pieces.append(batch.column(2)[i].as_py())
-                held += len(pieces[-1]) // 4
+                held += len(pieces[-1]) // width
                 if held >= FRAME_IDS:
                     yield frame()
                     keys, pieces, held = [], [], 0
         if keys:
             yield frame()
 
-    return written(ordered.mapInArrow(encode, FRAMES), name)
+    return written(ordered.mapInArrow(encode, FRAMES), name, compression="none")
 
 
 def shard_starts(frames: DataFrame) -> DataFrame:
@@ -295,7 +307,7 @@ def round_trip(
     Null texts count as empty and give the end id alone.  Rows are in ascending key order, null keys first, and equal
     keys by a hash of their ids; repeated rows stay repeated.  An empty table gives an empty result.
     """
-    documents = written(document_ids(df, tokenizer, end_id, key, text), "ids")
+    documents = written(document_ids(df, tokenizer, end_id, n_ids, key, text), "ids")
     counts = frequencies(documents, n_ids)
     table = scaled(counts)
     return read_documents(write_frames(documents, table), table).withColumnRenamed("key", key)
