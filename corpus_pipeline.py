@@ -1,10 +1,70 @@
-"""Corpus pipeline: toxic documents go, copies go, near copies go, secrets are masked, the rest is packed."""
+"""Corpus pipeline: toxic documents go, copies go, near copies go, secrets are masked, and the rest is packed.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
+columns of ``documents`` in their order.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlight.llm import exact_dedup, packing, secrets_ledger, signature_join, toxicity
+from wardlight.llm.common import table, written
+from wardlight.llm.queries import WORD_TOKENIZER, tokenizer
+
+END_ID = 1
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    toxic = written(scored.where("predicted = 1").select("doc_id").distinct(), "toxic")
+    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    gone = written(exact_dedup.exact_dedup(docs).where("not kept").select("doc_id"), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group that near duplicates connect."""
+    found = signature_join.near_duplicates(docs)
+    gone = written(found.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts masked and n_chars of the new text."""
+    found = secrets_ledger.scan(docs)
+    masked = found.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(
+        secrets_ledger.redacted(F.col("text"), F.col("_spans"))))
+    counted = F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return masked.withColumn("n_chars", counted).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes in sequences of 4,096 tokens."""
+    return packing.packed_documents(docs, tokenizer(WORD_TOKENIZER), END_ID)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
+ORACLE_SQL = None  # scores, set joins and packing have no SQL; tests compare run() with a plain version
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = written(docs, "stage")
+    return docs
