@@ -26,5 +26,47 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP7 = r"""
+WITH u AS (
+  SELECT conv_id, turn, coalesce(text, '') AS q, len(string_split(coalesce(text, ''), ' ')) AS n,
+         ['plain', 'formal', 'loud'][turn % 3 + 1] AS tone
+  FROM conversations WHERE role = 'user'),
+c AS (
+  SELECT conv_id, turn, 'lookup' AS tool, 0 AS level, json_object('query', q)::VARCHAR AS arguments,
+         CASE WHEN length(q) < 1 THEN '$.query: too short' WHEN length(q) > 200 THEN '$.query: too long' END AS problem
+  FROM u UNION ALL
+  SELECT conv_id, turn, 'draft', 1, json_object('words', n)::VARCHAR,
+         CASE WHEN n < 1 THEN '$.words: below minimum' WHEN n > 30 THEN '$.words: above maximum' END FROM u UNION ALL
+  SELECT conv_id, turn, 'answer', 2, json_object('after', turn, 'tone', tone)::VARCHAR,
+         CASE WHEN turn < 0 THEN '$.after: below minimum' WHEN tone = 'loud' THEN '$.tone: not in enum' END FROM u),
+k AS (
+  SELECT *, concat_ws('-', conv_id, turn, tool) AS call_id,
+         row_number() OVER (PARTITION BY conv_id, turn, tool ORDER BY arguments) AS nth FROM c),
+r AS (
+  SELECT conv_id, turn, concat_ws('-', conv_id, turn - 1, 'answer') AS call_id, text AS content
+  FROM conversations WHERE role = 'assistant'),
+a AS (SELECT conv_id, call_id, min(content) AS content FROM r GROUP BY ALL),
+j AS (
+  SELECT k.*, a.content, CASE WHEN nth > 1 THEN 'repeated' WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM k LEFT JOIN a ON a.conv_id = k.conv_id AND a.call_id = k.call_id),
+x AS (SELECT DISTINCT conv_id, turn FROM u)
+SELECT conv_id, turn, 'message' AS kind, NULL::INTEGER AS level, NULL::VARCHAR AS call_id, NULL::VARCHAR AS status,
+       NULL::BOOLEAN AS valid, NULL::VARCHAR AS problem, NULL::BIGINT AS unmet,
+       json_object('content', coalesce(text, ''), 'role', coalesce(role, ''))::VARCHAR AS json
+FROM conversations
+UNION ALL
+SELECT j.conv_id, j.turn, 'call', level, call_id, status, problem IS NULL, problem,
+       (tool = 'answer' AND j.turn >= 2 AND x.turn IS NULL)::BIGINT,
+       '{"arguments":' || arguments || ',' || json_object(
+         'call_id', call_id, 'result', CASE WHEN status = 'linked' THEN coalesce(content, '') ELSE '' END, 'role', 'call',
+         'status', status, 'tool', tool, 'valid', problem IS NULL)::VARCHAR[2:]
+FROM j LEFT JOIN x ON x.conv_id = j.conv_id AND x.turn = j.turn - 2
+UNION ALL
+SELECT r.conv_id, r.turn, 'orphan', NULL, call_id, 'orphan', NULL, NULL, NULL,
+       json_object('call_id', call_id, 'content', coalesce(content, ''), 'role', 'tool')::VARCHAR
+FROM r LEFT JOIN x ON x.conv_id = r.conv_id AND x.turn = r.turn - 1 WHERE x.turn IS NULL
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op8_heavy_hitter_dedup": OP8, "op9_maxscore_top5": OP9}
+    return {"op7_tool_call_chats": OP7, "op8_heavy_hitter_dedup": OP8, "op9_maxscore_top5": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer, toxicity
+from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer, tool_chat, toxicity
 from wardlight.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -72,6 +72,60 @@ def op6_complement_packing(spark, folder):
     )
 
 
+# Tools of the derived calls: the conversations hold no calls, so each user turn asks three tools one after another.
+TOOLS = {
+    "lookup": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 200}},
+    },
+    "draft": {
+        "type": "object", "required": ["words"],
+        "properties": {"words": {"type": "integer", "minimum": 1, "maximum": 30}},
+    },
+    "answer": {
+        "type": "object", "required": ["after", "tone"],
+        "properties": {"after": {"type": "integer", "minimum": 0}, "tone": {"enum": ["plain", "formal"]}},
+    },
+}
+
+
+def derived_calls(turns):
+    """Three calls for each user turn; draft needs lookup, and answer needs draft and the answer two turns before."""
+    def name(tool: str, turn):
+        return F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"), F.lit(tool))
+
+    t = F.col("turn")
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    tone = F.element_at(F.array(F.lit("plain"), F.lit("formal"), F.lit("loud")), (t % 3 + 1).cast("int"))
+    arguments = {
+        "lookup": F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("query"))),
+        "draft": F.to_json(F.struct(words.alias("words"))),
+        "answer": F.to_json(F.struct(tone.alias("tone"), t.alias("after"))),
+    }
+    needs = {
+        "lookup": F.array().cast("array<string>"), "draft": F.array(name("lookup", t)),
+        "answer": F.when(t >= 2, F.array(name("draft", t), name("answer", t - 2))).otherwise(F.array(name("draft", t))),
+    }
+    asked = turns.where("role = 'user'")
+    each = F.explode(F.array(*[
+        F.struct(name(k, t).alias("call_id"), F.lit(k).alias("tool"), arguments[k].alias("arguments"), needs[k].alias("needs"))
+        for k in TOOLS
+    ]))
+    return asked.select("conv_id", "turn", each.alias("call")).select("conv_id", "turn", "call.*")
+
+
+def derived_results(turns):
+    """Every assistant turn is the result of the answer call of the turn before it."""
+    call = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"), F.lit("answer"))
+    return turns.where("role = 'assistant'").select("conv_id", "turn", call.alias("call_id"), F.col("text").alias("content"))
+
+
+@query
+def op7_tool_call_chats(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return tool_chat.format_chats(turns, derived_calls(turns), derived_results(turns), TOOLS)
+
+
 @query
 def op8_heavy_hitter_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).select(
