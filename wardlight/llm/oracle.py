@@ -57,9 +57,9 @@ FROM conversations
 UNION ALL
 SELECT j.conv_id, j.turn, 'call', level, call_id, status, problem IS NULL, problem,
        (tool = 'answer' AND j.turn >= 2 AND x.turn IS NULL)::BIGINT,
-       '{"arguments":' || arguments || ',' || json_object(
+       '{"arguments":' || arguments || ',' || (json_object(
          'call_id', call_id, 'result', CASE WHEN status = 'linked' THEN coalesce(content, '') ELSE '' END, 'role', 'call',
-         'status', status, 'tool', tool, 'valid', problem IS NULL)::VARCHAR[2:]
+         'status', status, 'tool', tool, 'valid', problem IS NULL)::VARCHAR)[2:]
 FROM j LEFT JOIN x ON x.conv_id = j.conv_id AND x.turn = j.turn - 2
 UNION ALL
 SELECT r.conv_id, r.turn, 'orphan', NULL, call_id, 'orphan', NULL, NULL, NULL,

@@ -142,7 +142,7 @@ class BlockMaxIndex:
         self.keys, self.columns = keys[order], np.ascontiguousarray(vectors[order].T)
         self.starts = range(0, len(keys), BLOCK)
         self.order = order
-        self.most = np.array([self.columns[:, s : s + BLOCK].max(axis=1) for s in self.starts]).reshape(-1, vectors.shape[1])
+        self.most = np.array([self.columns[:, s : s + BLOCK].max(axis=1) for s in self.starts]).reshape(len(self.starts), vectors.shape[1])
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a cosine above 0; ties go to the smaller key."""
