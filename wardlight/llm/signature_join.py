@@ -1,8 +1,9 @@
 """Exact self-join of documents on the Jaccard similarity of their word shingles, with signature trees.
 
 1. Every text becomes the set of hashes of its shingles.  Texts with the same words are one class.
-2. Of two linked sets each has a common shingle among its least 25 % of hashes.  Classes with no such shingle in common
-   with another class have no links.  Only they need no more than this prefix; the others are read again in full.
+2. Hashes are in ascending order.  Of two linked sets each has several common shingles early in this order (see
+   ``early``), so a class is dropped unless so many of its early shingles occur early in other classes.  Only the early
+   ones are moved, as 32-bit remainders within buckets; classes that stay are read again in full.
 3. Shingles are ordered by the number of classes that hold them.  A class with fewer shared shingles than a link needs
    is dropped; the rest enter a bucket for each shared shingle in their prefix of this order.  Buckets with the same
    members are one bucket.
@@ -33,6 +34,10 @@ PERCENT = 75
 BLOCK = 256  # members of one tree
 TASK_ROWS = 2_000  # members that one task holds at a time, on average
 FILTER_BITS = 1 << 25  # size of the filter that spares most classes a second reading
+EARLY_SHARE = 5  # a fifth of a set more than the least prefix is compared early
+WINDOW_SHINGLES = 4_000_000  # early shingles that a Python worker combines before it sends them on
+WINDOW_CLASSES = 30_000
+BUCKET_ROWS = 2_000  # documents to a bucket of early shingles
 REMEMBERED = 600_000  # word hashes that one Python worker keeps
 FAN_OUT = 4
 
@@ -81,30 +86,147 @@ def _need(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def prefixes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, class (16 bytes, null for empty texts), n, prefix of every row."""
+def early(n: int) -> int:
+    """How many of the least hashes of a set of n are compared: n - need + g, where g = ``common(n)``.
+
+    At most n - need of them are outside the overlap with a linked set, so g of them lie inside it, and the first
+    common(m) of the overlap are early in a linked set of m as well.
+    """
+    return n - _need(n) + common(n) if n else 0
+
+
+def common(n: int) -> int:
+    return max(1, n // EARLY_SHARE)
+
+
+def least_common(n: Column) -> Column:
+    """Early shingles that a class of n must share to have a link: ``common`` of the smallest possible partner."""
+    return F.greatest(F.lit(1), F.floor(needed(n) / EARLY_SHARE)).cast("int")
+
+
+READ = "key {kind}, class binary, x bigint, n int, bucket int, h binary, owner binary, xs binary"
+
+
+class Window:
+    """Early shingles of some documents, combined before they are moved."""
+
+    def __init__(self, bits: int):
+        self.bits, self.seen = bits, {}
+        self.hashes: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, x: int, hashes: np.ndarray) -> None:
+        if x not in self.seen:
+            self.seen[x] = len(self.seen)
+            self.hashes.append(hashes)
+            self.size += len(hashes)
+
+    def full(self) -> bool:
+        return self.size >= WINDOW_SHINGLES or len(self.seen) >= WINDOW_CLASSES
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(bucket, h, owner, xs).  A shingle of several classes here is credited to them at once, as bucket -1 with
+        counts for h, and only one of its classes is sent on, marked, so that a frequent shingle has one entry for each
+        window."""
+        if not self.seen:
+            return
+        xs = np.array(list(self.seen), "int64")
+        owner = np.repeat(np.arange(len(xs)), [len(h) for h in self.hashes])
+        h = np.concatenate(self.hashes).view("uint64")
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        first = np.append(True, h[1:] != h[:-1])
+        group = np.cumsum(first) - 1
+        several = (np.bincount(group) > 1)[group]
+        credit = np.bincount(owner[several], minlength=len(xs))
+        got = np.flatnonzero(credit)
+        yield -1, credit[got].astype("<u4").tobytes(), b"", xs[got].tobytes()
+        h, owner, several = h[first], owner[first], several[first]
+        bucket = (h >> np.uint64(64 - self.bits)).astype("int64")
+        edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            classes, at = np.unique(owner[start:end], return_inverse=True)
+            marked = at | several[start:end].astype("int64") << 15
+            yield (int(bucket[start]), (h[start:end] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                   marked.astype("<u2").tobytes(), xs[classes].tobytes())
+
+
+def read_documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per document (key, class, x, n; class null for empty texts), and rows of early shingles (bucket, h,
+    owner, xs), from one pass over the texts."""
     kind = df.schema[key].dataType.simpleString()
+    rows = df.select(df[key].alias("key"), text_of(df, text).alias("text"))
+    bits = max(6, (df.count() // BUCKET_ROWS).bit_length())
+    names = ["key", "class", "x", "n", "bucket", "h", "owner", "xs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, window, kept = Shingler(), Window(bits), None
+
+        def posted() -> pa.RecordBatch:
+            found = list(window.rows())
+            none = [pa.nulls(len(found), t) for t in (kept.schema.field(0).type, pa.binary(), pa.int64(), pa.int32())]
+            parts = [pa.array(list(v), t) for v, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*none, *parts], names)
+
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
-                classes, sizes, heads = [], [], []
+            kept = whole
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                classes, numbers, sizes = [], [], []
                 for value in batch.column(1):
                     words = shingler.words(value.as_py())
                     found = shingler.sets(words)
                     n = len(found)
-                    classes.append(blake2b(b" ".join(words), digest_size=16).digest() if n else None)
+                    digest = blake2b(b" ".join(words), digest_size=16).digest() if n else None
+                    x = int.from_bytes(digest[:8], "little", signed=True) if n else None
+                    classes.append(digest)
+                    numbers.append(x)
                     sizes.append(n)
-                    heads.append(found[: n - _need(n) + 1 if n else 0])
+                    if n:
+                        window.add(x, found[: early(n)])
+                    if window.full():
+                        yield posted()
+                        window = Window(bits)
+                blank = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(classes, "binary"), pa.array(sizes, "int32"), pa.array(heads, pa.list_(pa.int64()))],
-                    ["key", "class", "n", "prefix"],
-                )
+                    [batch.column(0), pa.array(classes, "binary"), pa.array(numbers, "int64"), pa.array(sizes, "int32"), *blank], names)
+        if window.seen:
+            yield posted()
+
+    return rows.mapInArrow(run, READ.format(kind=kind))
+
+
+def credits(read: DataFrame) -> DataFrame:
+    """x, credit: how many early shingles of a class occur early in other classes (or more, for classes with copies)."""
+    posted = read.where("bucket is not null").select("bucket", "h", "owner", "xs")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        h, x, marked = [], [], []
+        for a, b, c in zip(rows["h"], rows["owner"], rows["xs"]):
+            owner = np.frombuffer(b, "<u2")
+            h.append(np.frombuffer(a, "<u4"))
+            x.append(np.frombuffer(c, "<i8")[owner & 0x7FFF])
+            marked.append(owner >> 15)
+        h, x, marked = np.concatenate(h), np.concatenate(x), np.concatenate(marked).astype(bool)
+        order = np.lexsort((~marked, x, h))  # of a class's entries for one shingle the marked one comes first
+        h, x, marked = h[order], x[order], marked[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]))
+        h, x, marked = h[once], x[once], marked[once]
+        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+        shared = (np.bincount(group) > 1)[group] & ~marked
+        found, n = np.unique(x[shared], return_counts=True)
+        return pd.DataFrame({"x": found, "credit": n.astype("int64")})
+
+    across = posted.where("bucket >= 0").groupBy("bucket").applyInPandas(count, "x bigint, credit bigint")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(c, "<i8")), pa.array(np.frombuffer(a, "<u4").astype("int64"))], ["x", "credit"])
 
-    rows = df.select(df[key].alias("key"), text_of(df, text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, class binary, n int, prefix array<bigint>")
+    within = posted.where("bucket < 0").select("h", "xs").mapInArrow(local, "x bigint, credit bigint")
+    return across.unionByName(within).groupBy("x").agg(F.sum("credit").alias("credit"))
 
 
 def _bits_of(keys: DataFrame) -> np.ndarray:
@@ -316,13 +438,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     75 % on, so rows with the same words always do.  Repeated rows are kept.  Null keys have no part in the minimum: a
     component with null keys only has a null id.  An empty table gives an empty result.
     """
-    read = written(prefixes(df, key, text), "prefixes")
-    classes = written(read.where("class is not null").groupBy("class").agg(F.min("key").alias("key")), "classes")
-    short = F.xxhash64("class").alias("x")
-    heads = read.where("class is not null").select(short, F.explode("prefix").alias("h"))
-    common = heads.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low != high").select("h")
-    alive = heads.join(written(common, "common_heads"), "h", "left_semi").select("x").distinct()
-    wanted = written(classes.withColumn("x", short).join(alive, "x", "left_semi").select("class", "key"), "wanted")
+    read = written(read_documents(df, key, text), "read")
+    documents = read.where("bucket is null").select("key", "class", "x", "n")
+    classes = written(documents.where("class is not null").groupBy("class", "x", "n").agg(F.min("key").alias("key")), "classes")
+    alive = credits(read).join(classes, "x").where(F.col("credit") >= least_common(F.col("n")))
+    wanted = written(alive.select("class", "key"), "wanted")
     members = written(
         whole_sets(df, key, text, wanted).withColumn("v", F.monotonically_increasing_id()), "members", compression="none")
     rows = written(buckets(written(shared_prefixes(members), "shared_prefixes")), "bucket_rows")
@@ -340,7 +460,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     linked = written(in_component.join(least, "component").select("class", "component_id"), "linked")
     alone = classes.join(linked, "class", "left_anti").select("class", F.col("key").alias("component_id"))
     ids = written(linked.unionByName(alone), "component_ids")
-    out = read.join(ids, "class", "left").select(
+    out = documents.join(ids, "class", "left").select(
         "key", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
     )
