@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The classifier is fitted on a bounded sample of labelled rows: PER_CLASS rows of either label are examples and as many
-calibrate.  Its features are the words and word beginnings that differ most between the labels in the sample.  Document
+calibrate.  Its features are the words and word beginnings that point to toxic texts most in the sample.  Document
 frequencies are counted over all documents.  The examples lie in a block-max inverted index: a block of neighbouring
 examples has the largest weight of every feature, the sum of its products with a query bounds all cosines within the
 block, and blocks are visited by falling bound until none can hold a nearer example.  The nearest examples vote with
@@ -24,6 +24,7 @@ from wardlight.llm.common import text_of, written
 PER_CLASS = 3_000
 FEATURES = 2_048
 LEAST_GAIN = 15.0  # log-likelihood ratio from which a feature is more than chance
+LEAST_LIFT = 4.0  # how many times more often toxic texts must have a feature
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.3
@@ -68,7 +69,7 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def select_features(texts: DataFrame, size: int) -> list[str]:
-    """The features with the largest log-likelihood ratio between the labels of (text, toxic) rows."""
+    """The features of toxic texts with the largest log-likelihood ratio between the labels of (text, toxic) rows."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +93,8 @@ def select_features(texts: DataFrame, size: int) -> list[str]:
     n = n1 + n0
     gain = 2 * (
         part(a, df * n1 / n) + part(b, df * n0 / n) + part(n1 - a, (n - df) * n1 / n) + part(n0 - b, (n - df) * n0 / n))
-    best = counted.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(size)
+    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    best = counted.withColumn("gain", gain).where((F.col("gain") >= LEAST_GAIN) & (lift >= LEAST_LIFT)).orderBy(F.desc("gain"), "feature").limit(size)
     return [r["feature"] for r in best.collect()]
 
 
