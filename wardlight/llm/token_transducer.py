@@ -28,7 +28,7 @@ from wardlight.llm.common import text_of
 
 CHUNK = 512  # bytes
 BATCH_CHARS = 2_000_000
-MOST_STATES = 120_000  # beyond this the table is begun anew
+MOST_STATES = 250_000  # beyond this the table is begun anew
 CONTINUED, LETTER, NUMBER, SPACE, OTHER = range(5)
 WEIGHT_BITS, WEIGHT_ZERO = 8, 128
 FRESH = ("", ((0, "", 0),))  # nothing read of a piece yet
