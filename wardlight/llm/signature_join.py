@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import text_of, written
@@ -388,16 +388,18 @@ def tree_links(members: list[int], sets: list[np.ndarray], labels: list, sides:
     return links
 
 
-def tree_task(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
+def tree_task(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    out: list[tuple[int, int]] = []
+    hashes = dict(zip(sets["w"].tolist(), sets["hashes"]))
     for _, pair in rows.groupby("pair", sort=False):
-        out += tree_links(pair["v"].tolist(), list(pair["hashes"]), pair["component"].tolist(), pair["side"].tolist())
+        members = pair["v"].tolist()
+        out += tree_links(members, [hashes[v] for v in members], pair["component"].tolist(), pair["side"].tolist())
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
 
 
 def tree_join(open_rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Links between different components within the buckets of ``open_rows`` (h, v, n, component)."""
-    spark: SparkSession = open_rows.sparkSession
+    """Links between different components within the buckets of ``open_rows`` (h, low, v, n, component), low being the
+    least component of the bucket."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
     banded = open_rows.withColumn("band", band)
     own = banded.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -409,7 +411,7 @@ def tree_join(open_rows: DataFrame, members: DataFrame) -> DataFrame:
         blocks.select("h", "band", "apart", "n_blocks"), ["h", "band", "apart"])
     placed = written(placed.withColumn("block", F.struct(
         "band", "apart", F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int").alias("no")
-    )).select("h", "v", "component", "block"), "blocks")
+    )).select("h", "low", "v", "component", "block"), "blocks")
     there = placed.select("h", "block").distinct()
     one, two = there.withColumnRenamed("block", "one"), there.withColumnRenamed("block", "two")
     pairs = one.join(two, "h").where(
@@ -419,14 +421,21 @@ def tree_join(open_rows: DataFrame, members: DataFrame) -> DataFrame:
     )
     pairs = written(pairs, "block_pairs")
     first = placed.join(pairs, (placed["h"] == pairs["h"]) & (placed["block"] == pairs["one"])).select(
-        placed["h"], "v", "component", "one", "two", F.lit(0).alias("side"))
+        placed["h"], "low", "v", "component", "one", "two", F.lit(0).alias("side"))
     second = placed.join(pairs, (placed["h"] == pairs["h"]) & (placed["block"] == pairs["two"])).where("one != two").select(
-        placed["h"], "v", "component", "one", "two", F.lit(1).alias("side"))
+        placed["h"], "low", "v", "component", "one", "two", F.lit(1).alias("side"))
     name = F.concat_ws(":", "h", *[f"{side}.{part}" for side in ("one", "two") for part in ("band", "apart", "no")])
-    rows = written(first.unionByName(second).select("v", "component", "side", name.alias("pair")), "tree_rows")
+    rows = written(first.unionByName(second).select("low", "v", "component", "side", name.alias("pair")), "tree_rows")
+    # Buckets with the same least component have many members in common: they go to one task, which gets each set once,
+    # or to several where they have more members than a task should hold.
+    parts = rows.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("parts"))
     tasks = max(1, rows.count() // TASK_ROWS)
-    full = rows.join(members.select("v", "hashes"), "v").withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)))
-    return full.groupBy("task").applyInPandas(tree_task, "a bigint, b bigint")
+    part = F.pmod(F.xxhash64("pair"), F.col("parts"))
+    placed_rows = written(rows.join(parts, "low").select(
+        F.pmod(F.xxhash64("low", part), F.lit(tasks)).alias("task"), "pair", "v", "component", "side"), "task_rows")
+    asked = placed_rows.select(F.col("task").alias("t"), F.col("v").alias("w")).distinct()
+    sets = asked.join(members.select(F.col("v").alias("w"), "hashes"), "w")
+    return placed_rows.groupBy("task").cogroup(sets.groupBy("t")).applyInPandas(tree_task, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -451,7 +460,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     joined = written(components(links), "star_components")
     labelled = rows.join(joined, "v", "left").withColumn("component", F.coalesce("component", "v")).select("h", "v", "n", "component")
     several = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_rows = written(labelled.join(written(several.select("h"), "open_buckets"), "h", "left_semi"), "open_rows")
+    open_rows = written(labelled.join(written(several.select("h", "low"), "open_buckets"), "h"), "open_rows")
     more = written(tree_join(open_rows, members), "tree_links")
     final = components(links.unionByName(more))
     named = members.select("v", "class").join(classes, "class")
