@@ -1,6 +1,5 @@
 """Deduplication, splits, samples, files and leakage checks."""
 
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -95,29 +94,36 @@ def test_older_chat_key(spark, tmp_path):
     assert sorted(r["prompt"] for r in rows) == ["new", "old"]
 
 
-def near_copies(n, seed):
+def test_near_overlap_equals_brute_force(spark):
     import random
 
-    rng = random.Random(seed)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 400))) for _ in range(n // 4)]
-    out = []
-    for i in range(n):
-        chars = list(rng.choice(base))
-        for _ in range(rng.randint(0, len(chars) // 8)):
-            chars[rng.randrange(len(chars))] = rng.choice("xyz")
-        out.append((i, "".join(chars)))
-    return out
-
-
-def test_fuzzy_overlap_equals_brute_force(spark):
-    test, train = near_copies(60, 1), near_copies(80, 1)
-    expected = {
-        (a, b, SequenceMatcher(None, s, t).ratio()) for a, s in test for b, t in train
-        if SequenceMatcher(None, s, t).ratio() > 0.9
-    }
-    frames = [spark.createDataFrame(pd.DataFrame(rows, columns=["row_id", "prompt"])) for rows in (test, train)]
-    got = {tuple(r) for r in fuzzy.fuzzy_overlap(*frames).collect()}
-    assert expected and got == expected
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    licence = " ".join(rng.choice(words) for _ in range(25))
+
+    def texts(n):
+        out = []
+        for i in range(n):
+            text = base[rng.randrange(len(base))].split()
+            for _ in range(rng.randint(0, 6)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            out.append((i, " ".join(text) + (" " + licence if i % 3 else "")))
+        return out + [(n, None), (n + 1, ""), (n + 2, "short text"), (n + 3, "Short  TEXT"), (n + 4, licence)]
+
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 60))) for _ in range(12)]
+    test, train = texts(60), texts(90)
+
+    def shingles(text):
+        parts = (text or "").lower().split()
+        return {tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+    def similar(a, b):
+        return bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+
+    expected = {(i, len(shingles(t)), any(similar(shingles(t), shingles(u)) for _, u in train)) for i, t in test}
+    frames = [spark.createDataFrame(rows, "row_id bigint, prompt string") for rows in (test, train)]
+    assert {tuple(r) for r in fuzzy.near_overlap(*frames).collect()} == expected
+    assert len({leaked for _, _, leaked in expected}) == 2
 
 
 def test_stop_words_by_list_and_by_language(spark):

@@ -8,10 +8,9 @@ from conftest import ROOT, plan_of
 from wardlight.plans.queries import REGISTRY
 from wardlight.plans.oracle import oracle
 
-PYTHON_ALLOWED = {"fuzzy_overlap"}
 NATIVE = ["detect", "mode_compare", "decision_log", "model_run_log", "latency_quantiles_5m", "running_totals",
           "stratified_split", "dedup_prompts", "exact_overlap", "chat_context", "pr_curve", "ngram_bias",
-          "event_counters", "legacy_detect", "concurrency", "latency_p95_exact", "seeded_shuffle", "best_checkpoint"]
+          "event_counters", "legacy_detect", "concurrency", "latency_p95_exact", "seeded_shuffle", "best_checkpoint", "near_overlap", "tfidf_weights"]
 
 
 @pytest.mark.parametrize("name", NATIVE)
@@ -43,5 +42,12 @@ def test_sources_keep_to_the_rules():
 
 def test_every_query_has_sql_or_a_reason():
     without = set(REGISTRY) - set(oracle())
-    assert without == {"details_json", "chat_log_build", "fuzzy_overlap", "baseline_train_eval", "batch_scoring"}
+    assert without == {"details_json", "chat_log_build", "baseline_train_eval", "batch_scoring"}
     assert not set(oracle()) - set(REGISTRY)
+
+
+def test_texts_stay_out_of_the_shuffle_and_the_sort(spark, small):
+    for line in plan_of(REGISTRY["seeded_shuffle"](spark, small)).splitlines():
+        assert not (("Exchange" in line or "Sort " in line) and "prompt" in line), line
+    plan = plan_of(REGISTRY["dedup_prompts"](spark, small))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

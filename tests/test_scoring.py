@@ -98,11 +98,15 @@ def test_every_rule_is_in_exactly_one_group():
 
 
 def test_own_rules(spark):
-    rules = RuleSet(literals=["zebra"], high_risk=["zebra"], down_weighted=[], patterns=[r"a.*b\d"])
-    df = spark.createDataFrame([(1, "a zebra"), (2, "a then b7"), (3, "gun")], "prompt_id bigint, prompt string")
+    rules = RuleSet(literals=["zebra"], high_risk=["zebra"], down_weighted=[], patterns=[r"a.*b\d", r"colou?r", "(cat|dog)", "x.*y"])
+    texts = ["a zebra", "a then b7", "gun", "colour", "Color", "a\nb7", "cat and dog", "x to y", "y to x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "prompt_id bigint, prompt string")
     rows = with_keyword_score(df, rules=rules).orderBy("prompt_id").collect()
-    assert [(r["n_high"], r["n_pattern"]) for r in rows][:1] == [(1, 0)]
+    assert [(r["n_high"], r["n_pattern"]) for r in rows] == [
+        (1, 0), (0, 1), (0, 0), (0, 1), (0, 1), (0, 0), (0, 1), (0, 1), (0, 0)]
     assert rows[2]["points10"] == 0
+    none = RuleSet(literals=[], high_risk=[], down_weighted=[], patterns=[])
+    assert {r["points10"] for r in with_keyword_score(df, rules=none).collect()} == {0}
 
 
 @pytest.mark.parametrize("label, score, text, expected", [

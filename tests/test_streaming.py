@@ -58,3 +58,22 @@ def test_log_sinks_are_idempotent(spark, small):
     for _ in range(2):  # the second run starts from nothing and writes the same batches again
         jobs.log_batches(detect.score_prompts(inputs.prompts_from(source)), build, path, scratch_path(spark, "state"))
     assert spark.read.parquet(f"{path}/decisions").count() == docs.count()
+
+
+def test_a_failing_log_stops_nothing_and_a_retry_does_not_score_again(spark, small):
+    docs = inputs.table(spark, small, "documents")
+    path, source = scratch_path(spark, "logs"), in_batches(spark, docs, 2)
+
+    def broken(df):
+        raise RuntimeError("no log today")
+
+    builders = {"broken": broken, "decisions": lambda df: logs.decision_log(df, F.col("latency_s") * 1000.0)}
+    jobs.log_batches(detect.score_prompts(inputs.prompts_from(source)), builders, path, scratch_path(spark, "state"))
+    assert spark.read.parquet(f"{path}/decisions").count() == docs.count()
+    failures = spark.read.parquet(f"{path}/failures").collect()
+    assert {(r.log, r.error) for r in failures} == {("broken", "RuntimeError: no log today")}
+    before = sorted(spark.read.parquet(f"{path}/scored").inputFiles())
+    del builders["broken"]
+    jobs.log_batches(detect.score_prompts(inputs.prompts_from(source)), builders, path, scratch_path(spark, "state"))
+    assert sorted(spark.read.parquet(f"{path}/scored").inputFiles()) == before
+    assert spark.read.parquet(f"{path}/decisions").count() == docs.count()

@@ -41,12 +41,16 @@ class RuleSet:
 def grouped_by_anchor(rules: RuleSet) -> list[tuple[str, list[tuple[str, str, list[str]]]]]:
     """Put rules that share a word under that word (the most shared word first).
 
-    A text without the word cannot hit any rule of the group, so one substring test replaces many.  Only words of
+    A text without the word cannot hit any rule of the group, so one substring test replaces many.  Patterns with regex
+    syntax of their own name no word that must occur; they form a group that every text is tested for.  Only words of
     four or more letters serve as a shared word, because shorter ones occur in most texts; a shorter rule is its
     own word.
     """
-    left = rules.entries()
-    groups = []
+    every = rules.entries()
+    left = [rule for rule in every if rule[2]]
+    groups = [("", [rule for rule in every if not rule[2]])]  # every text contains the empty word
+    if not groups[0][1]:
+        groups = []
     while left:
         sharing: dict[str, list] = {}
         for rule in left:

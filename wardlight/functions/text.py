@@ -37,8 +37,16 @@ def any_of(text: Column, words: list[str]) -> Column:
     return F.exists(strings(shortest(words)), lambda w: F.contains(text, w))
 
 
+def is_plain(pattern: str) -> bool:
+    """Whether the pattern is plain text around ``.*`` wildcards, so that its parts mean themselves."""
+    return all(re.fullmatch(r"[\w ]*", part) for part in pattern.split(WILDCARD))
+
+
 def fragments(pattern: str) -> list[str]:
-    """The literal parts of an ``a.*b.*c`` pattern, longest first; each must occur for it to match."""
+    """The literal parts of an ``a.*b.*c`` pattern, longest first; each must occur for it to match.  Patterns with other
+    regex syntax have none that a plain search could ask for."""
+    if not is_plain(pattern):
+        return []
     return sorted((part for part in pattern.split(WILDCARD) if part), key=len, reverse=True)
 
 
@@ -50,13 +58,14 @@ def line_regex(pattern: str) -> str:
     the most room for the next) but never backtracks, so a long line costs linear time.
     """
     parts = pattern.split(WILDCARD)
-    if all(re.fullmatch(r"[\w ]+", part) for part in parts):
+    if is_plain(pattern) and all(parts):
         return "(?dm)^" + "".join(f"(?>.*?{part})" for part in parts)
     return "(?d)" + pattern
 
 
 def has_parts(text: Column, pattern: str) -> Column:
-    return F.forall(strings(fragments(pattern)), lambda f: F.contains(text, f))
+    parts = fragments(pattern)
+    return F.forall(strings(parts), lambda f: F.contains(text, f)) if parts else F.lit(True)
 
 
 def matches(text: Column, pattern: str) -> Column:

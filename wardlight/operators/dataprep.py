@@ -61,11 +61,11 @@ def label_encode(df: DataFrame, train: DataFrame | None = None, order: str = "ro
 def dedup_prompts(df: DataFrame, order: str = "row_id") -> DataFrame:
     """Keep the first row of every prompt; missing prompts are one prompt.
 
-    An aggregate, not a ranking window: copies of one prompt shrink to one row in every map task.
+    ``order`` must be unique.  Prompts are grouped by digest, so that an aggregate of 40 bytes a row finds the first
+    ones and no text is sorted; copies of one prompt shrink to one row in every map task.
     """
-    rest = [c for c in df.columns if c != "prompt"]
-    first = F.min_by(F.struct(*rest), F.col(order))
-    return df.groupBy("prompt").agg(first.alias("_first")).select("prompt", "_first.*").select(*df.columns)
+    first = df.groupBy(F.unhex(F.sha2(F.col("prompt"), 256))).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi").select(*df.columns)
 
 
 def exact_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -80,10 +80,15 @@ def shuffle_key(df: DataFrame, seed: int = SEED, order: str = "row_id") -> Colum
 
 
 def seeded_shuffle(df: DataFrame, seed: int = SEED, order: str = "row_id") -> DataFrame:
-    """Rows with their 0-based position in a seeded random order."""
-    keyed = df.withColumn("_key", shuffle_key(df, seed, order))
+    """Rows with their 0-based position in a seeded random order; ``order`` must be unique."""
+    return df.join(shuffle_positions(df, seed, order), order).select(*df.columns, "position")
+
+
+def shuffle_positions(df: DataFrame, seed: int = SEED, order: str = "row_id") -> DataFrame:
+    """order, position: only ids and sort keys are moved, never the prompts."""
+    keyed = df.select(order, shuffle_key(df, seed, order).alias("_key"))
     placed = position(keyed, [F.col("_key"), F.col(order)], name="_position")
-    return placed.withColumn("position", F.col("_position") - 1).drop("_key", "_position")
+    return placed.select(order, (F.col("_position") - 1).alias("position"))
 
 
 def seeded_sample(df: DataFrame, n: int = 500, seed: int = SEED, order: str = "row_id") -> DataFrame:
@@ -95,9 +100,9 @@ def seeded_sample(df: DataFrame, n: int = 500, seed: int = SEED, order: str = "r
 def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = SEED, order: str = "row_id") -> DataFrame:
     """Add ``split``: exactly round(share * rows) test rows per label.
 
-    The test rows of a label are those with the smallest seeded hash.  A histogram of hash prefixes finds the one
-    bucket in which the cut falls; only the rows of that bucket are ranked, all others are decided by their prefix.
-    So no label, however large, meets in one task.
+    ``order`` must be unique.  The test rows of a label are those with the smallest seeded hash.  A histogram of hash
+    prefixes finds the one bucket in which the cut falls; only ids and hashes of that bucket are ranked, all other rows
+    are decided by their prefix.  So no label, however large, meets in one task.
     """
     hashed = df.withColumn("_hash", shuffle_key(df, seed, order)).withColumn(
         "_bucket", F.conv(F.substring("_hash", 1, SPLIT_BUCKETS_HEX), 16, 10).cast("int")
@@ -114,16 +119,16 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = SEED, o
         F.col("_bucket").alias("_cut"),
         (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_take"),
     )
-    placed = hashed.join(small_side(cut), F.col("label").eqNullSafe(F.col("_label")), "left")
-    at_cut = F.col("_bucket") == F.col("_cut")
-    clear = placed.where(F.col("_cut").isNull() | ~at_cut).withColumn(
-        "split", F.when(F.col("_bucket") < F.col("_cut"), "test").otherwise("train")
-    )
+    cut = small_side(cut)
+    placed = hashed.join(cut, F.col("label").eqNullSafe(F.col("_label")), "left")
     smallest = Window.partitionBy("label").orderBy("_hash", order)
-    ranked = placed.where(at_cut).withColumn(
-        "split", F.when(F.row_number().over(smallest) <= F.col("_take"), "test").otherwise("train")
-    )
-    return clear.unionByName(ranked).select(*df.columns, "split")
+    at_cut = placed.where("_bucket = _cut").select("label", "_hash", order, "_take")
+    taken = at_cut.where("_take > 0").withColumn("_rank", F.row_number().over(smallest)).where("_rank <= _take").select(
+        order, F.lit(True).alias("_taken"))
+    below = F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+    decided = placed.join(taken, order, "left").withColumn(
+        "split", F.when(below | F.col("_taken").isNotNull(), "test").otherwise("train"))
+    return decided.select(*df.columns, "split")
 
 
 def split_shares(split: DataFrame) -> DataFrame:

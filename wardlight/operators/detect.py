@@ -13,7 +13,7 @@ from wardlight.functions import classifiers, voting
 from wardlight.functions.rules import RuleSet, with_keyword_score
 from wardlight.functions.text import any_of
 
-MODEL_INPUT_CHARS = 512
+MODEL_INPUT_CHARS = V.MODEL_INPUT_CHARS
 RAW_COLUMNS = ["toxic", "hate", "safety"]
 Scorer = Callable[[Column], Column]
 
@@ -28,14 +28,28 @@ def with_scores(
     rules: RuleSet | None = None,
     text: str = "prompt",
     failed: Column | None = None,
+    input_chars: int | None = MODEL_INPUT_CHARS,
+    on_failure: str = "score",
 ) -> DataFrame:
-    """The four scores, ``early_exit`` and ``error``; early exits and failed prompts have the keyword score only."""
+    """The four scores, ``early_exit`` and ``error``; early exits and failed prompts have the keyword score only.
+
+    ``input_chars`` is how much of a text the models read (None: all of it).  A scorer that gives no output for a
+    prompt, as ``batch_scorer`` does where its model fails, scores 0 (``on_failure="score"``) or sends the prompt to the
+    fallback (``"fallback"``).
+    """
+    if on_failure not in ("score", "fallback"):
+        raise ValueError("on_failure is 'score' or 'fallback'")
     df = with_early_exit(with_keyword_score(prompts, text, rules))
+    broken = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
     if scorers:
-        cut = F.substring(F.coalesce(F.col(text), F.lit("")), 1, MODEL_INPUT_CHARS)
+        whole = F.coalesce(F.col(text), F.lit(""))
+        cut = whole if input_chars is None else F.substring(whole, 1, input_chars)
         df = df.withColumn("_input", F.when(~F.col("early_exit"), cut))
         df = df.withColumns({name: fn(F.col("_input")) for name, fn in scorers.items()}).drop("_input")
-    error = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False)) & ~F.col("early_exit")
+        if on_failure == "fallback":
+            for name in scorers:
+                broken = broken | F.col(f"{name}.score").isNull()
+    error = broken & ~F.col("early_exit")
     df = df.withColumn("error", error)
     lowered, skip = F.col("_lowered"), F.col("early_exit") | F.col("error")
     return df.withColumns({
@@ -53,6 +67,8 @@ def score_prompts(
     parallel: bool = False,
     text: str = "prompt",
     failed: Column | None = None,
+    input_chars: int | None = MODEL_INPUT_CHARS,
+    on_failure: str = "score",
 ) -> DataFrame:
     """Decide every prompt of a table or stream; one pass, no shuffle.
 
@@ -61,37 +77,67 @@ def score_prompts(
     ``batch_scorer``).  Early-exit prompts never reach a scorer: it gets NULL for them, which it has to pass
     through, so the rules are evaluated once and not once per branch.
 
-    ``failed`` marks rows whose models broke down: these fall back to the keyword score alone.
+    ``failed`` marks rows whose models broke down: these fall back to the keyword score alone.  See ``with_scores`` for
+    ``input_chars`` and ``on_failure``.
     ``parallel`` selects the texts of the parallel form of the detector; the scores are the same.
     """
-    df = with_scores(prompts, scorers, rules, text, failed).withColumn("_settings", voting.mode_settings(mode))
+    df = with_scores(prompts, scorers, rules, text, failed, input_chars, on_failure).withColumn("_settings", voting.mode_settings(mode))
     return decide(voting.with_vote(df), parallel).drop("_settings")
 
 
-def compare_modes(prompts: DataFrame, parallel: bool = False, **options) -> DataFrame:
-    """Every prompt under every sensitivity mode.  Rules and models run once per prompt, before the explode."""
-    each = with_scores(prompts, **options).withColumn("mode", F.explode(voting.all_modes()))
+def compare_modes(prompts: DataFrame, parallel: bool = False,
+                  before: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """Every prompt under every sensitivity mode.  Rules and models run once per prompt, before the explode.
+
+    ``before`` is applied to the scored rows before they are exploded, for columns that need the text once.
+    """
+    scored = with_scores(prompts, **options)
+    each = (before(scored) if before else scored).withColumn("mode", F.explode(voting.all_modes()))
     each = each.withColumn("_settings", voting.mode_settings(F.col("mode")))
     return decide(voting.with_vote(each), parallel).drop("_settings")
 
 
 def batch_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Scorer:
     """Turn a model into a scorer.  ``load`` runs once per task and returns a function from a list of texts to
-    (label, score) pairs; Arrow batches go in, NULL texts are left out and stay NULL."""
+    (label, score) pairs; Arrow batches go in, NULL texts are left out and stay NULL.
 
-    @F.pandas_udf("label string, score double")
+    A failing model never ends the job: a batch that it cannot score is asked for text by text, and the texts that fail
+    alone have ``error`` in place of label and score.  Where the model cannot be loaded all texts have it.
+    """
+
+    @F.pandas_udf("label string, score double, error string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = load()
+        predict, broken = None, None
+        try:
+            predict = load()
+        except Exception as failure:  # the model is the caller's: whatever it raises is recorded in the rows
+            broken = _message(failure)
         for texts in batches:
             known = texts.dropna()
-            result = pd.DataFrame({"label": None, "score": None}, index=texts.index)
-            if len(known):
-                result.loc[known.index] = pd.DataFrame(predict(known.tolist()), index=known.index, columns=["label", "score"])
-            yield result.astype({"score": "float64"})
+            rows = [(None, None, broken)] * len(known) if predict is None else _predicted(predict, known.tolist())
+            found = pd.DataFrame(rows, index=known.index, columns=["label", "score", "error"])
+            yield found.reindex(texts.index).astype({"label": object, "score": "float64", "error": object})
 
     return score
 
 
+def _message(failure: Exception) -> str:
+    return f"{type(failure).__name__}: {failure}"
+
+
+def _predicted(predict: Callable, texts: list[str]) -> list[tuple]:
+    """(label, score, error) per text: the whole batch at once, or text by text if that fails."""
+    try:
+        pairs = list(predict(texts)) if texts else []
+        if len(pairs) != len(texts):
+            raise ValueError("the model gave another number of outputs than it got texts")
+        return [(label, score, None) for label, score in pairs]
+    except Exception as failure:
+        if len(texts) == 1:
+            return [(None, None, _message(failure))]
+        return [row for one in texts for row in _predicted(predict, [one])]
+
+
 def decide(df: DataFrame, parallel: bool = False) -> DataFrame:
     """Let early exits and errors override the vote, and add winning mechanism and details."""
     early, error = F.col("early_exit"), F.col("error")
@@ -109,21 +155,6 @@ def decide(df: DataFrame, parallel: bool = False) -> DataFrame:
     }).drop("mechanism")
 
 
-def compare_modes(prompts: DataFrame, **options) -> DataFrame:
-    """Every prompt under every sensitivity mode.  Rules run once per prompt, before the explode."""
-    scored = with_early_exit(with_keyword_score(prompts, options.get("text", "prompt"), options.get("rules")))
-    lowered, skip = F.col("_lowered"), F.col("early_exit")
-    scored = scored.withColumns({
-        "error": F.lit(False),
-        "toxic_score": F.when(skip, 0.0).otherwise(classifiers.toxic_score(lowered, F.col("toxic"))),
-        "hate_score": F.when(skip, 0.0).otherwise(classifiers.hate_score(lowered, F.col("hate"))),
-        "safety_score": F.when(skip, 0.0).otherwise(classifiers.safety_score(lowered, F.col("safety"))),
-    }).drop("_lowered", *RAW_COLUMNS)
-    each = scored.withColumn("mode", F.explode(voting.all_modes()))
-    each = each.withColumn("_settings", voting.mode_settings(F.col("mode")))
-    return decide(voting.with_vote(each), options.get("parallel", False)).drop("_settings")
-
-
 def breakdown(df: DataFrame, latencies: dict[str, Column]) -> DataFrame:
     """Per-model scores and times, as the parallel detector returns them for prompts that took no early exit."""
     scores = F.struct(*[F.col(f"{m}_score").alias(m) for m in V.SCORE_NAMES])

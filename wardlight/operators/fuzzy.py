@@ -1,60 +1,81 @@
-"""Fuzzy leakage check: similar prompt pairs between seeded samples of two sets."""
+"""Near-duplicate leakage check over whole sets: test prompts that are similar to any train prompt."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators.dataprep import seeded_sample
-
-SAMPLE_ROWS = 500
-BLOCKS = 16
-PAIR_COLUMNS = "test_id bigint, train_id bigint, similarity double"
-
-
-def similarity_above(test: str, train: str, threshold: float, matcher: SequenceMatcher) -> float | None:
-    """Similarity if it exceeds the threshold.  The two cheap tests are upper bounds, so they lose nothing."""
-    matcher.set_seq1(test)
-    if matcher.real_quick_ratio() <= threshold or matcher.quick_ratio() <= threshold:
-        return None
-    ratio = matcher.ratio()
-    return ratio if ratio > threshold else None
-
-
-def _verify(threshold: float):
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for (train_id, train_text), pairs in batch.groupby(["train_id", "train_text"], sort=False):
-                matcher = SequenceMatcher(None)
-                matcher.set_seq2(train_text)  # the index of the second text is built once per group
-                for test_id, test_text in zip(pairs["test_id"], pairs["test_text"]):
-                    score = similarity_above(test_text, train_text, threshold, matcher)
-                    if score is not None:
-                        found.append((test_id, train_id, score))
-            yield pd.DataFrame(found, columns=["test_id", "train_id", "similarity"])
-    return check
-
-
-def fuzzy_overlap(test: DataFrame, train: DataFrame, threshold: float = 0.9, n: int = SAMPLE_ROWS,
-                  seed: int = 42) -> DataFrame:
-    """Pairs (test, train) of two seeded samples whose similarity ratio exceeds the threshold.
-
-    The ratio is asymmetric, the test prompt is the first argument.  Sampling is part of the check: it bounds the
-    pairs to ``n * n`` whatever the size of the sets, which are only scanned once each for their top-k by seeded hash.
-    The pairs are spread by an equi-join on a block number; the length test is lossless, since a ratio cannot exceed
-    ``2 * min / (a + b)``.
+from wardlight.session import stored
+
+SHINGLE_WORDS = 5
+PERCENT = 75
+
+
+def with_shingles(df: DataFrame, text: str, name: str = "own", size: int = SHINGLE_WORDS) -> DataFrame:
+    """Add the distinct hashes of the word shingles of a lower-cased text; fewer words are one shingle, no words none.
+
+    The words are a column of their own, since a lambda would extract them anew for every shingle.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0))
+    split = df.withColumn("_words", words)
+    words = F.col("_words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+    hashes = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))
+    return split.withColumn(name, F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)).drop("_words")
+
+
+def _needed(n: Column) -> Column:
+    """Least overlap with a similar set: the smallest whole number of at least PERCENT of n."""
+    return F.floor((n * PERCENT + 99) / 100).cast("int")
+
+
+def _similar(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return 100 * common >= PERCENT * (F.size(a) + F.size(b) - common)
+
+
+def _found_by(sets: DataFrame, frequency: DataFrame) -> DataFrame:
+    """id, side, h: the rarest shingles of every set that one with a similar set must share."""
+    ranked = sets.select("id", "side", F.size("own").alias("n"), F.explode("own").alias("h")).join(frequency, "h").groupBy(
+        "id", "side", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    spare = F.size("shared") - _needed(F.col("n")) + 1
+    return ranked.where(spare > 0).select("id", "side", F.explode(F.slice("shared", F.lit(1), spare)["h"]).alias("h"))
+
+
+def near_overlap(test: DataFrame, train: DataFrame, key: str = "row_id", text: str = "prompt") -> DataFrame:
+    """key, n_shingles, leaked: whether any train prompt has a Jaccard similarity of PERCENT or more.
+
+    Exact and over all rows, in native expressions.  Prompts with equal shingles are found by a digest join and leave
+    first.  For the rest, shingles are ordered by how many different sets hold them; two similar sets share one among
+    the first of each, so boilerplate that many prompts hold is met only where hardly anything else is left.  Each open
+    test set is held against one train set per shared shingle, which settles large groups of near copies in linear
+    time, and only those still open against all train sets that share a shingle with it.
     """
-    left = seeded_sample(test.where(F.col("prompt").isNotNull()), n, seed).select(
-        F.col("row_id").alias("test_id"), F.col("prompt").alias("test_text")
-    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    right = seeded_sample(train.where(F.col("prompt").isNotNull()), n, seed).select(
-        F.col("row_id").alias("train_id"), F.col("prompt").alias("train_text")
-    ).withColumn("_block", F.pmod(F.hash("train_id"), F.lit(BLOCKS)))
-    a, b = F.length("test_text"), F.length("train_text")
-    pairs = left.join(right.hint("shuffle_merge"), "_block").where(F.least(a, b) * 2.0 > (a + b) * threshold)
-    return pairs.drop("_block").mapInPandas(_verify(threshold), PAIR_COLUMNS)
+    def sets(df: DataFrame) -> DataFrame:
+        own = stored(with_shingles(df.select(F.col(key).alias("row"), F.col(text).alias("text")), "text").drop("text"), "shingles")
+        return own.withColumn("id", F.when(F.size("own") > 0, F.sha2(F.array_join(F.sort_array("own"), ",").cast("binary"), 256)))
+
+    asked, known = sets(test), sets(train)
+    here = known.where("id is not null").select("id").distinct()
+    equal = stored(asked.join(here, "id", "left_semi").select("id").distinct(), "equal")
+    once = asked.where("id is not null").join(equal, "id", "left_anti").dropDuplicates(["id"]).select("id", "own", F.lit(0).alias("side"))
+    there = known.where("id is not null").dropDuplicates(["id"]).select("id", "own", F.lit(1).alias("side"))
+    both = stored(once.unionByName(there), "sets")
+    frequency = both.select("side", F.explode("own").alias("h")).groupBy("h").agg(
+        F.count(F.lit(1)).alias("df"), F.min("side").alias("low"), F.max("side").alias("high"))
+    found = stored(_found_by(both, stored(frequency.where("low != high").select("h", "df"), "frequency")), "found_by")
+    left = found.where("side = 0").select(F.col("id").alias("a"), "h")
+    right = found.where("side = 1").select(F.col("id").alias("b"), "h")
+    own = both.select("id", "own")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        first, second = own.toDF("a", "own_a"), own.toDF("b", "own_b")
+        return pairs.join(first, "a").join(second, "b").where(_similar(F.col("own_a"), F.col("own_b"))).select("a").distinct()
+
+    leaders = right.groupBy("h").agg(F.min("b").alias("b"))
+    quick = stored(verified(left.join(leaders, "h").select("a", "b").distinct()), "quick")
+    open_ = left.join(quick, "a", "left_anti")
+    slow = verified(open_.join(right, "h").select("a", "b").distinct())
+    leaked = equal.unionByName(quick.toDF("id")).unionByName(slow.toDF("id")).withColumn("leaked", F.lit(True))
+    return asked.join(leaked, "id", "left").select(
+        F.col("row").alias(key), F.size("own").cast("bigint").alias("n_shingles"), F.coalesce("leaked", F.lit(False)).alias("leaked"))

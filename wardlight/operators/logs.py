@@ -9,16 +9,11 @@ from wardlight import fixed_values as V
 from wardlight.functions import voting
 from wardlight.functions.text import digest
 
-PROMPT_CHARS = 500
-LEGACY_PROMPT_CHARS = 100
-HASH_BUCKETS = 10_000
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-USER_AGENT = "web_interface"
-LOG_ZONE = "US/Pacific"
+HASH_BUCKETS = V.HASH_BUCKETS
 
 
 def stamp(ts: Column) -> Column:
-    return F.date_format(ts, TIME_FORMAT)
+    return F.date_format(ts, V.TIME_FORMAT)
 
 
 def run_name(model: Column, ts: Column) -> Column:
@@ -30,16 +25,24 @@ def outcome(flag: Column) -> Column:
     return F.when(flag, "adversarial").otherwise("safe")
 
 
-def _input_columns(text: Column) -> list[Column]:
+def _input_columns(text: Column, prompt_chars: int | None) -> list[Column]:
     return [
         F.length(text).cast("bigint").alias("input_length"),
         digest(text, HASH_BUCKETS).alias("input_hash"),
-        F.substring(text, 1, PROMPT_CHARS).alias("prompt"),
+        (text if prompt_chars is None else F.substring(text, 1, prompt_chars)).alias("prompt"),
     ]
 
 
+def with_input_columns(df: DataFrame, prompt_chars: int | None = V.LOG_PROMPT_CHARS) -> DataFrame:
+    """``df`` with ``_input``, the logged length, hash and start of the prompt, in place of the prompt itself.
+
+    Put before an explode, it is computed once per prompt and keeps whole texts out of the exploded rows.
+    """
+    return df.withColumn("_input", F.struct(*_input_columns(F.col("prompt"), prompt_chars))).drop("prompt")
+
+
 def model_run_log(scored: DataFrame, times_ms: dict[str, Column], mode: str = V.DEFAULT_MODE,
-                  pattern_count: int | None = None) -> DataFrame:
+                  pattern_count: int | None = None, prompt_chars: int | None = V.LOG_PROMPT_CHARS) -> DataFrame:
     """Wide to long: up to four rows per prompt.  Early exits and failed prompts log the keyword model only."""
     limits = [V.EARLY_EXIT_THRESHOLD] + [V.MODEL_THRESHOLD] * 3
     runs = [
@@ -53,9 +56,8 @@ def model_run_log(scored: DataFrame, times_ms: dict[str, Column], mode: str = V.
     ]
     keyword_only = F.col("early_exit") | F.col("error")
     rules = F.col("r.model_name") == V.MODELS[0]
-    text = F.col("prompt")
-    long = scored.select(
-        "prompt_id", "ts", "prompt",
+    long = with_input_columns(scored, prompt_chars).select(
+        "prompt_id", "ts", "_input",
         F.explode(F.when(keyword_only, F.array(runs[0])).otherwise(F.array(*runs))).alias("r"),
     )
     return long.select(
@@ -65,7 +67,7 @@ def model_run_log(scored: DataFrame, times_ms: dict[str, Column], mode: str = V.
         F.col("r.model_name").alias("model_name"),
         stamp(F.col("ts")).alias("timestamp"),
         F.col("r.adversarial").alias("adversarial"),
-        *_input_columns(text),
+        "_input.*",
         F.lit(mode).alias("sensitivity_mode"),
         F.when(rules, "rule_based").otherwise("ml_model").alias("detection_type"),
         F.when(rules, F.lit(pattern_count or len(V.LITERALS))).cast("bigint").alias("pattern_count"),
@@ -81,21 +83,24 @@ def model_run_log(scored: DataFrame, times_ms: dict[str, Column], mode: str = V.
 
 
 def decision_log(scored: DataFrame, total_ms: Column, mode: str | Column = V.DEFAULT_MODE,
-                 details: bool = True) -> DataFrame:
-    """One row per prompt with scores, flags, winning mechanism and the thresholds in force."""
+                 details: bool = True, prompt_chars: int | None = V.LOG_PROMPT_CHARS) -> DataFrame:
+    """One row per prompt with scores, flags, winning mechanism and the thresholds in force.
+
+    Rows that went through ``with_input_columns`` before, say before the modes were exploded, are taken as they are.
+    """
     scores = [F.col(f"{m}_score") for m in V.SCORE_NAMES]
     flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble",
              "early_exit", "error", "fallback"]
     settings = ["high_confidence_threshold", "weak_signals_threshold", "majority_threshold", "weighted_threshold"]
-    text = F.col("prompt")
-    log = scored.withColumn("_s", voting.mode_settings(mode)).select(
+    slim = scored if "_input" in scored.columns else with_input_columns(scored, prompt_chars)
+    log = slim.withColumn("_s", voting.mode_settings(mode)).select(
         "prompt_id",
         "ts",
         run_name(F.lit("ensemble_decision"), F.col("ts")).alias("run_name"),
         F.lit(V.ENSEMBLE_MODEL).alias("model_name"),
         stamp(F.col("ts")).alias("timestamp"),
         F.col("is_adversarial").alias("adversarial"),
-        *_input_columns(text),
+        "_input.*",
         (F.lit(mode) if isinstance(mode, str) else mode).alias("sensitivity_mode"),
         total_ms.alias("total_inference_time_ms"),
         F.greatest(*scores).alias("max_individual_score"),
@@ -153,8 +158,8 @@ def chat_log(moderated: DataFrame, latency: Column, session: Column) -> DataFram
         latency.alias("latency_seconds"),
         F.struct(
             F.size(scores).alias("model_count"),
-            F.lit(USER_AGENT).alias("user_agent"),
-            F.lit(LOG_ZONE).alias("timezone"),
+            F.lit(V.USER_AGENT).alias("user_agent"),
+            F.lit(V.LOG_ZONE).alias("timezone"),
         ).alias("metadata"),
     )
 
@@ -199,12 +204,12 @@ def model_performance_log(scored: DataFrame, seconds: Column) -> DataFrame:
         F.col("p.score").alias("adversarial_score"),
         "input_length",
         "input_hash",
-        F.lit(LOG_ZONE).alias("timezone"),
+        F.lit(V.LOG_ZONE).alias("timezone"),
     )
 
 
-def legacy_run_log(voted: DataFrame) -> DataFrame:
-    """Older log form: one row per model plus one ensemble row, prompt cut to 100 characters.
+def legacy_run_log(voted: DataFrame, prompt_chars: int | None = V.LEGACY_LOG_PROMPT_CHARS) -> DataFrame:
+    """Older log form: one row per model plus one ensemble row, with the start of the prompt.
 
     ``voted`` has prompt_id, prompt, ts, latency_s, the four ``<model>`` scores and the vote columns.
     """
@@ -234,10 +239,12 @@ def legacy_run_log(voted: DataFrame) -> DataFrame:
         F.lit("final_classification").alias("task"),
     )
     name = F.concat(F.col("r.model_name"), F.lit("_"), F.unix_timestamp("ts").cast("string"))
-    return voted.select("prompt_id", "prompt", "ts", F.explode(F.array(*rows, ensemble)).alias("r")).select(
+    prompt = F.col("prompt") if prompt_chars is None else F.substring("prompt", 1, prompt_chars)
+    cut = voted.withColumn("prompt", prompt)
+    return cut.select("prompt_id", "prompt", "ts", F.explode(F.array(*rows, ensemble)).alias("r")).select(
         "prompt_id",
         name.alias("run_name"),
-        F.substring("prompt", 1, LEGACY_PROMPT_CHARS).alias("prompt"),
+        "prompt",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         "r.*",
     )

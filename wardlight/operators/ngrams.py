@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions.text import strings, words
+from wardlight.session import stored
 
 LEAK_VOCABULARY, LEAK_NGRAMS = 5000, 3
 BASELINE_VOCABULARY, BASELINE_NGRAMS = 1000, 2
@@ -81,6 +82,23 @@ def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign"
     return biased.orderBy(F.col("difference").desc(), "gram").limit(top)
 
 
+def tfidf_long(df: DataFrame, size: int = BASELINE_VOCABULARY, longest: int = BASELINE_NGRAMS,
+               stop_words: StopWords = None, key: str = "row_id") -> DataFrame:
+    """key, gram, weight of the ``size`` most frequent grams: smoothed idf + 1, rows of unit length.
+
+    The texts are tokenised once into (row, gram, count); corpus frequency, document frequency and row length all come
+    from that table.  The vocabulary is bounded by its parameter.
+    """
+    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", key)
+    counted = stored(grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf")), "gram_counts")
+    every = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    corpus = counted.groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    known = top_ngrams(corpus, size).select("gram", (F.log((1.0 + every) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    weighed = counted.join(F.broadcast(known), "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighed.select(key, "gram", (F.col("w") / length).alias("weight"))
+
+
 class TfIdf:
     """TF-IDF with smoothed idf + 1 and unit length, as Spark ML stages over a bounded vocabulary."""
 

@@ -32,7 +32,7 @@ def filter_runs(log: DataFrame, **equals: str) -> DataFrame:
     return log
 
 
-def model_run_summary(log: DataFrame, latest: int | None = 100) -> DataFrame:
+def model_run_summary(log: DataFrame, latest: int | None = None) -> DataFrame:
     runs = search_runs(log, F.col("inference_time_ms") > 0, latest)
     return runs.groupBy("model_name").agg(
         F.round(F.avg("score"), 3).alias("score_mean"),
@@ -45,14 +45,14 @@ def model_run_summary(log: DataFrame, latest: int | None = 100) -> DataFrame:
     )
 
 
-def detection_rate(log: DataFrame, latest: int | None = 100) -> DataFrame:
+def detection_rate(log: DataFrame, latest: int | None = None) -> DataFrame:
     runs = search_runs(log, F.col("inference_time_ms") > 0, latest)
     return runs.groupBy("model_name").agg(
         F.count(F.lit(1)).alias("total"), F.sum(_flagged()).alias("adversarial"), F.round(_percent(), 6).alias("rate")
     )
 
 
-def mechanism_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
+def mechanism_stats(log: DataFrame, latest: int | None = None) -> DataFrame:
     """Triggers per vote layer and the share of them that ended adversarial; 0 where a layer never fired.
 
     The layers are counted side by side in one aggregate and turned into rows afterwards.
@@ -75,7 +75,7 @@ def mechanism_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
     return runs.agg(*counts).select(each)
 
 
-def early_exit_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
+def early_exit_stats(log: DataFrame, latest: int | None = None) -> DataFrame:
     runs = search_runs(log, F.col("total_inference_time_ms") > 0, latest)
     early = F.col("early_exit") == 1
     return runs.agg(
@@ -86,7 +86,7 @@ def early_exit_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
     )
 
 
-def mode_stats(log: DataFrame, latest: int | None = 100) -> DataFrame:
+def mode_stats(log: DataFrame, latest: int | None = None) -> DataFrame:
     runs = search_runs(log, F.col("total_inference_time_ms") > 0, latest)
     return runs.groupBy("sensitivity_mode").agg(
         F.count(F.lit(1)).alias("runs"),
@@ -107,15 +107,15 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     return counted.select(column, "n", (F.col("n") / whole).alias("share"))
 
 
-def recent_decisions(log: DataFrame, latest: int = 10) -> DataFrame:
+def recent_decisions(log: DataFrame, latest: int = 10, reason_chars: int = 23, prompt_chars: int = 28) -> DataFrame:
     """Newest decisions as report lines; missing fields get their default texts."""
     return search_runs(log, None, latest, ["prompt_id"]).select(
         "prompt_id",
         F.coalesce("timestamp", F.lit("Unknown")).alias("timestamp"),
         F.when(F.col("adversarial"), "ADVERSARIAL").otherwise("SAFE").alias("result"),
-        F.substring(F.coalesce("decision_reason", F.lit("Unknown")), 1, 23).alias("reason"),
+        F.substring(F.coalesce("decision_reason", F.lit("Unknown")), 1, reason_chars).alias("reason"),
         F.coalesce("total_inference_time_ms", F.lit(0.0)).alias("time_ms"),
-        F.concat(F.substring(F.coalesce("prompt", F.lit("No prompt logged")), 1, 28), F.lit("...")).alias("prompt_preview"),
+        F.concat(F.substring(F.coalesce("prompt", F.lit("No prompt logged")), 1, prompt_chars), F.lit("...")).alias("prompt_preview"),
     )
 
 
@@ -131,7 +131,7 @@ def recent_runs(log: DataFrame, latest: int = 10) -> DataFrame:
     )
 
 
-def class_overview(log: DataFrame, latest: int | None = 50) -> DataFrame:
+def class_overview(log: DataFrame, latest: int | None = None) -> DataFrame:
     """Rows, share and mean length per class.  The total is summed over the two grouped rows, so the log is read once."""
     grouped = search_runs(log, None, latest, ["prompt_id"]).groupBy("detection_outcome").agg(
         F.count(F.lit(1)).alias("n"), F.avg("input_length").alias("_length")
@@ -145,7 +145,7 @@ def class_overview(log: DataFrame, latest: int | None = 50) -> DataFrame:
     )
 
 
-def class_samples(log: DataFrame, latest: int | None = 50, samples: int = 3) -> DataFrame:
+def class_samples(log: DataFrame, latest: int | None = None, samples: int = 3, prompt_chars: int = 80) -> DataFrame:
     """Newest samples per class.  The rank filter is applied per map task first, so classes stay small."""
     newest = Window.partitionBy("detection_outcome").orderBy(F.col("ts").desc(), "prompt_id")
     ranked = search_runs(log, None, latest, ["prompt_id"]).withColumn("sample", F.row_number().over(newest))
@@ -153,7 +153,7 @@ def class_samples(log: DataFrame, latest: int | None = 50, samples: int = 3) ->
         "detection_outcome",
         F.col("sample").cast("bigint").alias("sample"),
         "prompt_id",
-        F.concat(F.substring(F.coalesce("prompt", F.lit("No prompt")), 1, 80), F.lit("...")).alias("prompt"),
+        F.concat(F.substring(F.coalesce("prompt", F.lit("No prompt")), 1, prompt_chars), F.lit("...")).alias("prompt"),
     )
 
 
@@ -165,7 +165,7 @@ def length_bucket(length: Column) -> Column:
     )
 
 
-def length_buckets(log: DataFrame, latest: int | None = 50, more_than: int = 5) -> DataFrame:
+def length_buckets(log: DataFrame, latest: int | None = None, more_than: int = 0) -> DataFrame:
     """Flag rate per length bucket; nothing at all unless there are more than ``more_than`` rows."""
     runs = search_runs(log, None, latest, ["prompt_id"])
     buckets = runs.groupBy(length_bucket(F.col("input_length")).alias("bucket")).agg(

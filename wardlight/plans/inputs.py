@@ -34,6 +34,7 @@ EVENT_MODELS = {
 # Stop words of the registered leakage query (function words that occur in the given documents).
 STOP_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "re", "that",
               "the", "this", "to", "was", "with"]
+SCAN_PARTS = "wardlight.scan.parts"
 OTHER_MODEL = "detect_adversarial_prompt"
 
 
@@ -69,17 +70,18 @@ def prompts_from(documents: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for heavy per-row work when the scan has fewer splits than the cluster has cores.
+def scan_parts(spark: SparkSession) -> int | None:
+    """Into how many parts the user wants documents spread before heavy per-row work; unset, scans stay as they are.
 
-    A large table has far more splits than cores and is left as it is: no shuffle of texts.
+    Worth setting for one small file that gives a single split; a large table has splits enough, and spreading it would
+    shuffle all texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+    return int(spark.conf.get(SCAN_PARTS, "0")) or None
 
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts_from(spread(table(spark, folder, "documents"), "doc_id"))
+    parts, documents = scan_parts(spark), table(spark, folder, "documents")
+    return prompts_from(documents.repartition(parts, "doc_id") if parts else documents)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

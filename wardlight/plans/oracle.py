@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from wardlight import fixed_values as V
 from wardlight.plans.inputs import EVENT_MODELS, OTHER_MODEL, PHRASES, STOP_WORDS
-from wardlight.plans.queries import AS_OF, TIME_SHARES
+from wardlight.plans.queries import AS_OF, OWN_PATTERNS, TIME_SHARES
 
 
 def text(value: str) -> str:
@@ -342,6 +342,36 @@ keys AS (SELECT DISTINCT window_start, model_name FROM hist)
 SELECT window_start, model_name, {shown} FROM keys {joins}"""
 
 
+def own_rules() -> str:
+    """The caller's vocabulary of the query, rule by rule."""
+    return f"""WITH low AS (SELECT doc_id AS prompt_id, lower(text) AS l FROM documents),
+hits AS (SELECT prompt_id, {count_of(["stupid"])} AS n_high, {count_of(["the th"])} AS n_plain, {count_of(["zz"])} AS n_down,
+  {count_match(OWN_PATTERNS)} AS n_pattern, contains(l, 'from') AS is_safe,
+  CASE WHEN contains(l, 'license') THEN 3 WHEN contains(l, 're') AND contains(l, 'ing') THEN 8
+    WHEN contains(l, 'und') AND contains(l, 'der') THEN 6 WHEN contains(l, 'from') THEN 15 ELSE 30 END AS tier10 FROM low),
+points AS (SELECT prompt_id, n_high, n_plain, n_down, n_pattern, (n_pattern * tier10 + 20 * n_high + 10 * n_plain
+    + n_down * CASE WHEN is_safe THEN 5 ELSE 20 END)::BIGINT AS points10 FROM hits)
+SELECT *, (CASE WHEN points10 = 0 THEN 0 WHEN points10 <= 10 THEN 40 * points10
+    WHEN points10 <= 20 THEN 25 * points10 WHEN points10 <= 30 THEN 500 + 15 * (points10 - 20)
+    ELSE least(650 + 10 * (points10 - 30), 1000) END)::DOUBLE / 1000e0 AS keyword_score FROM points"""
+
+
+NEAR_OVERLAP = r"""WITH w AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS is_test,
+         regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\x0b\f\r]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, is_test, array_to_string(words[i:i + 4], ' ') AS h
+  FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, is_test, count(*) AS n FROM s GROUP BY ALL),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.is_test AND NOT b.is_test
+  GROUP BY ALL),
+f AS (
+  SELECT DISTINCT a FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common))
+SELECT w.doc_id AS row_id, coalesce(n.n, 0)::BIGINT AS n_shingles, w.doc_id IN (SELECT a FROM f) AS leaked
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id WHERE w.is_test"""
+
+
 def stream_rates() -> str:
     return f"""WITH {SLIDING} SELECT window_start, model_name, count(*) AS n, count(*)::DOUBLE / 300e0 AS rate,
   round(sum(latency_s) / count(*) * 1000e0, 6) AS avg_latency_ms FROM wide GROUP BY ALL"""
@@ -442,7 +472,7 @@ def oracle() -> dict[str, str]:
             WHERE model_name <> '{V.ENSEMBLE_MODEL}' AND inference_time_ms > 0 {RECENT} LIMIT 100""",
         "runlog_filter": f"""WITH {run_log()} SELECT prompt_id, model_name, score, detection_outcome FROM runs
             WHERE detection_outcome = 'adversarial' AND model_type = 'individual'""",
-        "model_run_summary": f"""WITH {run_log()}, latest AS (SELECT * FROM runs WHERE inference_time_ms > 0 {RECENT} LIMIT 100)
+        "model_run_summary_latest": f"""WITH {run_log()}, latest AS (SELECT * FROM runs WHERE inference_time_ms > 0 {RECENT} LIMIT 100)
             SELECT model_name, round(avg(score), 3) AS score_mean, round(stddev_samp(score), 3) AS score_std,
               count(score) AS score_count, round(avg(inference_time_ms), 3) AS time_mean,
               round(max(inference_time_ms), 3) AS time_max, round(min(inference_time_ms), 3) AS time_min,
@@ -599,8 +629,15 @@ def oracle() -> dict[str, str]:
         "stream_rates": stream_rates(),
         "stream_histogram": sliding_quantiles(),
         "stream_context": CHAT_CONTEXT + " SELECT * FROM recent",
+        "own_rules": own_rules(),
+        "mode_compare_scorers": f"""WITH {decided(None, failed='prompt_id % 5 = 0').replace(PROMPTS, SCORED_PROMPTS)}
+            SELECT prompt_id, m AS mode, error, is_adversarial, reason, winning_mechanism FROM final""",
+        "scorer_failure": f"""WITH {decided(failed='length(substr(prompt, 1, 512)) % 7 = 0').replace(PROMPTS, SCORED_PROMPTS)}
+            SELECT {DECISION}, error FROM final""",
+        "near_overlap": NEAR_OVERLAP,
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
+    sql["model_run_summary"] = sql["model_run_summary_latest"].replace(f"{RECENT} LIMIT 100", "")
     sql["chat_log_stored"] = sql["chat_log_flat"]
     sql["runlog_stored"] = f"""WITH {run_log()} SELECT ts::DATE AS day, model_name, count(*) AS n,
         count(*) FILTER (adversarial) AS adversarial FROM runs GROUP BY 1, 2"""

@@ -11,12 +11,13 @@ from wardlight.operators import (
     baseline, dataprep, detect, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
 )
 from wardlight.plans import inputs
-from wardlight.session import scratch_path
+from wardlight.session import scratch_path, stored
 from wardlight.sources import tabular
 from wardlight.streaming import jobs
 
 REGISTRY = {}
 AS_OF = "2024-01-31 00:00:00"
+OWN_PATTERNS = [r"e.*\d", r"colou?r|licen[cs]ed?", r"\bth(at|is)\b", "of.*the.*in", r"[.,]$", r"t{2}", "ion"]
 TIME_SHARES = {"keyword": 0.05, "toxic": 0.4, "hate": 0.35, "safety": 0.2}
 
 
@@ -52,8 +53,8 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(train, test) of the deduplicated, relabelled set."""
-    split = dataprep.stratified_split(clean(spark, folder))
+    """(train, test) of the deduplicated, relabelled set, stored once for all their readers."""
+    split = stored(dataprep.stratified_split(stored(clean(spark, folder), "clean")), "split")
     return tuple(split.where(F.col("split") == side).drop("split") for side in ("train", "test"))
 
 
@@ -221,6 +222,46 @@ def mode_compare(spark, folder):
     )
 
 
+@query
+def own_rules(spark, folder):
+    """A caller's vocabulary over all documents: regex syntax of every kind, wildcards, literals of two weights."""
+    own = rules.RuleSet(
+        literals=["stupid", "the th", "zz"], high_risk=["stupid"], down_weighted=["zz"], patterns=OWN_PATTERNS,
+        safe_context=["from"], medical_context=["license"], disposal_context=["re"], disposal_words=["ing"],
+        range_context=["und"], range_words=["der"])
+    docs = inputs.table(spark, folder, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    return rules.with_keyword_score(docs, rules=own).select(
+        "prompt_id", "n_high", "n_plain", "n_down", "n_pattern", "points10", "keyword_score")
+
+
+@query
+def mode_compare_scorers(spark, folder):
+    """Modes under a caller's models and with failed rows."""
+    plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
+    scorer = detect.batch_scorer(_length_model)
+    compared = detect.compare_modes(
+        plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, failed=F.col("prompt_id") % 5 == 0)
+    return compared.select("prompt_id", "mode", "error", "is_adversarial", "reason", "winning_mechanism")
+
+
+def _failing_model():
+    """As ``_length_model``, but breaks down on texts of a length divisible by 7."""
+    def predict(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise RuntimeError("broken")
+        return _length_model()(texts)
+    return predict
+
+
+@query
+def scorer_failure(spark, folder):
+    """Prompts whose models fail go to the fallback, all others are decided as ever."""
+    plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
+    scorer = detect.batch_scorer(_failing_model)
+    return detect.score_prompts(plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, on_failure="fallback").select(
+        *DECISION_COLUMNS, "error")
+
+
 @query
 def score_long(spark, folder):
     return logs.score_long(scored(spark, folder))
@@ -420,6 +461,12 @@ def model_run_summary(spark, folder):
     return reports.model_run_summary(run_log(spark, folder))
 
 
+@query
+def model_run_summary_latest(spark, folder):
+    """The summary of the newest 100 runs, as the report shows it."""
+    return reports.model_run_summary(run_log(spark, folder), latest=100)
+
+
 @query
 def detection_rate(spark, folder):
     return reports.detection_rate(run_log(spark, folder), None)
@@ -437,7 +484,7 @@ def early_exit_stats(spark, folder):
 
 @query
 def mode_stats(spark, folder):
-    decided = detect.compare_modes(inputs.prompts(spark, folder))
+    decided = detect.compare_modes(inputs.prompts(spark, folder), before=logs.with_input_columns)
     return reports.mode_stats(logs.decision_log(decided, total_ms(), F.col("mode"), details=False), None)
 
 
@@ -664,7 +711,7 @@ def exact_overlap(spark, folder):
 
 @query
 def seeded_shuffle(spark, folder):
-    return dataprep.seeded_shuffle(inputs.labelled(spark, folder)).select("row_id", "position")
+    return dataprep.shuffle_positions(inputs.labelled(spark, folder))
 
 
 @query
@@ -675,12 +722,12 @@ def seeded_sample(spark, folder):
 
 @query
 def stratified_split(spark, folder):
-    return dataprep.stratified_split(clean(spark, folder)).select("row_id", "label", "split")
+    return dataprep.stratified_split(stored(clean(spark, folder), "clean")).select("row_id", "label", "split")
 
 
 @query
 def split_shares(spark, folder):
-    return dataprep.split_shares(dataprep.stratified_split(clean(spark, folder)))
+    return dataprep.split_shares(dataprep.stratified_split(stored(clean(spark, folder), "clean")))
 
 
 @query
@@ -690,9 +737,9 @@ def step_profile(spark, folder):
 
 
 @query
-def fuzzy_overlap(spark, folder):
+def near_overlap(spark, folder):
     train, test = raw_overlap_sides(spark, folder)
-    return fuzzy.fuzzy_overlap(test, train)
+    return fuzzy.near_overlap(test, train)
 
 
 @query
@@ -715,8 +762,7 @@ def ngram_bias(spark, folder):
 
 @query
 def tfidf_weights(spark, folder):
-    df = clean(spark, folder)
-    return ngrams.TfIdf().fit(df).long_weights(df).withColumn("weight", F.round("weight", 6))
+    return ngrams.tfidf_long(stored(clean(spark, folder), "clean")).withColumn("weight", F.round("weight", 6))
 
 
 # --- modelling ----------------------------------------------------------------------------------------------
@@ -832,7 +878,7 @@ def leaderboard(spark, folder):
 
 @query
 def stream_detect(spark, folder):
-    stream = inputs.prompts_from(jobs.table_stream(spark, folder, "documents", "doc_id"))
+    stream = inputs.prompts_from(jobs.table_stream(spark, folder, "documents", inputs.scan_parts(spark)))
     path = scratch_path(spark, "stream-detect")
     decided = detect.score_prompts(stream).select(*DECISION_COLUMNS)
     jobs.write_batches(decided, path, scratch_path(spark, "state"))
@@ -841,7 +887,7 @@ def stream_detect(spark, folder):
 
 @query
 def stream_logs(spark, folder):
-    stream = detect.score_prompts(inputs.prompts_from(jobs.table_stream(spark, folder, "documents", "doc_id")))
+    stream = detect.score_prompts(inputs.prompts_from(jobs.table_stream(spark, folder, "documents", inputs.scan_parts(spark))))
     path = scratch_path(spark, "stream-logs")
     jobs.log_batches(stream, {
         "decisions": lambda df: logs.decision_log(df, total_ms(), details=False),
@@ -890,7 +936,7 @@ def stream_context(spark, folder):
 def stream_dedup(spark, folder):
     path = scratch_path(spark, "stream-dedup")
     stream = jobs.table_stream(spark, folder, "documents").select(
-        F.col("text").alias("prompt"), F.timestamp_seconds(F.lit(1704067200)).alias("ts")
+        F.col("text").alias("prompt"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("ts")
     )
     jobs.write_batches(jobs.dedup(stream).select("prompt"), path, scratch_path(spark, "state"))
     return spark.read.parquet(path).select("prompt")

@@ -12,7 +12,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 100_000
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", scan_parts: int = 16) -> SparkSession:
+    """``scan_parts`` spreads the rows of single small files over the cores (see ``plans.inputs.scan_parts``)."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("wardlight")
@@ -21,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("wardlight.scan.parts", str(scan_parts))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -43,6 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, so that columns can be pruned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result is read back from the shared folder, never from executor disks."""
     checkpoint_dir(df.sparkSession)

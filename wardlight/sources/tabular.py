@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,12 +26,12 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str, **options
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """All ``*.csv`` files of a folder as one table; other files are ignored, no file is an error."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "*.csv")
-    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.globStatus(pattern):
-        raise FileNotFoundError(f"no CSV files in {folder}")
-    found = read_csv(spark, folder, schema, pathGlobFilter="*.csv")
-    return found
+    try:
+        return read_csv(spark, f"{folder.rstrip('/')}/*.csv", schema)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no CSV files in {folder}") from error
+        raise
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> str:
@@ -39,10 +40,18 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
     return path
 
 
-def append_log(df: DataFrame, path: str, file_format: str = "parquet", day_of: str | None = "ts") -> str:
-    """Append log rows, partitioned by day where a time column is named, so that trailing filters prune files."""
-    writer = (df.withColumn("day", F.to_date(day_of)) if day_of else df).write.mode("append").format(file_format)
-    (writer.partitionBy("day") if day_of else writer).save(path)
+def append_log(df: DataFrame, path: str, file_format: str = "parquet", day_of: str | None = "ts",
+               files_per_day: int = 8) -> str:
+    """Append log rows, partitioned by day where a time column is named, so that trailing filters prune files.
+
+    Rows are gathered by day first, in ``files_per_day`` parts, so that a day has few files and no single task.
+    """
+    if day_of is None:
+        df.write.mode("append").format(file_format).save(path)
+        return path
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files_per_day))
+    gathered = df.withColumn("day", F.to_date(day_of)).repartition("day", part)
+    gathered.write.mode("append").format(file_format).partitionBy("day").save(path)
     return path
 
 
@@ -66,10 +75,9 @@ def write_threshold(best: DataFrame, path: str) -> str:
 
 def read_training_state(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation rows (step, metrics) of a JSON training state with a mixed ``log_history`` array."""
-    entry = "step bigint, epoch double, loss double, eval_loss double, eval_f1 double, eval_accuracy double"
-    state = spark.read.schema(f"log_history array<struct<{entry.replace(' ', ':').replace(',:', ',')}>>").json(
-        path, multiLine=True
-    )
+    schema = ("log_history array<struct<step: bigint, epoch: double, loss: double, eval_loss: double, eval_f1: double, "
+              "eval_accuracy: double>>")
+    state = spark.read.schema(schema).json(path, multiLine=True)
     return state.select(F.inline("log_history")).where(F.col("eval_f1").isNotNull())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,17 +14,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardlight.operators.monitoring import BOUNDS, CONTEXT_TURNS, _bucket_counts
 
 WATERMARK = "10 minutes"
+FAILURE_CHARS = 2_000
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """Stream over the files of one table in a folder.
-
-    ``spread_by`` uses all cores for heavy per-row work when the table has fewer splits than there are cores.
-    """
+def table_stream(spark: SparkSession, folder: str, name: str, parts: int | None = None) -> DataFrame:
+    """Stream over the files of one table in a folder; ``parts`` spreads the rows of every batch for heavy work."""
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(2 * cores, spread_by) if spread_by and table.rdd.getNumPartitions() < cores else stream
+    return stream.repartition(parts) if parts else stream
 
 
 def run_available(writer, checkpoint: str) -> StreamingQuery:
@@ -45,19 +43,41 @@ def log_batches(scored: DataFrame, builders: dict[str, Callable[[DataFrame], Dat
                 checkpoint: str) -> StreamingQuery:
     """Write several logs of one scored stream.
 
-    The scored rows of a batch are written once and every log is built from that table, so a failing log never
-    scores again; folders are keyed by batch id, so a retry replaces and never doubles.
+    The scored rows of a batch are written once and every log is built from that table: a repeated batch finds them
+    complete and does not score again.  A log that fails stops neither the others nor the stream; its error is written
+    to ``failures`` and its batch can be built later from the scored rows.  Folders are keyed by batch id, so a retry
+    replaces and never doubles.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        base = f"{path}/scored/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(base)
-        stored = batch.sparkSession.read.parquet(base)
+        spark = batch.sparkSession
+        base, mark = f"{path}/scored/batch={batch_id}", f"{path}/complete/batch={batch_id}"
+        if not _exists(spark, mark):
+            batch.write.mode("overwrite").parquet(base)
+            spark.range(1).write.mode("overwrite").parquet(mark)
+        stored = spark.read.schema(batch.schema).parquet(base)
+        failed = []
         for name, build in builders.items():
-            build(stored).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            try:
+                build(stored).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            except Exception as failure:  # a log is never a reason to stop scoring
+                failed.append((batch_id, name, f"{type(failure).__name__}: {failure}"[:FAILURE_CHARS]))
+        if failed:
+            rows = spark.createDataFrame(failed, "batch_id bigint, log string, error string")
+            rows.write.mode("overwrite").parquet(f"{path}/failures/batch={batch_id}")
 
     return run_available(scored.writeStream.foreachBatch(save), checkpoint)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def rates(events: DataFrame, minutes: int = 5, slide: int = 1, watermark: str = WATERMARK) -> DataFrame:
     """Request rate and mean latency per model in sliding event-time windows."""
     window = F.window("ts", f"{minutes} minutes", f"{slide} minutes")
@@ -100,9 +120,12 @@ def last_turns(turns: pd.DataFrame, keep: int) -> pd.DataFrame:
     return turns.sort_values("turn").groupby("conv_id", sort=False).tail(keep)
 
 
-def context(turns: DataFrame, keep: int = CONTEXT_TURNS) -> DataFrame:
+def context(turns: DataFrame, keep: int = CONTEXT_TURNS, hours: float | None = None) -> DataFrame:
     """Last turns per conversation as running state.
 
+    With ``hours`` a conversation is forgotten after that time without a new turn.  Such a stream never runs out of
+    work, so it is for continuous triggers; without, state stays, as a run over what is there needs it to.
+
     Each Arrow batch is first cut to the last turns it holds per conversation.  That loses nothing, and keeps a very
     long conversation from sending all its turns to the one task that owns its state.
     """
@@ -111,11 +134,16 @@ def context(turns: DataFrame, keep: int = CONTEXT_TURNS) -> DataFrame:
             yield last_turns(batch, keep)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = [tuple(t) for t in state.get[0]] if state.exists else []
         for batch in batches:
             held += list(zip(batch["turn"].tolist(), batch["role"].tolist(), batch["text"].tolist()))
             held = sorted(held)[-keep:]
         state.update((held,))
+        if hours is not None:
+            state.setTimeoutDuration(int(hours * 3_600_000))
         yield pd.DataFrame({
             "conv_id": [key[0]] * len(held),
             "slot": [keep - len(held) + 1 + i for i in range(len(held))],
@@ -129,5 +157,5 @@ def context(turns: DataFrame, keep: int = CONTEXT_TURNS) -> DataFrame:
         "conv_id bigint, slot bigint, role string, content string",
         "turns array<struct<turn: bigint, role: string, text: string>>",
         "update",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if hours is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
