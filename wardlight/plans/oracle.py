@@ -637,6 +637,14 @@ def oracle() -> dict[str, str]:
         "near_overlap": NEAR_OVERLAP,
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
+    flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble", "early_exit",
+             "error", "fallback"]
+    shown = ", ".join(f"d.voting_{f} = 1 AS {f}" for f in flags)
+    sql["details_json_fields"] = f"WITH {decision_log()} " + " UNION ALL ".join(
+        f"""SELECT d.prompt_id, {i}::INT AS model_index, '{m}' AS model_name, d.{m}_score AS score, d."timestamp", {shown},
+            CASE WHEN NOT f.early_exit AND NOT f.error THEN CASE WHEN f.layer = 'none' THEN 'safe' ELSE 'adversarial' END END
+              AS final_decision FROM decisions d JOIN final f USING (prompt_id)"""
+        for i, m in enumerate(V.SCORE_NAMES))
     sql["model_run_summary"] = sql["model_run_summary_latest"].replace(f"{RECENT} LIMIT 100", "")
     sql["chat_log_stored"] = sql["chat_log_flat"]
     sql["runlog_stored"] = f"""WITH {run_log()} SELECT ts::DATE AS day, model_name, count(*) AS n,

@@ -340,6 +340,21 @@ def details_json(spark, folder):
     return scored(spark, folder).select("prompt_id", logs.details_json().alias("details_json"))
 
 
+DETAILS = """scores array<double>, model_names array<string>, timestamp string, voting_details struct<
+high_confidence_trigger: boolean, weak_signals_trigger: boolean, majority_consensus: boolean, weighted_ensemble: boolean,
+early_exit: boolean, error: boolean, fallback: boolean, final_decision: string>"""
+
+
+@query
+def details_json_fields(spark, folder):
+    """The details document of every decision read back, one row per model name and score."""
+    made = scored(spark, folder).select("prompt_id", F.from_json(logs.details_json(), DETAILS).alias("d"))
+    pairs = F.posexplode(F.arrays_zip("d.model_names", "d.scores")).alias("model_index", "p")
+    return made.select("prompt_id", "d", pairs).select(
+        "prompt_id", "model_index", F.col("p.model_names").alias("model_name"), F.col("p.scores").alias("score"),
+        F.col("d.timestamp").alias("timestamp"), "d.voting_details.*")
+
+
 def _chat_log(spark, folder):
     i = F.col("prompt_id")
     session = F.when(i % 50 != 0, F.concat(F.lit("s"), (i % 200).cast("string")))
