@@ -35,10 +35,10 @@ BLOCK = 256  # members of one tree
 TASK_ROWS = 2_000  # members that one task holds at a time, on average
 FILTER_BITS = 1 << 25  # size of the filter that spares most classes a second reading
 EARLY_SHARE = 5  # a fifth of a set more than the least prefix is compared early
-WINDOW_SHINGLES = 4_000_000  # early shingles that a Python worker combines before it sends them on
+WINDOW_SHINGLES = 2_000_000  # early shingles that a Python worker combines before it sends them on
 WINDOW_CLASSES = 30_000
 BUCKET_ROWS = 2_000  # documents to a bucket of early shingles
-REMEMBERED = 600_000  # word hashes that one Python worker keeps
+REMEMBERED = 400_000  # word hashes that one Python worker keeps
 FAN_OUT = 4
 
 
@@ -462,7 +462,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     several = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     open_rows = written(labelled.join(written(several.select("h", "low"), "open_buckets"), "h"), "open_rows")
     more = written(tree_join(open_rows, members), "tree_links")
-    final = components(links.unionByName(more))
+    final = components(joined.select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = members.select("v", "class").join(classes, "class")
     in_component = written(final.join(named, "v").select("component", "class", "key"), "members_named")
     least = in_component.groupBy("component").agg(F.min("key").alias("component_id"))
