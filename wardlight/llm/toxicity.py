@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3)
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def held_out(key: Column) -> Column:
