@@ -1,7 +1,7 @@
 """Corpus pipeline: toxic documents go, copies go, near copies go, secrets are masked, and the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
-columns of ``documents`` in their order.
+columns of ``documents`` in their order.  Decisions hold for single rows: a ``doc_id`` may be null or repeated.
 """
 
 from __future__ import annotations
@@ -16,24 +16,44 @@ from wardlight.llm.queries import WORD_TOKENIZER, tokenizer
 END_ID = 1
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which no two rows share: doc_id, nulls last, then the place of the row in its files.
+
+    Texts are not copied for it, unless ``docs`` is more than a plain read of Parquet files.
+    """
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not plain or "row_index" not in docs.select("_metadata").schema["_metadata"].dataType.names:
+        docs = written(docs, "rows")
+    return docs.withColumn("_row", F.struct(
+        F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` of ``with_row`` less those whose ``_row`` is in ``gone``."""
+    places = written(gone.select(F.col("_row.file").alias("file"), F.col("_row.at").alias("at")), "gone")
+    same = (rows["_row"]["file"] == places["file"]) & (rows["_row"]["at"] == places["at"])
+    return rows.join(places, same, "left_anti").drop("_row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    toxic = written(scored.where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    rows = with_row(docs)
+    scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row="_row")
+    return without(rows, scored.where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    gone = written(exact_dedup.exact_dedup(docs).where("not kept").select("doc_id"), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of equal texts: of the longest the one with the least id."""
+    rows = with_row(docs)
+    return without(rows, exact_dedup.exact_dedup(rows, key="_row").where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group that near duplicates connect."""
-    found = signature_join.near_duplicates(docs)
-    gone = written(found.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = with_row(docs)
+    found = signature_join.near_duplicates(rows, key="_row")
+    return without(rows, found.where("_row.file != component_id.file or _row.at != component_id.at"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,40 @@ def test_pipeline_equals_plain_version(spark, small):
     brute.check_packing([(r.length, r.sequence_id, r.offset) for r in got])
 
 
+def test_pipeline_decides_by_row(spark, small):
+    """Null and repeated ids: every stage takes away just the rows it rejects, whatever id they have."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    words = [f"v{i}" for i in range(80)]
+    copy, near = " ".join(words), " ".join([*words[:78], "x", "y"])
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic = next(texts[r.doc_id] for r in scored.collect() if r.predicted)
+    added = [(None, toxic), (None, copy), (None, copy), (None, near), (None, "a clean one"), (9_000, toxic), (9_000, "another clean one"),
+             (9_000, copy), (9_000, copy), (9_000, near), (9_000, "a third"), (9_001, "a third"), (9_001, "the fourth"),
+             (None, "of nobody"), (None, "of nobody")]
+    rows = spark.createDataFrame(added, "doc_id bigint, text string")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name not in rows.columns]
+    odd = rows.select("*", *others).select(docs.columns)
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/by_row"
+    odd.repartition(2).write.mode("overwrite").parquet(folder)
+
+    def left(kept):
+        assert kept.columns == docs.columns
+        return sorted((r.doc_id or 0, r.text) for r in kept.collect())
+
+    labels, both = spark.read.parquet(f"{small}/labels.parquet"), docs.unionByName(odd)
+    predicted = {r.x: r.predicted for r in toxicity.toxicity(both.withColumn("x", F.col("text")), labels, row="x").collect()}
+    assert predicted[toxic] == 1 and predicted["a clean one"] == 0
+    assert left(corpus_pipeline.drop_toxic(spark, both, small)) == [x for x in left(both) if not predicted[x[1]]]
+    for given in (odd, spark.read.parquet(folder)):  # rows in memory and rows in files
+        once = corpus_pipeline.drop_copies(spark, given, small)
+        others = [(0, "a clean one"), (0, "of nobody"), (9_000, toxic), (9_000, "a third"), (9_000, "another clean one"), (9_001, "the fourth")]
+        assert left(once) == sorted([*others, (9_000, copy), (9_000, near)])
+        kept = left(corpus_pipeline.drop_near_copies(spark, given, small))
+        assert sorted({*others, (9_000, copy)} ^ set(kept)) in ([], [(9_000, copy), (9_000, near)])
+        assert len(kept) == len(others) + 1
+
+
 def test_pipeline_of_an_empty_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -64,8 +64,9 @@ def sample(labels: DataFrame, key: str, label: str, per_class: int) -> DataFrame
     return labels.sparkSession.createDataFrame(rows, "key bigint, toxic int, example boolean, weight double")
 
 
-def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(df[key].cast("bigint").alias("key"), text_of(df, text).alias("text"))
+def _rows(df: DataFrame, key: str, text: str, row: str | None) -> DataFrame:
+    carried = [df[row].alias("row")] if row else []
+    return df.select(df[key].cast("bigint").alias("key"), *carried, text_of(df, text).alias("text"))
 
 
 def select_features(texts: DataFrame, size: int) -> list[str]:
@@ -99,12 +100,14 @@ def select_features(texts: DataFrame, size: int) -> list[str]:
 
 
 def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
-    """key, ids, counts: how often each selected feature occurs in each whole text, ids ascending."""
+    """All columns but text, ids, counts: how often each selected feature occurs in each whole text, ids ascending."""
     numbers: dict[str, dict[int, int]] = {}  # stem -> level -> feature
     for i, name in enumerate(features):
         level, stem = name.split(" ", 1)
         numbers.setdefault(stem, {})[int(level)] = i
     shared = rows.sparkSession.sparkContext.broadcast(numbers)
+    carried = rows.columns[:-1]
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes[:-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, memory = shared.value, {}
@@ -112,7 +115,7 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
                 ids, counts = [], []
-                for value in batch.column(1):
+                for value in batch.column(len(carried)):
                     words: Counter = Counter()  # different words of a stem
                     total: Counter = Counter()  # their occurrences
                     for word, n in Counter(WORD.findall(value.as_py().lower())).items():
@@ -130,10 +133,10 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
                     ids.append([i for i, _ in found])
                     counts.append([n for _, n in found])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                    ["key", "ids", "counts"])
+                    [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                    [*carried, "ids", "counts"])
 
-    return rows.mapInArrow(count, "key bigint, ids array<int>, counts array<int>")
+    return rows.mapInArrow(count, f"{kinds}, ids array<int>, counts array<int>")
 
 
 class BlockMaxIndex:
@@ -233,16 +236,16 @@ class Model:
 
 def toxicity(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    per_class: int = PER_CLASS, features: int = FEATURES,
+    per_class: int = PER_CLASS, features: int = FEATURES, row: str | None = None,
 ) -> DataFrame:
     """key, held_out, score (0 to 1), predicted (score >= THRESHOLD), nearest (array of example key, cosine, toxic).
 
     Null and empty texts, and texts without any feature, get the toxic rate of such texts in the sample.  Without labels
     of both kinds every score is that of the base rate.  A repeated key in ``labels`` counts once, as toxic if any of
     its rows is; labels other than 0 and 1 and null keys are not learnt from.  Rows with a null key are scored; repeated
-    rows too.  An empty table gives an empty result.  Only ``text`` decides a score.
+    rows too; ``row`` names a column that tells them apart and is returned beside the key.  An empty table gives an empty result.  Only ``text`` decides a score.
     """
-    spark, rows = df.sparkSession, _rows(df, key, text)
+    spark, rows = df.sparkSession, _rows(df, key, text, row)
     picked = F.broadcast(sample(labels, key, label, per_class))  # at most 4 * per_class rows
     examples = picked.where("example").select("key", "toxic")
     names = select_features(rows.join(F.broadcast(examples), "key").select("text", "toxic"), features)
@@ -251,7 +254,7 @@ def toxicity(
     frequency = np.zeros(len(names))
     for r in counted.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # one row per feature
         frequency[r["id"]] = r["count"]
-    fitted = counted.join(picked, "key").dropDuplicates(["key"]).collect()  # at most 4 * per_class rows
+    fitted = counted.drop("row").join(picked, "key").dropDuplicates(["key"]).collect()  # at most 4 * per_class rows
     model = spark.sparkContext.broadcast(Model(np.log((1 + total) / (1 + frequency)) + 1, fitted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +262,7 @@ def toxicity(
         nearest = pa.list_(pa.struct([("key", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
-            for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist()):
                 query = (tuple(ids), tuple(counts))
                 if query not in memory:
                     if len(memory) > 20_000:
@@ -272,10 +275,12 @@ def toxicity(
                 scores.append(score)
                 evidence.append(near)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, "float64"), pa.array(evidence, nearest)], ["key", "score", "nearest"])
+                [*batch.columns[:-2], pa.array(scores, "float64"), pa.array(evidence, nearest)], [*carried, "score", "nearest"])
 
-    scored = counted.mapInArrow(run, "key bigint, score double, nearest array<struct<key bigint, cosine double, toxic int>>")
+    carried = counted.columns[:-2]
+    kinds = ", ".join(f"{name} {kind}" for name, kind in counted.dtypes[:-2])
+    scored = counted.mapInArrow(run, f"{kinds}, score double, nearest array<struct<key bigint, cosine double, toxic int>>")
     return scored.select(
-        F.col("key").alias(key), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score",
+        F.col("key").alias(key), *([F.col("row").alias(row)] if row else []), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "nearest",
     )
