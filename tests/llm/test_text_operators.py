@@ -57,6 +57,16 @@ def test_ledger_scans_only_unseen_blobs(spark, odd, odd_texts, tmp_path):
     assert spark.read.parquet(path).groupBy("blob", "rules").count().where("count > 1").count() == 0
 
 
+def test_ledger_knows_rules_by_their_content(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    own = [*secrets_ledger.RULES, ("word", "idiot", 0, 5)]
+    n = [odd.count(), secrets_ledger.scan(odd, ledger=path).selectExpr("sum(size(_spans))").first()[0]]
+    found = [secrets_ledger.scan(odd, ledger=path, rules=rules).selectExpr("count(*)", "sum(size(_spans))").first() for rules in (own, own, secrets_ledger.RULES)]
+    assert [list(r) for r in found] == [[n[0], n[1] + 1], [n[0], n[1] + 1], n]
+    entries = spark.read.parquet(path)
+    assert entries.count() == entries.distinct().count() == 2 * entries.select("blob").distinct().count()
+
+
 def test_redaction(odd, odd_texts):
     found = secrets_ledger.scan(odd).select("doc_id", secrets_ledger.redacted(F.col("text"), F.col("_spans"), "#").alias("t"))
     got = by_key(found, "t")

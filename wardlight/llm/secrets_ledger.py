@@ -7,6 +7,9 @@ appends to the ledger, and joins the spans of all blobs back to all paths.
 
 from __future__ import annotations
 
+import json
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,30 +62,36 @@ def with_blob(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_blob", F.sha2(text_of(df, text).cast("binary"), 256))
 
 
+def stamp(rules, version: str) -> str:
+    """What the ledger knows rules by: all of their parts, and the caller's version of them."""
+    return sha256(json.dumps([version, [list(rule) for rule in rules]]).encode()).hexdigest()
+
+
 def scan(df: DataFrame, text: str = "text", ledger: str | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
     """``df`` with ``_blob`` and ``_spans``; every version of every path gets the spans of its text.
 
     Null texts count as empty and have no spans; an empty table gives an empty result.  ``ledger`` is a folder in
-    shared storage.  With an existing one, only blobs that it lacks for this ``version`` of the rules are scanned and
-    appended.  Without one, a new ledger is begun in the scratch folder.
+    shared storage.  With an existing one, only blobs that it lacks for these ``rules`` and this ``version`` are scanned
+    and appended, so spans of other rules are never taken for theirs.  Without one, a new ledger is begun in the scratch folder.
     """
     spark = df.sparkSession
     addressed = with_blob(df, text)
     path = ledger or scratch_path(spark, "ledger")
+    own = stamp(rules, version)
     blobs = addressed.groupBy("_blob").agg(F.any_value(text_of(addressed, text)).alias("_text"))
-    known = known_blobs(spark, ledger, version)
+    known = known_blobs(spark, ledger, own)
     if known is not None:
         blobs = blobs.join(known.select(F.col("blob").alias("_blob")), "_blob", "left_anti")
     blobs.select(
-        F.col("_blob").alias("blob"), F.lit(version).alias("rules"), spans_of(F.col("_text"), rules).alias("spans")
+        F.col("_blob").alias("blob"), F.lit(own).alias("rules"), spans_of(F.col("_text"), rules).alias("spans")
     ).write.mode("append").parquet(path)
-    entries = spark.read.schema(LEDGER).parquet(path).where(F.col("rules") == version)
+    entries = spark.read.schema(LEDGER).parquet(path).where(F.col("rules") == own)
     found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     none = F.array().cast(f"array<{SPAN}>")
     return addressed.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none))
 
 
-def known_blobs(spark, ledger: str | None, version: str) -> DataFrame | None:
+def known_blobs(spark, ledger: str | None, own: str) -> DataFrame | None:
     """The ledger's scanned blobs of these rules; None before the first scan has written it."""
     from pyspark.errors import AnalysisException
 
@@ -94,7 +103,7 @@ def known_blobs(spark, ledger: str | None, version: str) -> DataFrame | None:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return entries.where(F.col("rules") == version).select("blob")
+    return entries.where(F.col("rules") == own).select("blob")
 
 
 def spans_text(spans: Column, rules=RULES) -> Column:
