@@ -126,6 +126,22 @@ def test_near_overlap_equals_brute_force(spark):
     assert len({leaked for _, _, leaked in expected}) == 2
 
 
+def test_best_match_is_the_most_similar_train_row(spark):
+    words = [f"w{i}" for i in range(60)]
+
+    def text(*changed):
+        return " ".join("x" + w if i in changed else w for i, w in enumerate(words))
+
+    train = [(7, text(59)), (3, text(58)), (2, text(58)), (5, text(0, 59)), (9, "Some  other"), (8, "some other"), (None, text(30))]
+    test = [(1, text()), (2, text(58).upper()), (3, text(0, 58)), (4, "some OTHER"), (5, "lone words"), (6, ""), (None, text(30, 59))]
+    frames = [spark.createDataFrame(rows, "row_id bigint, prompt string") for rows in (test, train)]
+    got = {r.row_id: (r.n_shingles, r.match, r.similarity) for r in fuzzy.best_matches(*frames).collect()}
+    # of 56 shingles, a change of the last word alters 1, of the one before 2, of the first 1, of one in the middle 5
+    assert got == {
+        1: (56, 7, 55 / 57), 2: (56, 2, 1.0), 3: (56, 2, 55 / 57), 4: (1, 8, 1.0), 5: (1, None, None), 6: (0, None, None),
+        None: (56, None, 55 / 57)}
+
+
 def test_stop_words_by_list_and_by_language(spark):
     from wardlight.operators.ngrams import ngram_counts
 

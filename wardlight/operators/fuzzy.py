@@ -42,15 +42,9 @@ def _found_by(sets: DataFrame, frequency: DataFrame) -> DataFrame:
     return ranked.where(spare > 0).select("id", "side", F.explode(F.slice("shared", F.lit(1), spare)["h"]).alias("h"))
 
 
-def near_overlap(test: DataFrame, train: DataFrame, key: str = "row_id", text: str = "prompt") -> DataFrame:
-    """key, n_shingles, leaked: whether any train prompt has a Jaccard similarity of PERCENT or more.
-
-    Exact and over all rows, in native expressions.  Prompts with equal shingles are found by a digest join and leave
-    first.  For the rest, shingles are ordered by how many different sets hold them; two similar sets share one among
-    the first of each, so boilerplate that many prompts hold is met only where hardly anything else is left.  Each open
-    test set is held against one train set per shared shingle, which settles large groups of near copies in linear
-    time, and only those still open against all train sets that share a shingle with it.
-    """
+def _sides(test: DataFrame, train: DataFrame, key: str, text: str) -> tuple[DataFrame, ...]:
+    """Sets of both sides (row, own, id), the ids that both have, the shingles by which the other test sets (a, h) and
+    the train sets (b, h) are found, and the sets of all these by id."""
     def sets(df: DataFrame) -> DataFrame:
         own = stored(with_shingles(df.select(F.col(key).alias("row"), F.col(text).alias("text")), "text").drop("text"), "shingles")
         return own.withColumn("id", F.when(F.size("own") > 0, F.sha2(F.array_join(F.sort_array("own"), ",").cast("binary"), 256)))
@@ -67,6 +61,19 @@ def near_overlap(test: DataFrame, train: DataFrame, key: str = "row_id", text: s
     left = found.where("side = 0").select(F.col("id").alias("a"), "h")
     right = found.where("side = 1").select(F.col("id").alias("b"), "h")
     own = both.select("id", "own")
+    return asked, known, equal, left, right, own
+
+
+def near_overlap(test: DataFrame, train: DataFrame, key: str = "row_id", text: str = "prompt") -> DataFrame:
+    """key, n_shingles, leaked: whether any train prompt has a Jaccard similarity of PERCENT or more.
+
+    Exact and over all rows, in native expressions.  Prompts with equal shingles are found by a digest join and leave
+    first.  For the rest, shingles are ordered by how many different sets hold them; two similar sets share one among
+    the first of each, so boilerplate that many prompts hold is met only where hardly anything else is left.  Each open
+    test set is held against one train set per shared shingle, which settles large groups of near copies in linear
+    time, and only those still open against all train sets that share a shingle with it.
+    """
+    asked, _, equal, left, right, own = _sides(test, train, key, text)
 
     def verified(pairs: DataFrame) -> DataFrame:
         first, second = own.toDF("a", "own_a"), own.toDF("b", "own_b")
@@ -79,3 +86,25 @@ def near_overlap(test: DataFrame, train: DataFrame, key: str = "row_id", text: s
     leaked = equal.unionByName(quick.toDF("id")).unionByName(slow.toDF("id")).withColumn("leaked", F.lit(True))
     return asked.join(leaked, "id", "left").select(
         F.col("row").alias(key), F.size("own").cast("bigint").alias("n_shingles"), F.coalesce("leaked", F.lit(False)).alias("leaked"))
+
+
+def best_matches(test: DataFrame, train: DataFrame, key: str = "row_id", text: str = "prompt") -> DataFrame:
+    """key, n_shingles, match, similarity: the train prompt most similar to each test prompt and their Jaccard similarity.
+
+    Exact and over all rows, as ``near_overlap``; of equally similar train prompts the one with the least key.  Both are
+    null where no train prompt reaches PERCENT.  The most similar one is only known after all candidates have been
+    looked at, so a group of near copies costs the product of its different test sets and train sets.
+    """
+    asked, known, equal, left, right, own = _sides(test, train, key, text)
+    named = known.where("id is not null").groupBy("id").agg(F.min("row").alias("match"))
+    first, second = own.toDF("a", "own_a"), own.toDF("b", "own_b")
+    pairs = left.join(right, "h").select("a", "b").distinct().join(first, "a").join(second, "b")
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    similar = pairs.where(_similar(F.col("own_a"), F.col("own_b"))).select(
+        "a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
+    order = F.struct((-F.col("similarity")).alias("distance"), F.col("match").isNull().alias("no_key"), "match", "similarity")
+    best = similar.join(named.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min(order).alias("best"))
+    found = best.select(F.col("a").alias("id"), "best.match", "best.similarity").unionByName(
+        equal.join(named, "id").select("id", "match", F.lit(1.0).alias("similarity")))
+    return asked.join(found, "id", "left").select(
+        F.col("row").alias(key), F.size("own").cast("bigint").alias("n_shingles"), "match", "similarity")

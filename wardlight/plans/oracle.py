@@ -371,6 +371,12 @@ f AS (
 SELECT w.doc_id AS row_id, coalesce(n.n, 0)::BIGINT AS n_shingles, w.doc_id IN (SELECT a FROM f) AS leaked
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id WHERE w.is_test"""
 
+NEAR_OVERLAP_BEST = NEAR_OVERLAP.split("f AS (")[0] + """f AS (
+  SELECT a, b, common::DOUBLE / (x.n + y.n - common) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 75 * (x.n + y.n - common) QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1)
+SELECT w.doc_id AS row_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.b AS "match", f.similarity
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN f ON f.a = w.doc_id WHERE w.is_test"""
+
 
 def stream_rates() -> str:
     return f"""WITH {SLIDING} SELECT window_start, model_name, count(*) AS n, count(*)::DOUBLE / 300e0 AS rate,
@@ -635,6 +641,7 @@ def oracle() -> dict[str, str]:
         "scorer_failure": f"""WITH {decided(failed='length(substr(prompt, 1, 512)) % 7 = 0').replace(PROMPTS, SCORED_PROMPTS)}
             SELECT {DECISION}, error FROM final""",
         "near_overlap": NEAR_OVERLAP,
+        "near_overlap_best": NEAR_OVERLAP_BEST,
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
     flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble", "early_exit",

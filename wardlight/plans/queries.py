@@ -757,6 +757,13 @@ def near_overlap(spark, folder):
     return fuzzy.near_overlap(test, train)
 
 
+@query
+def near_overlap_best(spark, folder):
+    """The most similar train prompt of every test prompt."""
+    train, test = raw_overlap_sides(spark, folder)
+    return fuzzy.best_matches(test, train)
+
+
 @query
 def ngram_counts(spark, folder):
     return ngrams.ngram_counts(clean(spark, folder), ngrams.BASELINE_NGRAMS)
