@@ -143,3 +143,21 @@ def test_scorers_never_see_early_exits(spark):
     rows = detect.score_prompts(df, scorers=scorers).orderBy("prompt_id").collect()
     assert [r["early_exit"] for r in rows] == [True, False, False]
     assert rows[0]["toxic_score"] == 0.0 and rows[1]["toxic_score"] == pytest.approx(1 - 0.512)
+
+
+@pytest.mark.parametrize("name", ["mode_compare_scorers_whole", "scorer_failure_whole"])
+def test_models_read_whole_prompts(spark, small, name, monkeypatch):
+    from wardlight.plans import queries
+
+    def model():
+        def predict(texts):
+            return [("toxic" if len(t) > 512 else "other", 0.99) for t in texts]
+        return predict
+
+    monkeypatch.setattr(queries, "_length_model", model)
+    monkeypatch.setattr(queries, "_failing_model", model)
+
+    def rows(query):
+        return {tuple(r) for r in queries.REGISTRY[query](spark, small).collect()}
+
+    assert rows(name) != rows(name.removesuffix("_whole"))  # only whole prompts have more than 512 characters

@@ -234,16 +234,26 @@ def own_rules(spark, folder):
         "prompt_id", "n_high", "n_plain", "n_down", "n_pattern", "points10", "keyword_score")
 
 
-@query
-def mode_compare_scorers(spark, folder):
-    """Modes under a caller's models and with failed rows."""
+def _modes_of_scorers(spark, folder, **options):
     plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
     scorer = detect.batch_scorer(_length_model)
     compared = detect.compare_modes(
-        plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, failed=F.col("prompt_id") % 5 == 0)
+        plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, failed=F.col("prompt_id") % 5 == 0, **options)
     return compared.select("prompt_id", "mode", "error", "is_adversarial", "reason", "winning_mechanism")
 
 
+@query
+def mode_compare_scorers(spark, folder):
+    """Modes under a caller's models and with failed rows."""
+    return _modes_of_scorers(spark, folder)
+
+
+@query
+def mode_compare_scorers_whole(spark, folder):
+    """As ``mode_compare_scorers``, with models that read whole prompts."""
+    return _modes_of_scorers(spark, folder, input_chars=None)
+
+
 def _failing_model():
     """As ``_length_model``, but breaks down on texts of a length divisible by 7."""
     def predict(texts):
@@ -253,13 +263,24 @@ def _failing_model():
     return predict
 
 
+def _failed_scorers(spark, folder, **options):
+    plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
+    scorer = detect.batch_scorer(_failing_model)
+    return detect.score_prompts(
+        plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, on_failure="fallback", **options
+    ).select(*DECISION_COLUMNS, "error")
+
+
 @query
 def scorer_failure(spark, folder):
     """Prompts whose models fail go to the fallback, all others are decided as ever."""
-    plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
-    scorer = detect.batch_scorer(_failing_model)
-    return detect.score_prompts(plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, on_failure="fallback").select(
-        *DECISION_COLUMNS, "error")
+    return _failed_scorers(spark, folder)
+
+
+@query
+def scorer_failure_whole(spark, folder):
+    """As ``scorer_failure``, with models that read whole prompts."""
+    return _failed_scorers(spark, folder, input_chars=None)
 
 
 @query
