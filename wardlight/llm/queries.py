@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.llm import bpe_fragments, exact_dedup, maxscore, packing, rans, secrets_ledger, signature_join, token_transducer, tool_chat, toxicity
+from wardlight.llm import (
+    bpe_fragments, decontamination, exact_dedup, maxscore, nra, packing, pivot_clusters, rans, secrets_ledger,
+    signature_join, token_transducer, tool_chat, toxicity,
+)
 from wardlight.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -141,3 +144,23 @@ def op9_maxscore_top5(spark, folder):
 @query
 def op10_signature_tree_join(spark, folder):
     return signature_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op11_nra_ranked_search(spark, folder):
+    return nra.top_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+@query
+def op12_pivot_clusters(spark, folder):
+    found = pivot_clusters.clusters(table(spark, folder, "embeddings"), scale=64, width=64, k=16, rounds=3)
+    return found.withColumn("centroid_sha256", F.sha2(F.concat_ws(",", "centroid").cast("binary"), 256)).drop("centroid")
+
+
+@query
+def op13_benchmark_automaton(spark, folder):
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
