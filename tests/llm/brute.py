@@ -147,3 +147,81 @@ def op10(rows):
             x, y = root(sets[a][0]), root(sets[b][0])
             parent[max(x, y)] = min(x, y)
     return {key: (len(s), root(key)) for key, s in sets}
+
+
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def op11(rows, items, k=10):
+    """[(item, rank, key, score)]; null keys last among equal scores."""
+    docs = [(key, Counter(TERM.findall((text or "").encode().translate(LOWER)))) for key, text in rows]
+    docs = [(key, c) for key, c in docs if c]
+    n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    held = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        terms = TERM.findall((text or "").encode().translate(LOWER))
+        scored = []
+        for key, c in docs:
+            m = 25 + (75 * sum(c.values()) * n) // total
+            s = sum(int(np.floor(1000 * np.log((2 * n + 2) / (2 * held[t] + 1)))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if s > 0:
+                scored.append((-s, key is None, key or 0, key))
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def op12(rows, k=16, rounds=3, scale=64, width=64):
+    """Sorted [(key, cluster, distance, cluster_inertia, inertia, centroid)], in Python's whole numbers."""
+    kept = []
+    for key, v in rows:
+        if v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v):
+            kept.append((key, tuple(int(np.floor(scale * float(x))) for x in v)))
+    hashed = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [list(x) for _, x in hashed[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(x, c)), j) for j, c in enumerate(centroids)) for _, x in kept]
+
+    for _ in range(rounds):
+        at = assign()
+        for j in range(len(centroids)):
+            own = [x for (_, x), (_, c) in zip(kept, at) if c == j]
+            if own:
+                centroids[j] = [sum(col) // len(own) for col in zip(*own)]
+    at = assign()
+    inertia = Counter()
+    for d, j in at:
+        inertia[j] += d
+    return sorted(((key, j, d, inertia[j], sum(inertia.values()), ",".join(map(str, centroids[j])))
+                   for (key, _), (d, j) in zip(kept, at)), key=repr)
+
+
+def op13(rows, items, size=10):
+    """{key: (n_words, n_hit, items, spans)} with spans in code points."""
+    windows = defaultdict(set)
+    for item, text in items:
+        w = WORD.findall((text or "").encode().translate(LOWER))
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            windows[tuple(w[i:i + size])].add(item)
+    out = {}
+    for key, text in rows:
+        data = (text or "").encode()
+        found = list(WORD.finditer(data.translate(LOWER)))
+        words, hit, names = [m.group() for m in found], set(), set()
+        for n in {len(w) for w in windows}:
+            for i in range(len(words) - n + 1):
+                if (own := windows.get(tuple(words[i:i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    names |= own
+        spans = []
+        for i in sorted(hit):
+            if i - 1 in hit:
+                spans[-1][1] = found[i].end()
+            else:
+                spans.append([found[i].start(), found[i].end()])
+        points = [(len(data[:a].decode()), len(data[:b].decode())) for a, b in spans]
+        out[key] = (len(words), len(hit), sorted(str(x) for x in names if x is not None), points)
+    return out

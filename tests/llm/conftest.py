@@ -5,7 +5,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-CLASHING = ["key", "class", "row", "n", "length", "digest", "h", "v", "_text", "ids", "no", "label"]
+CLASHING = ["key", "class", "row", "n", "length", "digest", "h", "v", "_text", "ids", "no", "label",
+            "_spans", "_blob", "blob", "spans", "address", "found", "_row", "_checked", "sequence_id", "offset", "items", "words", "starts"]
 
 
 @pytest.fixture(scope="session")

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(n.split("_")[0] for n in queries.REGISTRY) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.REGISTRY) == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2", "op3", "op4", "op5", "op10"])
@@ -175,3 +175,25 @@ def test_registry_has_the_stages():
 
     assert {"pipeline", *queries.REGISTRY} <= set(__spark_entry__.queries())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_lines_are_canonical_for_all_control_characters(spark):
+    text = "".join(map(chr, range(0x80))) + "\u2028\u2029é😀"
+    messages = spark.createDataFrame([(1, 0, "user", text), (1, 4, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    calls = spark.createDataFrame(
+        [(1, 1, "c\x1f", "lookup", json.dumps({"query": text}), []), (1, 2, "d", "x", "{", [])],
+        "conv_id bigint, turn bigint, call_id string, tool string, arguments string, needs array<string>")
+    results = spark.createDataFrame(
+        [(1, 3, "c\x1f", text), (1, 3, "lost\x7f", text), (2, 0, None, None)], "conv_id bigint, turn bigint, call_id string, content string")
+    lines = [r["json"] for r in tool_chat.format_chats(messages, calls, results, queries.TOOLS).collect()]
+    assert len(lines) == 6 and all(line == tool_chat.canonical(json.loads(line)) for line in lines)
+
+
+def test_chats_of_empty_tables_with_extra_columns(spark):
+    extra = ", level string, json string, kind string, `position` string"
+    messages = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string" + extra)
+    calls = spark.createDataFrame([], "conv_id bigint, turn bigint, call_id string, tool string, arguments string, needs array<string>" + extra)
+    results = spark.createDataFrame([], "conv_id bigint, turn bigint, call_id string, content string" + extra)
+    assert tool_chat.format_chats(messages, calls, results, queries.TOOLS).count() == 0
+    one = spark.createDataFrame([(1, 0, "user", "x", "a", "b", "c", "d")], messages.schema)
+    assert tool_chat.format_chats(one, calls, results, queries.TOOLS).first()["json"] == '{"content":"x","role":"user"}'

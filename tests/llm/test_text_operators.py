@@ -43,6 +43,22 @@ def test_secrets(odd, odd_texts):
     assert by_key(secrets_ledger.scan(odd).withColumn("s", spans), "s") == {k: v[4:] for k, v in brute.op5(odd_texts).items()}
 
 
+def test_a_repeated_append_changes_nothing(spark, odd, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = secrets_ledger.scan(odd, ledger=path)
+    want = {r.doc_id: r.s for r in first.select("doc_id", secrets_ledger.spans_text(F.col("_spans")).alias("s")).collect()}
+    spark.read.parquet(path).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)  # what two scans at once would leave
+    again = secrets_ledger.scan(odd, ledger=path).select("doc_id", secrets_ledger.spans_text(F.col("_spans")).alias("s")).collect()
+    assert len(again) == odd.count() and {r.doc_id: r.s for r in again} == want
+
+
+def test_columns_of_the_ledgers_names(spark, odd):
+    kept = secrets_ledger.scan(odd, blob="own_blob", spans="own_spans")
+    assert set(odd.columns) < set(kept.columns) and kept.where("_spans is null").count() == odd.count()
+    assert secrets_ledger.scan(odd).schema["_spans"].dataType == kept.schema["own_spans"].dataType
+
+
 def test_ledger_scans_only_unseen_blobs(spark, odd, odd_texts, tmp_path):
     path = f"file://{tmp_path}/ledger"
     first = odd.where("doc_id < 17")

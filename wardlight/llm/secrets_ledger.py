@@ -57,9 +57,9 @@ def spans_of(text: Column, rules=RULES) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def with_blob(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``_blob``: the address of the text of each row."""
-    return df.withColumn("_blob", F.sha2(text_of(df, text).cast("binary"), 256))
+def address(df: DataFrame, text: str) -> Column:
+    """The address of the text of each row."""
+    return F.sha2(text_of(df, text).cast("binary"), 256)
 
 
 def stamp(rules, version: str) -> str:
@@ -67,28 +67,34 @@ def stamp(rules, version: str) -> str:
     return sha256(json.dumps([version, [list(rule) for rule in rules]]).encode()).hexdigest()
 
 
-def scan(df: DataFrame, text: str = "text", ledger: str | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
-    """``df`` with ``_blob`` and ``_spans``; every version of every path gets the spans of its text.
+def scan(
+    df: DataFrame, text: str = "text", ledger: str | None = None, rules=RULES, version: str = VERSION,
+    blob: str = "_blob", spans: str = "_spans",
+) -> DataFrame:
+    """``df`` with the columns ``blob`` and ``spans``; every version of every path gets the spans of its text.
 
-    Null texts count as empty and have no spans; an empty table gives an empty result.  ``ledger`` is a folder in
-    shared storage.  With an existing one, only blobs that it lacks for these ``rules`` and this ``version`` are scanned
-    and appended, so spans of other rules are never taken for theirs.  Without one, a new ledger is begun in the scratch folder.
+    Null texts count as empty and have no spans; an empty table gives an empty result.  Columns of ``df`` that have the
+    name ``blob`` or ``spans`` are replaced, all others are kept, whatever their names.  ``ledger`` is a folder in shared
+    storage.  With an existing one, only blobs that it lacks for these ``rules`` and this ``version`` are scanned and
+    appended, so spans of other rules are never taken for theirs.  Scans that append the same blobs at the same time, and
+    repeated appends, change nothing in the result.  Without a ledger, a new one is begun in the scratch folder.
     """
     spark = df.sparkSession
-    addressed = with_blob(df, text)
     path = ledger or scratch_path(spark, "ledger")
     own = stamp(rules, version)
-    blobs = addressed.groupBy("_blob").agg(F.any_value(text_of(addressed, text)).alias("_text"))
+    addressed = df.select(address(df, text).alias("address"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    blobs = df.select(address(df, text).alias("blob"), text_of(df, text).alias("text")).groupBy("blob").agg(
+        F.any_value("text").alias("text"))
     known = known_blobs(spark, ledger, own)
     if known is not None:
-        blobs = blobs.join(known.select(F.col("blob").alias("_blob")), "_blob", "left_anti")
-    blobs.select(
-        F.col("_blob").alias("blob"), F.lit(own).alias("rules"), spans_of(F.col("_text"), rules).alias("spans")
-    ).write.mode("append").parquet(path)
-    entries = spark.read.schema(LEDGER).parquet(path).where(F.col("rules") == own)
-    found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+        blobs = blobs.join(known, "blob", "left_anti")
+    blobs.select("blob", F.lit(own).alias("rules"), spans_of(F.col("text"), rules).alias("spans")).write.mode("append").parquet(path)
+    entries = spark.read.schema(LEDGER).parquet(path).where((F.col("rules") == own) & (F.size("spans") > 0))
+    found = entries.groupBy(F.col("blob").alias("address")).agg(F.any_value("spans").alias("found"))
     none = F.array().cast(f"array<{SPAN}>")
-    return addressed.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c.lower() not in (blob.lower(), spans.lower())]
+    return addressed.join(found, "address", "left").select(
+        *kept, F.col("address").alias(blob), F.coalesce("found", none).alias(spans))
 
 
 def known_blobs(spark, ledger: str | None, own: str) -> DataFrame | None:
