@@ -29,6 +29,14 @@ def with_row(docs: DataFrame) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it (case apart, as Spark sees names)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``rows`` of ``with_row`` less those whose ``_row`` is in ``gone``."""
     places = written(gone.select(F.col("_row.file").alias("file"), F.col("_row.at").alias("at")), "gone")
@@ -57,11 +65,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts masked and n_chars of the new text."""
-    found = secrets_ledger.scan(docs)
-    masked = found.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(
-        secrets_ledger.redacted(F.col("text"), F.col("_spans"))))
-    counted = F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    """All documents, with every secret in their texts masked and n_chars of the new text.
+
+    Null and empty texts stay as they are; long ones are read whole; columns of any name are kept.
+    """
+    found = secrets_ledger.scan(docs, blob=free_name(docs, "blob"), spans=(spans := free_name(docs, "spans")))
+    masked = found.withColumn("text", F.when(F.size(spans) == 0, F.col("text")).otherwise(
+        secrets_ledger.redacted(F.col("text"), F.col(spans))))
+    counted = F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
     return masked.withColumn("n_chars", counted).select(docs.columns)
 
 
