@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import ROOT, plan_of
+from plan_tools import ROOT, plan_of
 from wardlight.plans.queries import REGISTRY
 from wardlight.plans.oracle import oracle
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # One phrase per rule class; prompt i is the whole text of document i followed by phrase i % 17.
@@ -162,3 +162,26 @@ def evaluation(spark: SparkSession, folder: str) -> DataFrame:
         ((n % 61).cast("double") / F.lit(10.0)).alias("logit1"),
         ((n % 97).cast("double") / F.lit(97.0)).alias("p"),
     )
+
+
+SCRAPE_S = 60
+
+
+def scraped(spark: SparkSession, folder: str, counters: dict[str, Column]) -> DataFrame:
+    """model_name, ts and ``counters`` (aggregates of the inference log): running totals as a scraper reads them.
+
+    A process runs for a day and starts from zero on the next one; it is read every minute until midnight.  Some
+    readings fail: every 31st one, and six in a row of every 97.
+    """
+    minute = F.date_trunc("minute", "ts")
+    events = model_events(spark, folder)
+    each = events.groupBy("model_name", F.date_trunc("day", "ts").alias("day"), (minute + F.expr("INTERVAL 1 MINUTE")).alias("ts")).agg(
+        *[c.cast("double").alias(name) for name, c in counters.items()])
+    idle = each.select("model_name", "day").distinct().select("model_name", "day", F.explode(F.sequence(
+        F.col("day") + F.expr("INTERVAL 1 MINUTE"), F.col("day") + F.expr("INTERVAL 1 DAY"), F.expr("INTERVAL 1 MINUTE"))).alias("ts"),
+        *[F.lit(0.0).alias(name) for name in counters])
+    process = Window.partitionBy("model_name", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = each.unionByName(idle).groupBy("model_name", "day", "ts").agg(*[F.sum(name).alias(name) for name in counters])
+    number = F.floor(F.unix_seconds("ts") / SCRAPE_S)
+    return read.select("model_name", "ts", *[F.round(F.sum(name).over(process), 6).alias(name) for name in counters]).where(
+        (number % 31 != 7) & ~(number % 97).between(11, 16))

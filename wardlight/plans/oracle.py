@@ -383,6 +383,70 @@ def stream_rates() -> str:
   round(sum(latency_s) / count(*) * 1000e0, 6) AS avg_latency_ms FROM wide GROUP BY ALL"""
 
 
+def scraped(counters: dict[str, str]) -> str:
+    """Samples ``smp`` of running totals that restart every day, read every minute with some readings missing."""
+    sums = ", ".join(f"{c}::DOUBLE AS {n}" for n, c in counters.items())
+    idle = ", ".join(f"0e0 AS {n}" for n in counters)
+    added = ", ".join(f"sum({n}) AS {n}" for n in counters)
+    upto = ", ".join(f"round(sum({n}) OVER (PARTITION BY model_name, day ORDER BY ts), 6) AS {n}" for n in counters)
+    return f"""{EVENTS},
+each AS (SELECT model_name, date_trunc('day', ts)::TIMESTAMP AS day, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS ts, {sums}
+  FROM ev GROUP BY 1, 2, 3),
+idle AS (SELECT model_name, day, unnest(generate_series(day + INTERVAL 1 MINUTE, day + INTERVAL 1 DAY, INTERVAL 1 MINUTE)) AS ts, {idle}
+  FROM (SELECT DISTINCT model_name, day FROM each)),
+reading AS (SELECT model_name, day, ts, {added} FROM (SELECT * FROM each UNION ALL SELECT * FROM idle) GROUP BY ALL),
+smp AS (SELECT * FROM (SELECT model_name, ts, {upto}, epoch(ts)::BIGINT // 60 AS number FROM reading)
+  WHERE number % 31 <> 7 AND NOT number % 97 BETWEEN 11 AND 16)"""
+
+
+def scraped_windows(counters: dict[str, str]) -> str:
+    """Windows ``win`` of the last five minutes at every minute: n, first and last sample, increases; ``gap`` has what to extend by."""
+    before = ", ".join(f"lag({n}) OVER s AS b_{n}" for n in counters)
+    total = ", ".join(f"{n} + coalesce(sum(CASE WHEN {n} < b_{n} THEN b_{n} ELSE 0e0 END) OVER s, 0e0) AS t_{n}" for n in counters)
+    ends = ", ".join(f"arg_min({n}, ts) AS f_{n}, arg_max({n}, ts) AS l_{n}, arg_max(t_{n}, ts) - arg_min(t_{n}, ts) AS i_{n}" for n in counters)
+    rates = ", ".join(
+        f"""CASE WHEN n > 1 THEN i_{n} * ((span + CASE WHEN i_{n} > 0 AND f_{n} >= 0 AND span * (f_{n} / i_{n}) < to_start
+          THEN span * (f_{n} / i_{n}) ELSE to_start END + to_end) / span) / 300e0 END AS r_{n}""" for n in counters)
+    return f"""{scraped(counters)},
+prev AS (SELECT *, {before} FROM smp WINDOW s AS (PARTITION BY model_name ORDER BY ts)),
+tot AS (SELECT *, {total} FROM prev WINDOW s AS (PARTITION BY model_name ORDER BY ts)),
+wide_smp AS (SELECT *, ts + to_minutes(i) AS "at" FROM tot, range(5) AS r(i)),
+win AS (SELECT model_name, "at", count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, {ends} FROM wide_smp GROUP BY 1, 2),
+span AS (SELECT *, epoch(last_ts - first_ts)::DOUBLE AS span, 300e0 - epoch("at" - first_ts)::DOUBLE AS s0, epoch("at" - last_ts)::DOUBLE AS e0
+  FROM win),
+gap AS (SELECT *, CASE WHEN s0 >= span / (n - 1) * 1.1::DOUBLE THEN span / (n - 1) / 2 ELSE s0 END AS to_start,
+  CASE WHEN e0 >= span / (n - 1) * 1.1::DOUBLE THEN span / (n - 1) / 2 ELSE e0 END AS to_end FROM span WHERE n > 1),
+rated AS (SELECT model_name, "at", {rates} FROM gap)"""
+
+
+LE = {f"le_{i}": f"count(*) FILTER (latency_s <= {'CAST(' + chr(39) + 'Infinity' + chr(39) + ' AS DOUBLE)' if b == float('inf') else repr(b) + '::DOUBLE'})"
+      for i, b in enumerate(V.LATENCY_BUCKETS)}
+
+
+def scraped_quantiles(source: str, prefix: str) -> str:
+    """Quantiles of the cumulative buckets ``prefix`` + name of ``source``."""
+    n = len(LE)
+    level = ", ".join(f"greatest({', '.join(f'{prefix}le_{j}' for j in range(i + 1))}) AS c_{i}" for i in range(n))
+    lows, highs = [0.0, *V.LATENCY_BUCKETS[:-1]], V.LATENCY_BUCKETS
+
+    def quantile(q: float) -> str:
+        rank = f"c_{n - 1} * {q!r}::DOUBLE"
+        cases = " ".join(
+            f"WHEN c_{i} >= {rank} THEN " + (f"{lows[i]!r}::DOUBLE" if i == n - 1 else
+            f"{lows[i]!r}::DOUBLE + ({highs[i]!r}::DOUBLE - {lows[i]!r}::DOUBLE) * ({rank} - {f'c_{i - 1}' if i else '0'}) / (c_{i} - {f'c_{i - 1}' if i else '0'})")
+            for i in range(n))
+        return f"CASE WHEN c_{n - 1} > 0 THEN round((CASE {cases} END) * 1000e0, 6) END AS p{round(q * 100)}_ms"
+
+    shown = ", ".join(quantile(q) for q in (0.5, 0.75, 0.9, 0.95, 0.99))
+    return f"""lev AS (SELECT model_name, "at", {level} FROM {source}) SELECT "at", model_name, {shown} FROM lev"""
+
+
+def counter_rate() -> str:
+    log = {"requests": "count(*)", "latency_sum": "sum(latency_s)", "latency_count": "count(latency_s)"}
+    return f"""WITH {scraped_windows(log)} SELECT "at", model_name, round(r_requests, 9) AS rate,
+      round(r_latency_sum / nullif(r_latency_count, 0e0) * 1000e0, 6) AS avg_latency_ms FROM rated"""
+
+
 RECENT = "ORDER BY ts DESC, prompt_id, model_name"
 FLAG = "round(avg(adversarial::INT) * 100e0, 6)"
 DETECT = f"WITH {decided()} SELECT {DECISION} FROM final"
@@ -642,6 +706,9 @@ def oracle() -> dict[str, str]:
             SELECT {DECISION}, error FROM final""",
         "near_overlap": NEAR_OVERLAP,
         "near_overlap_best": NEAR_OVERLAP_BEST,
+        "counter_rate_5m": counter_rate(),
+        "histogram_rate_quantile": f"WITH {scraped_windows(LE)}, {scraped_quantiles('rated', 'r_')}",
+        "histogram_latest_quantile": f"WITH {scraped_windows(LE)}, {scraped_quantiles('win', 'l_')}",
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
     flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble", "early_exit",

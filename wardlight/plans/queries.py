@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight import fixed_values as V
 from wardlight.functions import classifiers, legacy, rules, text, voting
 from wardlight.operators import (
-    baseline, dataprep, detect, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
+    baseline, counters, dataprep, detect, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
 )
 from wardlight.plans import inputs
 from wardlight.session import scratch_path, stored
@@ -917,6 +917,45 @@ def leaderboard(spark, folder):
     return evaluation.leaderboard(runs)
 
 
+# --- scraped counters ---------------------------------------------------------------------------------------
+
+def bucket_samples(spark, folder) -> tuple[DataFrame, list[str]]:
+    names = [f"le_{i}" for i in range(len(monitoring.BOUNDS))]
+    return inputs.scraped(spark, folder, dict(zip(names, monitoring._bucket_counts(F.col("latency_s"))))), names
+
+
+def at_quantiles(windows: DataFrame, buckets: list[Column]) -> DataFrame:
+    found = counters.bucket_quantiles(windows, buckets, monitoring.QUANTILES, ["model_name"])
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query
+def counter_rate_5m(spark, folder):
+    """Requests per second and mean latency of the last five minutes, every minute, from scraped counters."""
+    log = {"requests": F.count(F.lit(1)), "latency_sum": F.sum("latency_s"), "latency_count": F.count("latency_s")}
+    found = counters.windows(inputs.scraped(spark, folder, log), ["model_name"], list(log)).where("n > 1")
+    mean = F.try_divide(counters.rate("latency_sum"), counters.rate("latency_count")) * 1000.0
+    return found.select(
+        F.col("at").cast("timestamp_ntz").alias("at"), "model_name", F.round(counters.rate("requests"), 9).alias("rate"),
+        F.round(mean, 6).alias("avg_latency_ms"))
+
+
+@query
+def histogram_rate_quantile(spark, folder):
+    """Latency quantiles of the last five minutes, every minute, from the rates of scraped histogram buckets."""
+    samples, names = bucket_samples(spark, folder)
+    found = counters.windows(samples, ["model_name"], names).where("n > 1")
+    return at_quantiles(found, [counters.rate(name) for name in names])
+
+
+@query
+def histogram_latest_quantile(spark, folder):
+    """Latency quantiles since the last restart, every minute, from the latest sample of the last five minutes."""
+    samples, names = bucket_samples(spark, folder)
+    found = counters.windows(samples, ["model_name"], names, totals=False)
+    return at_quantiles(found, [F.col("last")[name] for name in names])
+
+
 # --- streaming ----------------------------------------------------------------------------------------------
 
 @query
