@@ -456,6 +456,16 @@ recent AS (SELECT conv_id, (7 - rn)::BIGINT AS slot, CASE WHEN lower(role) = 'us
     text AS content FROM ranked WHERE rn <= 6)"""
 
 
+EDIT_MATCHES = """WITH t AS (SELECT doc_id AS a, coalesce(strlen(text), 0) AS n, text FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels)),
+r AS (SELECT doc_id AS b, strlen(text) AS m, text AS other FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND strlen(text) > 0),
+c AS (SELECT a, b, levenshtein(text, other) AS d, least(6, greatest(n, m) // 10) AS most FROM t JOIN r
+  ON m BETWEEN n - 6 AND n + 6 WHERE n > 0 AND abs(n - m) <= least(6, greatest(n, m) // 10)),
+f AS (SELECT a, min((d, b)) AS v FROM c WHERE d <= most GROUP BY a)
+SELECT t.a AS row_id, n AS n_chars, v[2] AS match, v[1]::INTEGER AS distance FROM t LEFT JOIN f USING (a)"""
+
+
 LENGTH = "length(substr(prompt, 1, 512))"
 SCORED_PROMPTS = f"""plain AS (SELECT doc_id AS prompt_id,
     text || ' ' || ({texts(PHRASES)})[doc_id % {len(PHRASES)} + 1] AS prompt FROM documents),
@@ -704,6 +714,8 @@ def oracle() -> dict[str, str]:
             SELECT prompt_id, m AS mode, error, is_adversarial, reason, winning_mechanism FROM final""",
         "scorer_failure": f"""WITH {decided(failed='length(substr(prompt, 1, 512)) % 7 = 0').replace(PROMPTS, SCORED_PROMPTS)}
             SELECT {DECISION}, error FROM final""",
+        "edit_matches": EDIT_MATCHES,
+        "edit_overlap": f"SELECT row_id, n_chars, match IS NOT NULL AS leaked FROM ({EDIT_MATCHES})",
         "near_overlap": NEAR_OVERLAP,
         "near_overlap_best": NEAR_OVERLAP_BEST,
         "counter_rate_5m": counter_rate(),

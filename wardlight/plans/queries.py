@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight import fixed_values as V
 from wardlight.functions import classifiers, legacy, rules, text, voting
 from wardlight.operators import (
-    baseline, counters, dataprep, detect, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
+    baseline, counters, dataprep, detect, edits, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
 )
 from wardlight.plans import inputs
 from wardlight.session import scratch_path, stored
@@ -785,6 +785,20 @@ def near_overlap_best(spark, folder):
     return fuzzy.best_matches(test, train)
 
 
+@query
+def edit_overlap(spark, folder):
+    """Test prompts within six edits, and a tenth of the text, of a train prompt; bytes, as the SQL form counts them."""
+    train, test = raw_overlap_sides(spark, folder)
+    return edits.edit_overlap(test, train, unit="byte")
+
+
+@query
+def edit_matches(spark, folder):
+    """The nearest train prompt of every test prompt."""
+    train, test = raw_overlap_sides(spark, folder)
+    return edits.edit_matches(test, train, unit="byte")
+
+
 @query
 def ngram_counts(spark, folder):
     return ngrams.ngram_counts(clean(spark, folder), ngrams.BASELINE_NGRAMS)
