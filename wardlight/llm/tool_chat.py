@@ -11,9 +11,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from wardlight.llm.common import written
 
@@ -99,29 +98,18 @@ def validated(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         *calls.columns, "_checked.valid", "_checked.problem", "_checked.canonical")
 
 
-def _filled(values: pd.Series) -> list[str]:
-    return ["" if v is None else v for v in values]
+# Control characters whose escapes hold a hexadecimal letter and have no short form.
+LETTERED = [0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F]
 
 
-@F.pandas_udf(StringType())
-def message_line(role: pd.Series, content: pd.Series) -> pd.Series:
-    return pd.Series([canonical({"content": c, "role": r}) for c, r in zip(_filled(content), _filled(role))], dtype="object")
-
-
-@F.pandas_udf(StringType())
-def orphan_line(call_id: pd.Series, content: pd.Series) -> pd.Series:
-    return pd.Series(
-        [canonical({"call_id": i, "content": c, "role": "tool"}) for i, c in zip(_filled(call_id), _filled(content))], dtype="object")
-
-
-@F.pandas_udf(StringType())
-def call_line(call_id: pd.Series, content: pd.Series, status: pd.Series, tool: pd.Series, valid: pd.Series, arguments: pd.Series) -> pd.Series:
-    """``arguments`` are canonical already, and their key is the first one."""
-    out = []
-    for i, c, s, t, v, a in zip(_filled(call_id), _filled(content), status, _filled(tool), valid, arguments):
-        rest = canonical({"call_id": i, "result": c, "role": "call", "status": s, "tool": t, "valid": bool(v)})
-        out.append(f'{{"arguments":{"null" if a is None else a},{rest[1:]}')
-    return pd.Series(out, dtype="object")
+def line(fields: Column) -> Column:
+    """A struct, its fields in the order of their names, as canonical JSON: Spark writes the escapes of control
+    characters with capital letters, ``canonical`` with small ones."""
+    plain = F.to_json(fields)
+    small = plain
+    for code in LETTERED:  # an escape starts at a backslash that is not escaped itself
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*+)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(plain.contains("\\u00"), small).otherwise(plain)
 
 
 # --- linking and order --------------------------------------------------------------------------------------------
@@ -217,19 +205,23 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         "conv_id", "turn", "call_id", "tool", "arguments", "needs", F.monotonically_increasing_id().alias("position"))
     placed = written(validated(numbered, schemas), "checked_calls")
     joined = linked(placed, results).join(ordered(placed), IDS, "left")
-    line = ["conv_id", "turn", "kind", "level", "call_id", "status", "valid", "problem", "unmet", "json"]
+    shown = ["conv_id", "turn", "kind", "level", "call_id", "status", "valid", "problem", "unmet", "json"]
+
+    def text(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
     none = {"level": "int", "status": "string", "valid": "boolean", "problem": "string", "unmet": "bigint"}
     blank = {k: F.lit(None).cast(v) for k, v in none.items()}
     says = messages.withColumns({
         **blank, "kind": F.lit("message"), "call_id": F.lit(None).cast("string"),
-        "json": message_line(F.col("role").cast("string"), F.col("text").cast("string"))})
+        "json": line(F.struct(text("text").alias("content"), text("role").alias("role")))})
     lost = orphans(placed, results).withColumns({
         **blank, "kind": F.lit("orphan"), "status": F.lit("orphan"),
-        "json": orphan_line(F.col("call_id").cast("string"), F.col("content").cast("string"))})
+        "json": line(F.struct(text("call_id").alias("call_id"), text("content").alias("content"), F.lit("tool").alias("role")))})
+    rest = line(F.struct(
+        text("call_id").alias("call_id"), text("content").alias("result"), F.lit("call").alias("role"), "status",
+        text("tool").alias("tool"), "valid"))
     does = joined.withColumns({
         "kind": F.lit("call"), "level": F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), 0).otherwise(F.col("level")),
-        "json": call_line(
-            F.col("call_id").cast("string"), F.col("content").cast("string"), F.col("status"), F.col("tool").cast("string"),
-            F.col("valid"), F.col("canonical"))})
-    return says.select(line).unionByName(does.select(line)).unionByName(lost.select(line))
+        "json": F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(","), F.substring(rest, 2, 2 ** 31 - 1))})
+    return says.select(shown).unionByName(does.select(shown)).unionByName(lost.select(shown))
