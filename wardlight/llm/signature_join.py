@@ -4,7 +4,7 @@
 2. Hashes are in ascending order.  Of two linked sets each has several common shingles early in this order (see
    ``early``), so a class is dropped unless so many of its early shingles occur early in other classes.  Only the early
    ones are moved, as 32-bit remainders within buckets; classes that stay are read again in full.
-3. Shingles are ordered by the number of classes that hold them.  A class with fewer shared shingles than a link needs
+3. Early shingles are ordered by the number of classes that hold them.  A class with fewer shared ones than a link needs
    is dropped; the rest enter a bucket for each shared shingle in their prefix of this order.  Buckets with the same
    members are one bucket.
 4. Every member of a bucket is held against the bucket's least member, which joins large groups of near copies in time
@@ -28,18 +28,21 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.common import text_of, written
 from wardlight.llm.components import components
+from wardlight.session import small_side
 
 WORDS = 5
 PERCENT = 75
 BLOCK = 256  # members of one tree
 TASK_ROWS = 2_000  # members that one task holds at a time, on average
-FILTER_BITS = 1 << 25  # size of the filter that spares most classes a second reading
+FILTER_BITS = (1 << 22, 1 << 28)  # least and largest size of the filter that spares most classes a second reading
+BITS_A_CLASS = 64
 EARLY_SHARE = 5  # a fifth of a set more than the least prefix is compared early
 WINDOW_SHINGLES = 2_000_000  # early shingles that a Python worker combines before it sends them on
 WINDOW_CLASSES = 30_000
 BUCKET_ROWS = 2_000  # documents to a bucket of early shingles
 REMEMBERED = 400_000  # word hashes that one Python worker keeps
 FAN_OUT = 4
+CREDIT_CLASSES = 1_000_000  # classes whose credits one task adds up before it sends them on
 
 
 def needed(n: Column) -> Column:
@@ -196,28 +199,62 @@ def read_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, READ.format(kind=kind))
 
 
+def bucket_credits(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(x, credit) from all entries (h, owner, xs) of one bucket."""
+    h, x, marked = [], [], []
+    for a, b, c in parts:
+        owner = np.frombuffer(b, "<u2")
+        h.append(np.frombuffer(a, "<u4"))
+        x.append(np.frombuffer(c, "<i8")[owner & 0x7FFF])
+        marked.append(owner >> 15)
+    h, x, marked = np.concatenate(h), np.concatenate(x), np.concatenate(marked).astype(bool)
+    order = np.lexsort((~marked, x, h))  # of a class's entries for one shingle the marked one comes first
+    h, x, marked = h[order], x[order], marked[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]))
+    h, x, marked = h[once], x[once], marked[once]
+    group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+    shared = (np.bincount(group) > 1)[group] & ~marked
+    return np.unique(x[shared], return_counts=True)
+
+
+class Sums:
+    """Credits of classes, added up before they leave a task; ``take`` gives them and starts anew."""
+
+    def __init__(self):
+        self.x, self.n = np.zeros(0, "int64"), np.zeros(0, "int64")
+
+    def add(self, x: np.ndarray, n: np.ndarray) -> None:
+        found, at = np.unique(np.concatenate([self.x, x]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n])).astype("int64")
+        self.x = found
+
+    def take(self) -> pa.RecordBatch:
+        x, n = self.x, self.n
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["x", "credit"])
+
+
 def credits(read: DataFrame) -> DataFrame:
     """x, credit: how many early shingles of a class occur early in other classes (or more, for classes with copies)."""
     posted = read.where("bucket is not null").select("bucket", "h", "owner", "xs")
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        h, x, marked = [], [], []
-        for a, b, c in zip(rows["h"], rows["owner"], rows["xs"]):
-            owner = np.frombuffer(b, "<u2")
-            h.append(np.frombuffer(a, "<u4"))
-            x.append(np.frombuffer(c, "<i8")[owner & 0x7FFF])
-            marked.append(owner >> 15)
-        h, x, marked = np.concatenate(h), np.concatenate(x), np.concatenate(marked).astype(bool)
-        order = np.lexsort((~marked, x, h))  # of a class's entries for one shingle the marked one comes first
-        h, x, marked = h[order], x[order], marked[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]))
-        h, x, marked = h[once], x[once], marked[once]
-        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-        shared = (np.bincount(group) > 1)[group] & ~marked
-        found, n = np.unique(x[shared], return_counts=True)
-        return pd.DataFrame({"x": found, "credit": n.astype("int64")})
-
-    across = posted.where("bucket >= 0").groupBy("bucket").applyInPandas(count, "x bigint, credit bigint")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, bucket, parts = Sums(), None, []
+        for batch in batches:
+            for number, *part in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != bucket and parts:
+                    sums.add(*bucket_credits(parts))
+                    parts = []
+                    if len(sums.x) >= CREDIT_CLASSES:
+                        yield sums.take()
+                bucket = number
+                parts.append(part)
+        if parts:
+            sums.add(*bucket_credits(parts))
+        yield sums.take()
+
+    dealt = posted.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    across = dealt.mapInArrow(count, "x bigint, credit bigint")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,13 +266,13 @@ def credits(read: DataFrame) -> DataFrame:
     return across.unionByName(within).groupBy("x").agg(F.sum("credit").alias("credit"))
 
 
-def _bits_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS over the hashes of ``key``: at most 1,024 rows of 4 KB, whatever the table."""
+def _bits_of(keys: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits over the hashes of ``key``: at most 8,192 rows of 4 KB, whatever the table."""
     # Spark's bitmap functions number bits from 1
-    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1
+    at = F.pmod(F.xxhash64("key"), F.lit(size)) + 1
     rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, "u1")
+    out = np.zeros(size // 8, "u1")
     for r in rows:
         bits = np.frombuffer(bytes(r["bits"]), "u1")
         out[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
@@ -245,7 +282,8 @@ def _bits_of(keys: DataFrame) -> np.ndarray:
 def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """class, n, hashes of the classes in ``wanted`` (class, key of one of its rows), each once."""
     spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(_bits_of(wanted))
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (wanted.count() * BITS_A_CLASS).bit_length()))
+    bits = spark.sparkContext.broadcast(_bits_of(wanted, size))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +306,7 @@ def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
 
     rows = df.select(
         df[key].alias("key"), text_of(df, text).alias("text"),
-    ).withColumn("at", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)))
+    ).withColumn("at", F.pmod(F.xxhash64("key"), F.lit(size)))
     read = rows.mapInArrow(run, f"key {kind}, class binary, n int, hashes array<bigint>")
     right = wanted.select(F.col("class").alias("c"), F.col("key").alias("k"))
     found = read.join(right, (read["class"] == right["c"]) & read["key"].eqNullSafe(right["k"]), "left_semi")
@@ -276,11 +314,16 @@ def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
 
 
 def shared_prefixes(members: DataFrame) -> DataFrame:
-    """v, n, prefix: the shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by."""
-    exploded = members.select("v", "n", F.explode("hashes").alias("h"))
+    """v, n, prefix: the early shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by.
+
+    Linked sets have ``least_common`` of their early shingles in common, so all others need not be looked at.
+    """
+    n = F.col("n")
+    first = F.slice("hashes", F.lit(1), n - needed(n) + F.greatest(F.lit(1), F.floor(n / EARLY_SHARE).cast("int")))
+    exploded = members.select("v", "n", F.explode(first).alias("h"))
     held = written(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared_shingles")
     ranked = exploded.join(held, "h").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    spare = F.size("own") - needed(F.col("n")) + 1  # shared shingles within the prefix; the unshared come before them
+    spare = F.size("own") - least_common(n) + 1  # shared shingles within the prefix; the unshared come before them
     return ranked.where(spare > 0).select("v", "n", F.slice("own", F.lit(1), spare)["h"].alias("prefix"))
 
 
@@ -428,10 +471,10 @@ def tree_join(open_rows: DataFrame, members: DataFrame) -> DataFrame:
     rows = written(first.unionByName(second).select("low", "v", "component", "side", name.alias("pair")), "tree_rows")
     # Buckets with the same least component have many members in common: they go to one task, which gets each set once,
     # or to several where they have more members than a task should hold.
-    parts = rows.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("parts"))
+    parts = small_side(rows.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("parts")).where("parts > 1"))
     tasks = max(1, rows.count() // TASK_ROWS)
-    part = F.pmod(F.xxhash64("pair"), F.col("parts"))
-    placed_rows = written(rows.join(parts, "low").select(
+    part = F.pmod(F.xxhash64("pair"), F.coalesce("parts", F.lit(1)))
+    placed_rows = written(rows.join(parts, "low", "left").select(
         F.pmod(F.xxhash64("low", part), F.lit(tasks)).alias("task"), "pair", "v", "component", "side"), "task_rows")
     asked = placed_rows.select(F.col("task").alias("t"), F.col("v").alias("w")).distinct()
     sets = asked.join(members.select(F.col("v").alias("w"), "hashes"), "w")
