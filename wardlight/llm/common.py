@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.session import scratch_path
 
-CACHED_WORDS = 900_000  # words an encoder remembers in one Python worker, about 180 MB
+CACHED_WORDS = 500_000  # words an encoder remembers in one Python worker, about 100 MB
 LETTER, PUNCTUATION = 1, 2
 BYTE_KINDS = np.zeros(256, "u1")
 BYTE_KINDS[[*b"abcdefghijklmnopqrstuvwxyz"]] = LETTER
@@ -107,6 +107,17 @@ class WordEncoder:
             self.parts[part] = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
+ENCODERS: dict[str, WordEncoder] = {}  # the encoder a Python worker keeps from task to task, by its file
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder: it reads its file once and keeps what it has learnt, within its bound."""
+    if path not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
+
+
 def arrow_rows(batches: Iterable[pa.RecordBatch], size: int = 2_000) -> Iterator[list[dict]]:
     """Rows of Arrow batches in small lists."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wardlight.llm.common import WordEncoder, text_of, written
+from wardlight.llm.common import word_encoder, text_of, written
 
 CAPACITY = 4096
 ROWS_PER_SALT = 20_000  # rows that one rank window holds at most, on average
@@ -196,7 +196,7 @@ def token_pieces(
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import WordEncoder, text_of, written
+from wardlight.llm.common import word_encoder, text_of, written
 
 MAGIC = b"RANS1\0\0\0"
 SCALE_BITS = 20
@@ -190,7 +190,7 @@ def document_ids(
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
