@@ -185,3 +185,57 @@ def scraped(spark: SparkSession, folder: str, counters: dict[str, Column]) -> Da
     number = F.floor(F.unix_seconds("ts") / SCRAPE_S)
     return read.select("model_name", "ts", *[F.round(F.sum(name).over(process), 6).alias(name) for name in counters]).where(
         (number % 31 != 7) & ~(number % 97).between(11, 16))
+
+
+SLICES = 4
+
+
+def late_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The inference log with ``arrival``: a slice for every eight days; some rows come one slice late, some two."""
+    slice_ = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 8)
+    late = F.when(F.col("event_id") % 10 == 3, 1).when(F.col("event_id") % 50 == 7, 2).otherwise(0)
+    return model_events(spark, folder).withColumn("arrival", F.least(slice_ + late, F.lit(SLICES)).cast("int"))
+
+
+def late_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, prompt_id, ts of the first row of each text in each of SLICES slices of the ids, and ``arrival``."""
+    docs = table(spark, folder, "documents")
+    most = docs.agg(F.max("doc_id").alias("m")).scalar()
+    rows = docs.select(
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), F.col("doc_id").alias("prompt_id"),
+        F.floor(F.col("doc_id") * SLICES / (most + 1)).cast("int").alias("arrival"))
+    first = rows.groupBy("digest", "arrival").agg(F.min("prompt_id").alias("prompt_id"))
+    return first.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("prompt_id") * 60))
+
+
+def paused_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns ten minutes apart with ``ts`` and ``arrival``; every third conversation pauses for three hours
+    after its third turn.  A slice holds 80 minutes, the last one all that comes later."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    minutes = turn * 10 + conv % 7 + F.when((conv % 3 == 0) & (turn >= 3), 180).otherwise(0)
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", "text", F.timestamp_seconds(F.lit(1704067200) + minutes * 60).alias("ts"),
+        F.least(F.floor(minutes / 80), F.lit(SLICES - 1)).cast("int").alias("arrival"))
+
+
+def prompts_and_outputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Prompts (prompt_id, ts) and their toxic-model outputs (prompt_id, output_ts, label, score), with ``arrival``.
+
+    Outputs come up to 19 minutes after their prompt, and none for every 11th one.  Rows arrive in the order of their time;
+    a last slice holds one row of a day later on both sides, without which the newest rows would wait for others.
+    """
+    rows = prompts_from(table(spark, folder, "documents")).select("prompt_id", "ts", "toxic")
+    most = table(spark, folder, "documents").agg(F.max("doc_id").alias("m")).scalar()
+
+    def arrival(minute: Column) -> Column:
+        return F.least(F.floor(minute * SLICES / (most + 1)), F.lit(SLICES - 1)).cast("int").alias("arrival")
+
+    i, after = F.col("prompt_id"), F.col("prompt_id") % 20
+    prompts_ = rows.select("prompt_id", "ts", arrival(i))
+    outputs = rows.where(i % 11 != 0).select(
+        "prompt_id", F.timestamp_seconds(F.unix_seconds("ts") + after * 60).alias("output_ts"), "toxic.label", "toxic.score", arrival(i + after))
+    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("prompt_id"), F.timestamp_seconds(
+        F.lit(1704067200 + 86_400) + (F.lit(most) + 1) * 60).alias("ts"))
+    last = F.lit(SLICES).alias("arrival")
+    return (prompts_.unionByName(end.select("prompt_id", "ts", last)), outputs.unionByName(end.select(
+        "prompt_id", F.col("ts").alias("output_ts"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"), last)))

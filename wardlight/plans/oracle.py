@@ -447,6 +447,51 @@ def counter_rate() -> str:
       round(r_latency_sum / nullif(r_latency_count, 0e0) * 1000e0, 6) AS avg_latency_ms FROM rated"""
 
 
+LATE = f"""{EVENTS},
+arr AS (SELECT *, least(date_diff('day', TIMESTAMP '2024-01-01', ts) // 8 + CASE WHEN event_id % 10 = 3 THEN 1
+  WHEN event_id % 50 = 7 THEN 2 ELSE 0 END, 4) AS slice FROM ev),
+newest AS (SELECT slice, max(date_trunc('milliseconds', ts)) AS newest FROM arr GROUP BY 1),
+mark AS (SELECT a.slice, max(n.newest) - INTERVAL 6 DAY AS w FROM newest a LEFT JOIN newest n ON n.slice < a.slice GROUP BY 1),
+wide AS (SELECT arr.*, date_trunc('minute', ts) - to_minutes(i) AS window_start FROM arr, range(5) AS r(i)),
+kept AS (SELECT wide.* FROM wide JOIN mark USING (slice) WHERE w IS NULL OR window_start + INTERVAL 5 MINUTE > w)"""
+
+
+def dedup_late(slices: int = 4) -> str:
+    """A slice's rows against the texts seen before it whose two hours are not over by the watermark."""
+    parts = [f"""d AS (SELECT sha256(coalesce(text, '')) AS digest, doc_id AS prompt_id,
+  (doc_id * {slices} // ((SELECT max(doc_id) FROM documents) + 1))::INT AS slice FROM documents),
+f AS (SELECT digest, slice, min(prompt_id) AS prompt_id, to_timestamp(1704067200 + min(prompt_id) * 60) AS ts FROM d GROUP BY 1, 2),
+s0 AS (SELECT ''::VARCHAR AS digest, TIMESTAMPTZ '1970-01-01' AS until WHERE false)"""]
+    for i in range(slices):
+        mark = f"coalesce((SELECT max(ts) - INTERVAL 2 HOUR FROM f WHERE slice < {i}), TIMESTAMPTZ '1970-01-01')"
+        parts.append(f"""
+e{i} AS (SELECT digest, prompt_id, ts FROM f WHERE slice = {i} AND ts > {mark}
+  AND digest NOT IN (SELECT digest FROM s{i} WHERE until > {mark})),
+s{i + 1} AS (SELECT digest, max(until) AS until FROM (SELECT * FROM s{i} UNION ALL SELECT digest, ts + INTERVAL 2 HOUR FROM e{i}) GROUP BY 1)""")
+    every = " UNION ALL ".join(f"SELECT digest, prompt_id FROM e{i}" for i in range(slices))
+    return f"WITH {','.join(parts)} {every}"
+
+
+CONTEXT_EXPIRING = """WITH m AS (SELECT *, turn * 10 + conv_id % 7 + CASE WHEN conv_id % 3 = 0 AND turn >= 3 THEN 180 ELSE 0 END AS minute
+  FROM conversations),
+t AS (SELECT *, least(minute // 80, 3) AS slice FROM m),
+k AS (SELECT slice, max(minute) AS newest FROM t GROUP BY 1),
+n AS (SELECT s.slice, max(k.newest) - 10 AS mark FROM range(5) AS s(slice) LEFT JOIN k ON k.slice < s.slice GROUP BY 1),
+live AS (SELECT t.* FROM t JOIN n USING (slice) WHERE mark IS NULL OR minute > mark),
+g AS (SELECT conv_id, slice, max(minute) AS last FROM live GROUP BY 1, 2),
+b AS (SELECT *, lag(last) OVER (PARTITION BY conv_id ORDER BY slice) AS before FROM g),
+c AS (SELECT b.*, sum((before IS NOT NULL AND before + 60 <= mark)::INT) OVER (PARTITION BY conv_id ORDER BY b.slice) AS session
+  FROM b JOIN n USING (slice)),
+z AS (SELECT conv_id, session, max(last) AS last FROM c GROUP BY 1, 2),
+x AS (SELECT live.*, session FROM live JOIN c USING (conv_id, slice)),
+s AS (SELECT conv_id, session, count(*) AS n_turns, any_value(z.last) + 60 <= (SELECT mark FROM n WHERE slice = 4) AS gone
+  FROM x JOIN z USING (conv_id, session) GROUP BY 1, 2),
+r AS (SELECT x.*, row_number() OVER (PARTITION BY conv_id, session ORDER BY turn DESC) AS rn FROM x)
+SELECT conv_id, 0::BIGINT AS slot, 'expired' AS role, NULL::VARCHAR AS content, n_turns FROM s WHERE gone
+UNION ALL SELECT conv_id, (7 - rn)::BIGINT, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'assistant' END, text, n_turns
+FROM r JOIN s USING (conv_id, session) WHERE NOT gone AND rn <= 6"""
+
+
 RECENT = "ORDER BY ts DESC, prompt_id, model_name"
 FLAG = "round(avg(adversarial::INT) * 100e0, 6)"
 DETECT = f"WITH {decided()} SELECT {DECISION} FROM final"
@@ -721,6 +766,18 @@ def oracle() -> dict[str, str]:
         "counter_rate_5m": counter_rate(),
         "histogram_rate_quantile": f"WITH {scraped_windows(LE)}, {scraped_quantiles('rated', 'r_')}",
         "histogram_latest_quantile": f"WITH {scraped_windows(LE)}, {scraped_quantiles('win', 'l_')}",
+        "stream_rates_late": f"""WITH {LATE} SELECT window_start, model_name, count(*) AS n, count(*)::DOUBLE / 300e0 AS rate,
+            round(sum(latency_s) / count(*) * 1000e0, 6) AS avg_latency_ms FROM kept GROUP BY ALL""",
+        "stream_histogram_late": f"""WITH {LATE} SELECT window_start, model_name, {', '.join(f'{c} AS {n}' for n, c in LE.items())}
+            FROM kept GROUP BY ALL""",
+        "stream_dedup_late": dedup_late(),
+        "stream_context_expiring": CONTEXT_EXPIRING,
+        "stream_join_outputs": """WITH p AS (SELECT doc_id AS i, CASE WHEN doc_id % 11 = 0 THEN 'toxic' ELSE 'non-toxic' END AS label,
+            0.6e0 + 0.4e0 * (((doc_id * 37) % 101)::DOUBLE / 101e0) AS score,
+            make_timestamp((1704067200 + doc_id * 60 + doc_id % 20 * 60) * 1000000) AS output_ts, doc_id % 11 <> 0 AND doc_id % 20 <= 10 AS hit
+            FROM documents)
+            SELECT i AS prompt_id, CASE WHEN hit THEN output_ts END AS output_ts, CASE WHEN hit THEN label END AS label,
+            CASE WHEN hit THEN score END AS score FROM p""",
         "stream_dedup": "SELECT DISTINCT text AS prompt FROM documents",
     }
     flags = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble", "early_exit",

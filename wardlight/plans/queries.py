@@ -13,7 +13,7 @@ from wardlight.operators import (
 from wardlight.plans import inputs
 from wardlight.session import scratch_path, stored
 from wardlight.sources import tabular
-from wardlight.streaming import jobs
+from wardlight.streaming import jobs, late
 
 REGISTRY = {}
 AS_OF = "2024-01-31 00:00:00"
@@ -1036,3 +1036,53 @@ def stream_dedup(spark, folder):
     )
     jobs.write_batches(jobs.dedup(stream).select("prompt"), path, scratch_path(spark, "state"))
     return spark.read.parquet(path).select("prompt")
+
+
+LATE = "6 days"
+
+
+@query
+def stream_rates_late(spark, folder):
+    """Rates of a stream with late rows: what comes after the watermark has passed a window is left out of it."""
+    path = scratch_path(spark, "rates-late")
+    late.replay([inputs.late_events(spark, folder)], inputs.SLICES + 1, lambda s: jobs.rates(s, watermark=LATE), path, "update")
+    found = jobs.latest_per_window(spark, path, ["window_start", "model_name"])
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_histogram_late(spark, folder):
+    path = scratch_path(spark, "histogram-late")
+    late.replay([inputs.late_events(spark, folder)], inputs.SLICES + 1, lambda s: jobs.histogram(s, watermark=LATE), path, "update")
+    found = jobs.latest_per_window(spark, path, ["window_start", "model_name"])
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_dedup_late(spark, folder):
+    """Prompts that were not seen within two hours before, from a stream in slices."""
+    path = scratch_path(spark, "dedup-late")
+
+    def first(stream):
+        return stream.withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(["digest"]).select("digest", "prompt_id")
+
+    late.replay([inputs.late_prompts(spark, folder)], inputs.SLICES, first, path)
+    return spark.read.parquet(path).select("digest", "prompt_id")
+
+
+@query
+def stream_context_expiring(spark, folder):
+    """Contexts of conversations that go on, and those that ended an hour after their last turn."""
+    path = scratch_path(spark, "context-expiring")
+    with late.rocksdb(spark):
+        late.replay([inputs.paused_turns(spark, folder)], inputs.SLICES, late.expiring_context, path, "update")
+    return late.open_contexts(spark.read.parquet(path))
+
+
+@query
+def stream_join_outputs(spark, folder):
+    """Prompts with the model output that came within ten minutes, as two streams."""
+    path = scratch_path(spark, "join-outputs")
+    late.replay(list(inputs.prompts_and_outputs(spark, folder)), inputs.SLICES + 1, late.joined_outputs, path)
+    found = spark.read.parquet(path).where("prompt_id >= 0")
+    return found.select("prompt_id", F.col("output_ts").cast("timestamp_ntz").alias("output_ts"), "label", "score")
