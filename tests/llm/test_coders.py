@@ -145,3 +145,15 @@ def test_maxscore_shard(spread):
         mine = got[got["query_id"] == q]
         limit = maxscore.LONG
         assert list(zip(mine["score"], mine["vec_id"])) == [(max(-limit, min(limit, -s)), v) for s, v in scores]
+
+
+def test_chunks_of_a_long_line_run_together(monkeypatch):
+    """No cut of such a text is certain, and yet the number of runs does not grow with the number of chunks."""
+    rng = np.random.default_rng(5)
+    line = "".join(rng.choice(list("abcdefghij"), 300_000))
+    machine = token_transducer.Transducer(BYTE)
+    calls = []
+    run = machine.run
+    monkeypatch.setattr(machine, "run", lambda *a: calls.append(len(a[1])) or run(*a))
+    assert machine.count_all([line])[0] == len(brute.word_tokenizer("byte_bpe_50k.json").encode(line).ids)
+    assert calls[0] > 500 and len(calls) <= 8

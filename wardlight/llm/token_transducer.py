@@ -257,13 +257,39 @@ class Transducer:
         plain = np.ones(len(texts), bool)
         plain[owner[~sure]] = False
         np.add.at(out, owner, np.where(plain[owner], counts + lasts, 0))
-        for i in np.flatnonzero(~plain).tolist():
-            mine = np.flatnonzero(owner == i)
-            maps = [ChunkMap(self, codes, int(starts[k]), int(sizes[k]), bool(sure[k]), int(exits[k]), int(counts[k])) for k in mine]
-            state, total = scan(maps)(0)
-            out[i] = total + self.lasts[state]
+        rest = np.flatnonzero(~plain[owner])
+        if len(rest):
+            begins = np.append(True, owner[rest][1:] != owner[rest][:-1])
+            maps = self.chunk_maps(codes, starts[rest], sizes[rest], sure[rest] | begins, exits[rest], counts[rest])
+            ends = np.append(np.flatnonzero(begins)[1:], len(rest))
+            for first, end in zip(np.flatnonzero(begins).tolist(), ends.tolist()):
+                state, total = scan([Mapped(m, self.lasts, k > 0 and bool(sure[rest[first + k]])) for k, m in enumerate(maps[first:end])])(0)
+                out[owner[rest[first]]] = total + self.lasts[state]
         return out
 
+    def chunk_maps(self, codes, starts, sizes, fresh, exits, counts) -> list[dict[int, tuple[int, int]]]:
+        """For each chunk: entry state -> (exit state, count), for every entry that its predecessor's exits can be.
+
+        ``fresh`` chunks are entered in state 0.  All chunks have run from state 0.  Then all those whose predecessor ends
+        elsewhere run together from there, until no exit changes; as a token machine forgets its entry within a few
+        tokens, two or three rounds are the rule, however many chunks there are.
+        """
+        maps = [{0: (x, n)} for x, n in zip(exits.tolist(), counts.tolist())]
+        entry, exits = np.zeros(len(starts), "int64"), exits.astype("int64").copy()
+        while True:
+            wanted = np.where(fresh, 0, np.append(0, exits[:-1]))
+            moved = np.flatnonzero(wanted != entry)
+            if not len(moved):
+                return maps
+            new = np.array([k for k in moved.tolist() if int(wanted[k]) not in maps[k]], "int64")
+            if len(new):
+                found, n = self.run(codes, starts[new], sizes[new], wanted[new])
+                for k, x, c in zip(new.tolist(), found.tolist(), n.tolist()):
+                    maps[k][int(wanted[k])] = (x, c)
+            for k in moved.tolist():
+                exits[k] = maps[k][int(wanted[k])][0]
+            entry = wanted
+
     def count_all(self, texts: list[str]) -> np.ndarray:
         """Token counts of any texts; each special string in them is one token."""
         out = np.zeros(len(texts), "int64")
@@ -291,21 +317,15 @@ class Transducer:
         return out
 
 
-class ChunkMap:
-    """entry state -> (exit state, count) of one chunk.  Entries are added when they occur."""
+class Mapped:
+    """A chunk map as a function; a ``sure`` chunk is entered anew, after the token before it has been flushed."""
 
-    def __init__(self, machine: Transducer, codes: np.ndarray, start: int, size: int, sure: bool, exit_: int, count: int):
-        self.machine, self.codes, self.start, self.size, self.sure = machine, codes, start, size, sure
-        self.known = {0: (exit_, count)}
+    def __init__(self, known: dict[int, tuple[int, int]], lasts, sure: bool):
+        self.known, self.lasts, self.sure = known, lasts, sure
 
     def __call__(self, entry: int) -> tuple[int, int]:
-        flushed = self.machine.lasts[entry] if self.sure else 0
-        state = 0 if self.sure else entry
-        if state not in self.known:
-            exits, counts = self.machine.run(self.codes, np.array([self.start]), np.array([self.size]), np.array([state]))
-            self.known[state] = (int(exits[0]), int(counts[0]))
-        exit_, count = self.known[state]
-        return exit_, count + flushed
+        exit_, count = self.known[0 if self.sure else entry]
+        return exit_, count + (self.lasts[entry] if self.sure else 0)
 
 
 class Composed:
