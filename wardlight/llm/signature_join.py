@@ -4,7 +4,7 @@
 2. Hashes are in ascending order.  Of two linked sets each has several common shingles early in this order (see
    ``early``), so a class is dropped unless so many of its early shingles occur early in other classes.  Only the early
    ones are moved, as 32-bit remainders within buckets; classes that stay are read again in full.
-3. Early shingles are ordered by the number of classes that hold them.  A class with fewer shared ones than a link needs
+3. Shingles are ordered by the number of classes that hold them.  A class with fewer shared ones than a link needs
    is dropped; the rest enter a bucket for each shared shingle in their prefix of this order.  Buckets with the same
    members are one bucket.
 4. Every member of a bucket is held against the bucket's least member, which joins large groups of near copies in time
@@ -43,6 +43,7 @@ BUCKET_ROWS = 2_000  # documents to a bucket of early shingles
 REMEMBERED = 400_000  # word hashes that one Python worker keeps
 FAN_OUT = 4
 CREDIT_CLASSES = 1_000_000  # classes whose credits one task adds up before it sends them on
+CREDITS_A_PART = 20_000  # classes whose credits meet in one group
 
 
 def needed(n: Column) -> Column:
@@ -218,52 +219,62 @@ def bucket_credits(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray,
 
 
 class Sums:
-    """Credits of classes, added up before they leave a task; ``take`` gives them and starts anew."""
+    """Credits of classes, added up before they leave a task; ``take`` gives them by part and starts anew."""
 
-    def __init__(self):
-        self.x, self.n = np.zeros(0, "int64"), np.zeros(0, "int64")
+    def __init__(self, parts: int):
+        self.parts, self.x, self.n = parts, np.zeros(0, "int64"), np.zeros(0, "int64")
 
     def add(self, x: np.ndarray, n: np.ndarray) -> None:
-        found, at = np.unique(np.concatenate([self.x, x]), return_inverse=True)
-        self.n = np.bincount(at, np.concatenate([self.n, n])).astype("int64")
-        self.x = found
+        self.x, at = np.unique(np.concatenate([self.x, x]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), minlength=len(self.x)).astype("int64")
 
     def take(self) -> pa.RecordBatch:
-        x, n = self.x, self.n
-        self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["x", "credit"])
-
-
-def credits(read: DataFrame) -> DataFrame:
+        part = self.x % self.parts
+        order = np.argsort(part, kind="stable")
+        x, n, part = self.x[order], self.n[order], part[order]
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, int)
+        rows = [(int(part[i]), x[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        self.__init__(self.parts)
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "xs", "ns"])
+
+
+def credits(read: DataFrame, parts: int) -> DataFrame:
     """x, credit: how many early shingles of a class occur early in other classes (or more, for classes with copies)."""
     posted = read.where("bucket is not null").select("bucket", "h", "owner", "xs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, bucket, parts = Sums(), None, []
+        sums, bucket, entries = Sums(parts), None, []
         for batch in batches:
-            for number, *part in zip(*(c.to_pylist() for c in batch.columns)):
-                if number != bucket and parts:
-                    sums.add(*bucket_credits(parts))
-                    parts = []
+            for number, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != bucket and entries:
+                    sums.add(*bucket_credits(entries))
+                    entries = []
                     if len(sums.x) >= CREDIT_CLASSES:
                         yield sums.take()
                 bucket = number
-                parts.append(part)
-        if parts:
-            sums.add(*bucket_credits(parts))
+                entries.append(entry)
+        if entries:
+            sums.add(*bucket_credits(entries))
         yield sums.take()
 
-    dealt = posted.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    across = dealt.mapInArrow(count, "x bigint, credit bigint")
-
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(c, "<i8")), pa.array(np.frombuffer(a, "<u4").astype("int64"))], ["x", "credit"])
+            for n, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums = Sums(parts)
+                sums.add(np.frombuffer(xs, "<i8"), np.frombuffer(n, "<u4").astype("int64"))
+                yield sums.take()
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = Sums(1)
+        sums.add(np.frombuffer(b"".join(rows["xs"]), "<i8"), np.frombuffer(b"".join(rows["ns"]), "<u4").astype("int64"))
+        return pd.DataFrame({"x": sums.x, "credit": sums.n})
 
-    within = posted.where("bucket < 0").select("h", "xs").mapInArrow(local, "x bigint, credit bigint")
-    return across.unionByName(within).groupBy("x").agg(F.sum("credit").alias("credit"))
+    packed = "part int, xs binary, ns binary"
+    across = posted.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, packed)
+    within = posted.where("bucket < 0").select("h", "xs").mapInArrow(local, packed)
+    return across.unionByName(within).groupBy("part").applyInPandas(total, "x bigint, credit bigint")
 
 
 def _bits_of(keys: DataFrame, size: int) -> np.ndarray:
@@ -280,7 +291,7 @@ def _bits_of(keys: DataFrame, size: int) -> np.ndarray:
 
 
 def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """class, n, hashes of the classes in ``wanted`` (class, key of one of its rows), each once."""
+    """class, n, hashes, v (a number) of the classes in ``wanted`` (class, key of one of its rows), each once; stored."""
     spark = df.sparkSession
     size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (wanted.count() * BITS_A_CLASS).bit_length()))
     bits = spark.sparkContext.broadcast(_bits_of(wanted, size))
@@ -310,21 +321,27 @@ def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
     read = rows.mapInArrow(run, f"key {kind}, class binary, n int, hashes array<bigint>")
     right = wanted.select(F.col("class").alias("c"), F.col("key").alias("k"))
     found = read.join(right, (read["class"] == right["c"]) & read["key"].eqNullSafe(right["k"]), "left_semi")
-    return found.dropDuplicates(["class"]).select("class", "n", "hashes")
+    found = written(found.select("class", "n", "hashes", F.monotonically_increasing_id().alias("v")), "members", compression="none")
+    # only a repeated row with the same key gives a class twice; sets are moved for these alone
+    twice = found.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class")
+    if not twice.head(1):
+        return found
+    return found.join(twice, "class", "left_anti").unionByName(found.join(twice, "class", "left_semi").dropDuplicates(["class"]))
 
 
 def shared_prefixes(members: DataFrame) -> DataFrame:
-    """v, n, prefix: the early shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by.
+    """v, n, prefix: the shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by.
 
-    Linked sets have ``least_common`` of their early shingles in common, so all others need not be looked at.
+    A shingle is moved as one number: how many classes hold it, up to 2 ** 15 - 1, before the first 48 bits of its hash.
+    Numbers that several shingles share are found together, which verification sorts out.
     """
-    n = F.col("n")
-    first = F.slice("hashes", F.lit(1), n - needed(n) + F.greatest(F.lit(1), F.floor(n / EARLY_SHARE).cast("int")))
-    exploded = members.select("v", "n", F.explode(first).alias("h"))
+    exploded = members.select("v", "n", F.explode("hashes").alias("h"))
     held = written(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared_shingles")
-    ranked = exploded.join(held, "h").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    spare = F.size("own") - least_common(n) + 1  # shared shingles within the prefix; the unshared come before them
-    return ranked.where(spare > 0).select("v", "n", F.slice("own", F.lit(1), spare)["h"].alias("prefix"))
+    rarity = F.shiftleft(F.least(F.col("df"), F.lit((1 << 15) - 1)).cast("bigint"), 48)
+    code = rarity.bitwiseOR(F.shiftrightunsigned("h", 16))
+    ranked = exploded.join(held, "h").groupBy("v", "n").agg(F.sort_array(F.collect_list(code)).alias("own"))
+    spare = F.size("own") - needed(F.col("n")) + 1  # shared shingles within the prefix; the unshared come before them
+    return ranked.where(spare > 0).select("v", "n", F.slice("own", F.lit(1), spare).alias("prefix"))
 
 
 def buckets(prefixed: DataFrame) -> DataFrame:
@@ -493,10 +510,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     read = written(read_documents(df, key, text), "read")
     documents = read.where("bucket is null").select("key", "class", "x", "n")
     classes = written(documents.where("class is not null").groupBy("class", "x", "n").agg(F.min("key").alias("key")), "classes")
-    alive = credits(read).join(classes, "x").where(F.col("credit") >= least_common(F.col("n")))
+    parts = max(1, classes.count() // CREDITS_A_PART)
+    alive = credits(read, parts).join(classes, "x").where(F.col("credit") >= least_common(F.col("n")))
     wanted = written(alive.select("class", "key"), "wanted")
-    members = written(
-        whole_sets(df, key, text, wanted).withColumn("v", F.monotonically_increasing_id()), "members", compression="none")
+    members = whole_sets(df, key, text, wanted)
     rows = written(buckets(written(shared_prefixes(members), "shared_prefixes")), "bucket_rows")
     stars = rows.where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
     links = written(verified(stars, members), "star_links")
