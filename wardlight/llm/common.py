@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from wardlight.session import scratch_path
 
-CACHED_WORDS = 500_000  # words an encoder remembers in one Python worker, about 100 MB
+CACHED_WORDS = 600_000  # words an encoder remembers in one Python worker, about 120 MB
 LETTER, PUNCTUATION = 1, 2
 BYTE_KINDS = np.zeros(256, "u1")
 BYTE_KINDS[[*b"abcdefghijklmnopqrstuvwxyz"]] = LETTER
 BYTE_KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = PUNCTUATION
 
 
+BETWEEN = b"\xff"
+
+
 def spaced(data: bytes) -> bytes:
     """A space put between every ASCII letter and following ASCII punctuation other than an apostrophe."""
     raw = np.frombuffer(data, "u1")
@@ -70,19 +73,26 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        data = text.encode("utf-8", "replace")
-        if not any(o in data for o in self.openings):
-            data = spaced(data.lower())
-        parts, known = data.split(), self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            fresh = {p for p in parts if p not in known}
-            if len(known) + len(fresh) > self.limit:  # start over; the parts of the text at hand are learnt anew
-                known.clear()
-                fresh = set(parts)
-            self._learn(fresh)
-            return b"".join([known[p] for p in parts])
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of several texts; new words of all of them are learnt at once."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        special = [any(o in data for o in self.openings) for data in raw]
+        # the byte between texts occurs in none of them and is neither letter nor punctuation
+        plain = iter(spaced(BETWEEN.join([d for d, s in zip(raw, special) if not s]).lower()).split(BETWEEN))
+        docs = [data.split() if s else next(plain).split() for data, s in zip(raw, special)]
+        known = self.parts
+        found = [list(map(known.get, parts)) for parts in docs]
+        missing = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        fresh = {parts[i] for parts, own in zip(docs, missing) for i in own}
+        if len(known) + len(fresh) > self.limit:  # start over with the new words
+            known.clear()
+        self._learn(fresh)
+        for parts, own, at in zip(docs, found, missing):
+            for i in at:
+                own[i] = known[parts[i]]
+        return [b"".join(own) for own in found]
 
     def _learn(self, parts: set[bytes]) -> None:
         """Encode new parts: ASCII words by the merges alone, since neither normaliser nor splitter changes them; the

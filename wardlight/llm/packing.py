@@ -201,8 +201,8 @@ def token_pieces(
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 origin, piece, start, length, ids = [], [], [], [], []
-                for row, value in enumerate(batch.column(1)):
-                    data = encoder.ids(value.as_py()) + end
+                for row, own in enumerate(encoder.many(batch.column(1).to_pylist())):
+                    data = own + end
                     for i, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         origin.append(row)

@@ -194,7 +194,7 @@ def document_ids(
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                wide = [encoder.ids(v.as_py()) + end for v in batch.column(1)]
+                wide = [ids + end for ids in encoder.many(batch.column(1).to_pylist())]
                 ids = [np.frombuffer(w, "<u4").astype(kind).tobytes() for w in wide]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, "binary")], ["key", "ids"])
 
