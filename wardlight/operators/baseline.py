@@ -24,10 +24,10 @@ class Baseline:
 
     def fit(self, train: DataFrame) -> Baseline:
         self.labels = label_map(train)
-        encoded = label_encode(train)
-        weights = class_weights(encoded.select("label_id"), "label_id").select("label_id", "weight")
-        rows = train.count()
-        weighted = self.features.fit(train).transform(encoded).join(small_side(weights), "label_id")
+        known = self.features.fit_transform(label_encode(train))
+        weights = class_weights(known.select("label_id"), "label_id").select("label_id", "weight")
+        rows = known.count()
+        weighted = known.join(small_side(weights), "label_id").select("label_id", "weight", "features")
         # reg = 1 / (C * total weight); balanced weights sum to the number of rows
         self.model = LogisticRegression(
             featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=ITERATIONS,

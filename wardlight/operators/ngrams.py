@@ -82,19 +82,25 @@ def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign"
     return biased.orderBy(F.col("difference").desc(), "gram").limit(top)
 
 
+def vocabulary_of(df: DataFrame, size: int, longest: int, stop_words: StopWords = None) -> list[str]:
+    """The ``size`` most frequent grams in text order.  ``size`` bounds what comes to the driver."""
+    return sorted(row["gram"] for row in top_ngrams(ngram_counts(df, longest, stop_words), size).collect())
+
+
 def tfidf_long(df: DataFrame, size: int = BASELINE_VOCABULARY, longest: int = BASELINE_NGRAMS,
                stop_words: StopWords = None, key: str = "row_id") -> DataFrame:
     """key, gram, weight of the ``size`` most frequent grams: smoothed idf + 1, rows of unit length.
 
-    The texts are tokenised once into (row, gram, count); corpus frequency, document frequency and row length all come
-    from that table.  The vocabulary is bounded by its parameter.
+    The vocabulary comes first, from counts that combine in every map task; then only its grams leave their rows, and
+    document frequency and row length come from that table.
     """
-    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", key)
-    counted = stored(grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf")), "gram_counts")
+    known = vocabulary_of(df, size, longest, stop_words)
+    kept = with_ngrams(df, longest, stop_words).withColumn("_grams", F.filter("_grams", lambda g: g.isin(known)))
+    counted = stored(exploded(kept, "_grams", "gram", key).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf")), "gram_counts")
     every = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    corpus = counted.groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-    known = top_ngrams(corpus, size).select("gram", (F.log((1.0 + every) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighed = counted.join(F.broadcast(known), "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    frequency = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # at most ``size`` rows
+    idf = frequency.select("gram", (F.log((1.0 + every) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    weighed = counted.join(F.broadcast(idf), "gram").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "gram", (F.col("w") / length).alias("weight"))
 
@@ -110,21 +116,26 @@ class TfIdf:
         return with_ngrams(df, self.longest, self.stop_words)
 
     def fit(self, train: DataFrame) -> TfIdf:
-        # The vocabulary is a parameter-bounded list (1000 words by default), so it may come to the driver.
-        counts = ngram_counts(train, self.longest, self.stop_words)
-        self.vocabulary = sorted(row["gram"] for row in top_ngrams(counts, self.size).collect())
+        self.fit_transform(train)
+        return self
+
+    def fit_transform(self, train: DataFrame, text: str = "prompt") -> DataFrame:
+        """``train`` without its texts, with ``features``; counts are stored, so that all passes of a fit read these."""
+        self.vocabulary = vocabulary_of(train, self.size, self.longest, self.stop_words)
         self.counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="_tf")
-        counted = self.counter.transform(self._grams(train))
+        counted = stored(self.counter.transform(self._grams(train)).drop("_grams", text), "term_counts")
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf
         self.weights = ElementwiseProduct(
             scalingVec=Vectors.dense([value + 1.0 for value in idf]), inputCol="_tf", outputCol="_weighted"
         )
         self.normalizer = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
-        return self
+        return self._weighted(counted)
+
+    def _weighted(self, counted: DataFrame) -> DataFrame:
+        return self.normalizer.transform(self.weights.transform(counted)).drop("_tf", "_weighted")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        counted = self.counter.transform(self._grams(df))
-        return self.normalizer.transform(self.weights.transform(counted)).drop("_grams", "_tf", "_weighted")
+        return self._weighted(self.counter.transform(self._grams(df)).drop("_grams"))
 
     def long_weights(self, df: DataFrame, key: str = "row_id") -> DataFrame:
         """One row per prompt and gram with a weight."""

@@ -55,13 +55,21 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
 def split_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(train, test) of the deduplicated, relabelled set, stored once for all their readers."""
     split = stored(dataprep.stratified_split(stored(clean(spark, folder), "clean")), "split")
-    return tuple(split.where(F.col("split") == side).drop("split") for side in ("train", "test"))
+    parts = inputs.scan_parts(spark)
+    sides = [split.where(F.col("split") == side).drop("split") for side in ("train", "test")]
+    return tuple(side.repartition(parts, "row_id") if parts else side for side in sides)
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     return dataprep.dedup_prompts(dataprep.standardize_labels(inputs.labelled(spark, folder)))
 
 
+def spread_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean set stored once, for queries that read it several times, and spread where the user asks for it."""
+    rows, parts = stored(clean(spark, folder), "clean"), inputs.scan_parts(spark)
+    return rows.repartition(parts, "row_id") if parts else rows
+
+
 def raw_overlap_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents without a mark as train, documents with one as test; copies may lie on both sides."""
     docs = inputs.table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"))
@@ -801,17 +809,17 @@ def edit_matches(spark, folder):
 
 @query
 def ngram_counts(spark, folder):
-    return ngrams.ngram_counts(clean(spark, folder), ngrams.BASELINE_NGRAMS)
+    return ngrams.ngram_counts(spread_clean(spark, folder), ngrams.BASELINE_NGRAMS)
 
 
 @query
 def top_ngrams(spark, folder):
-    return ngrams.top_ngrams(ngrams.ngram_counts(clean(spark, folder)), ngrams.LEAK_VOCABULARY)
+    return ngrams.top_ngrams(ngrams.ngram_counts(spread_clean(spark, folder)), ngrams.LEAK_VOCABULARY)
 
 
 @query
 def ngram_bias(spark, folder):
-    return ngrams.ngram_bias(clean(spark, folder), stop_words=inputs.STOP_WORDS).select(
+    return ngrams.ngram_bias(spread_clean(spark, folder), stop_words=inputs.STOP_WORDS).select(
         "gram", F.round("mean_first", 9).alias("mean_first"), F.round("mean_second", 9).alias("mean_second"),
         F.round("difference", 9).alias("difference"),
     )
@@ -819,7 +827,7 @@ def ngram_bias(spark, folder):
 
 @query
 def tfidf_weights(spark, folder):
-    return ngrams.tfidf_long(stored(clean(spark, folder), "clean")).withColumn("weight", F.round("weight", 6))
+    return ngrams.tfidf_long(spread_clean(spark, folder)).withColumn("weight", F.round("weight", 6))
 
 
 # --- modelling ----------------------------------------------------------------------------------------------
