@@ -25,6 +25,35 @@ def search_runs(log: DataFrame, where: Column | None = None, latest: int | None
     return found.orderBy(F.col("ts").desc(), *(ties or ["prompt_id", "model_name"])).limit(latest)
 
 
+def as_runs(log: DataFrame) -> DataFrame:
+    """The run log as users search it: ``start_time``, and the fields of a run under params, metrics and tags."""
+    kinds = {n: kind for n, kind in log.dtypes if n not in ("prompt_id", "prompt", "ts")}
+    params = [n for n in kinds if n in ("model_name", "mode")]
+    metrics = [n for n, kind in kinds.items() if kind in ("double", "float", "int", "bigint")]
+    tags = [n for n, kind in kinds.items() if kind == "string" and n not in params]
+
+    def group(names: list[str]) -> Column:
+        return F.struct(*[F.col(n) for n in names])
+
+    return log.select(
+        "*", F.col("ts").alias("start_time"), group(params).alias("params"), group(metrics).alias("metrics"), group(tags).alias("tags"))
+
+
+def search_runs_text(log: DataFrame, text: str = "", order_by: list[str] | None = None, latest: int | None = None) -> DataFrame:
+    """Runs by the filter text and order that users write: ``params.model_name != 'x' AND metrics.score > 0.5``,
+    ``tags.model_type = "individual"``, ``start_time DESC``.
+
+    The text is a Spark SQL condition over ``as_runs``.  Its fields are columns of the log, so conditions reach the scan.
+    """
+    found = as_runs(log)
+    found = found.where(text) if text.strip() else found
+    if order_by:
+        keys = [(part.split()[0], part.split()[1:2]) for part in order_by]
+        found = found.orderBy(*[F.col(k).desc() if [d.upper() for d in how] == ["DESC"] else F.col(k).asc() for k, how in keys])
+    found = found if latest is None else found.limit(latest)
+    return found.drop("params", "metrics", "tags", "start_time")
+
+
 def filter_runs(log: DataFrame, **equals: str) -> DataFrame:
     """Equality filters on any log column (model type, outcome, decision type, model)."""
     for name, value in equals.items():

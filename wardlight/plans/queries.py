@@ -13,6 +13,7 @@ from wardlight.operators import (
 from wardlight.plans import inputs
 from wardlight.session import scratch_path, stored
 from wardlight.sources import tabular
+from wardlight.sources.committed import CommittedLog
 from wardlight.streaming import jobs, late
 
 REGISTRY = {}
@@ -428,6 +429,19 @@ def runlog_stored(spark, folder):
     )
 
 
+@query
+def runlog_committed(spark, folder):
+    """Run logs of three inputs, each appended twice, merged and read back."""
+    runs = stored(run_log(spark, folder), "runs")
+    log = CommittedLog(spark, scratch_path(spark, "committed"), runs.schema)
+    for part in (0, 1, 2, 0, 1, 2):
+        log.append(runs.where(F.col("prompt_id") % 3 == part), f"documents-{part}/run-1")
+    log.merge()
+    log.append(runs.where("prompt_id % 3 = 1"), "documents-1/run-1")
+    return log.read().groupBy(F.to_date("ts").alias("day"), "model_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("adversarial").alias("adversarial"))
+
+
 @query
 def metrics_stored(spark, folder):
     """Evaluation metrics of one run appended as (run, metric, value) rows and read back."""
@@ -494,6 +508,16 @@ def runlog_search(spark, folder):
     return found.select("prompt_id", "model_name", "score", "inference_time_ms", "adversarial")
 
 
+@query
+def runlog_filter_text(spark, folder):
+    """The newest runs by the filter and order that users write."""
+    found = reports.search_runs_text(
+        run_log(spark, folder),
+        f"""params.model_name != '{V.ENSEMBLE_MODEL}' AND metrics.inference_time_ms > 0 AND tags.detection_outcome = "adversarial" """,
+        ["start_time DESC", "prompt_id", "model_name"], 100)
+    return found.select("prompt_id", "model_name", "score", "inference_time_ms", "adversarial")
+
+
 @query
 def runlog_filter(spark, folder):
     found = reports.filter_runs(run_log(spark, folder), detection_outcome="adversarial", model_type="individual")

@@ -40,6 +40,11 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
     return path
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark's hashes take: all but maps and what holds them."""
+    return [c for c, kind in df.dtypes if "map<" not in kind]
+
+
 def append_log(df: DataFrame, path: str, file_format: str = "parquet", day_of: str | None = "ts",
                files_per_day: int = 8) -> str:
     """Append log rows, partitioned by day where a time column is named, so that trailing filters prune files.
@@ -49,7 +54,8 @@ def append_log(df: DataFrame, path: str, file_format: str = "parquet", day_of: s
     if day_of is None:
         df.write.mode("append").format(file_format).save(path)
         return path
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files_per_day))
+    # by the rows' own values: an input that is computed again, in another order, is dealt in the same way
+    part = F.pmod(F.xxhash64(*hashable(df)), F.lit(files_per_day))
     gathered = df.withColumn("day", F.to_date(day_of)).repartition("day", part)
     gathered.write.mode("append").format(file_format).partitionBy("day").save(path)
     return path
