@@ -47,10 +47,10 @@ def export_split(df: DataFrame, split: str = "test") -> DataFrame:
 
 
 def label_map(train: DataFrame, order: str = "row_id") -> DataFrame:
-    """label, label_id: ids by first appearance.  Labels are aggregated first, so the rank sees one row each."""
+    """label, label_id: ids by first appearance.  Labels are aggregated first, then numbered without one task for all."""
     first = train.groupBy("label").agg(F.min(order).alias("_first"))
-    by_first = Window.orderBy("_first")
-    return first.select("label", (F.row_number().over(by_first) - 1).cast("bigint").alias("label_id"))
+    placed = position(first, [F.col("_first"), F.col("label")], name="_at")
+    return placed.select("label", (F.col("_at") - 1).cast("bigint").alias("label_id"))
 
 
 def label_encode(df: DataFrame, train: DataFrame | None = None, order: str = "row_id") -> DataFrame:

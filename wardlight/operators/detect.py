@@ -28,12 +28,12 @@ def with_scores(
     rules: RuleSet | None = None,
     text: str = "prompt",
     failed: Column | None = None,
-    input_chars: int | None = MODEL_INPUT_CHARS,
+    input_chars: int | None = None,
     on_failure: str = "score",
 ) -> DataFrame:
     """The four scores, ``early_exit`` and ``error``; early exits and failed prompts have the keyword score only.
 
-    ``input_chars`` is how much of a text the models read (None: all of it).  A scorer that gives no output for a
+    ``input_chars`` is how much of a text the models read (None: all of it; ``MODEL_INPUT_CHARS`` is the first 512).  A scorer that gives no output for a
     prompt, as ``batch_scorer`` does where its model fails, scores 0 (``on_failure="score"``) or sends the prompt to the
     fallback (``"fallback"``).
     """
@@ -67,7 +67,7 @@ def score_prompts(
     parallel: bool = False,
     text: str = "prompt",
     failed: Column | None = None,
-    input_chars: int | None = MODEL_INPUT_CHARS,
+    input_chars: int | None = None,
     on_failure: str = "score",
 ) -> DataFrame:
     """Decide every prompt of a table or stream; one pass, no shuffle.

@@ -788,7 +788,7 @@ def oracle() -> dict[str, str]:
             CASE WHEN NOT f.early_exit AND NOT f.error THEN CASE WHEN f.layer = 'none' THEN 'safe' ELSE 'adversarial' END END
               AS final_decision FROM decisions d JOIN final f USING (prompt_id)"""
         for i, m in enumerate(V.SCORE_NAMES))
-    for name in ("mode_compare_scorers", "scorer_failure"):
+    for name in ("mode_compare_scorers", "scorer_failure", "detect_with_scorers"):
         sql[f"{name}_whole"] = sql[name].replace("substr(prompt, 1, 512)", "prompt")
     sql["model_run_summary"] = sql["model_run_summary_latest"].replace(f"{RECENT} LIMIT 100", "")
     sql["chat_log_stored"] = sql["chat_log_flat"]

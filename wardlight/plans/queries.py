@@ -253,14 +253,14 @@ def _modes_of_scorers(spark, folder, **options):
 
 @query
 def mode_compare_scorers(spark, folder):
-    """Modes under a caller's models and with failed rows."""
-    return _modes_of_scorers(spark, folder)
+    """Modes under a caller's models and with failed rows; models read the first 512 characters."""
+    return _modes_of_scorers(spark, folder, input_chars=detect.MODEL_INPUT_CHARS)
 
 
 @query
 def mode_compare_scorers_whole(spark, folder):
     """As ``mode_compare_scorers``, with models that read whole prompts."""
-    return _modes_of_scorers(spark, folder, input_chars=None)
+    return _modes_of_scorers(spark, folder)
 
 
 def _failing_model():
@@ -282,14 +282,14 @@ def _failed_scorers(spark, folder, **options):
 
 @query
 def scorer_failure(spark, folder):
-    """Prompts whose models fail go to the fallback, all others are decided as ever."""
-    return _failed_scorers(spark, folder)
+    """Prompts whose models fail go to the fallback, all others are decided as ever; models read 512 characters."""
+    return _failed_scorers(spark, folder, input_chars=detect.MODEL_INPUT_CHARS)
 
 
 @query
 def scorer_failure_whole(spark, folder):
     """As ``scorer_failure``, with models that read whole prompts."""
-    return _failed_scorers(spark, folder, input_chars=None)
+    return _failed_scorers(spark, folder)
 
 
 @query
@@ -879,11 +879,23 @@ def _length_model():
     return lambda texts: [("toxic" if len(t) % 2 else "other", 0.5 + (len(t) % 97) / 200.0) for t in texts]
 
 
-@query
-def detect_with_scorers(spark, folder):
+def _decided_by_scorers(spark, folder, **options):
     plain = inputs.prompts(spark, folder).select("prompt_id", "prompt")
     scorer = detect.batch_scorer(_length_model)
-    return detect.score_prompts(plain, scorers={name: scorer for name in detect.RAW_COLUMNS}).select(*DECISION_COLUMNS)
+    return detect.score_prompts(
+        plain, scorers={name: scorer for name in detect.RAW_COLUMNS}, **options).select(*DECISION_COLUMNS)
+
+
+@query
+def detect_with_scorers(spark, folder):
+    """Decisions under a caller's models, which read the first 512 characters."""
+    return _decided_by_scorers(spark, folder, input_chars=detect.MODEL_INPUT_CHARS)
+
+
+@query
+def detect_with_scorers_whole(spark, folder):
+    """As ``detect_with_scorers``, with models that read whole prompts."""
+    return _decided_by_scorers(spark, folder)
 
 
 @query
