@@ -114,7 +114,7 @@ def test_block_max_index_is_exact():
     vectors = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
     keys = rng.permutation(300)
-    index = toxicity.BlockMaxIndex(keys, vectors)
+    index = toxicity.BlockMaxIndex(keys, [(np.flatnonzero(v), v[v > 0]) for v in vectors])
     for _ in range(50):
         ids = np.sort(rng.choice(40, 5, replace=False))
         weights = rng.random(5)

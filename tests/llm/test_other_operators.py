@@ -1,7 +1,9 @@
 """Toxicity, search, tool calls, components, the registered queries and the pipeline."""
 
 import json
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -45,6 +47,68 @@ def test_toxicity_holds_out_and_finds_toxic_texts(spark):
     assert auc > 0.75  # some 25 toxic texts to learn from; see the README for larger tables
 
 
+def plain_toxicity(texts, picked, names, k):
+    """{key: (score, [example keys])} from all cosines: ``texts`` of all rows, ``picked`` (key, toxic, example, weight)."""
+    def counts(text):
+        words = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        distinct, total = Counter(), Counter()
+        for word, n in words.items():
+            for stem in {f"w {word}", *(f"{m} {word[:m]}" for m in (4, 5, 6, 7, 8) if len(word) > m)}:
+                distinct[stem] += 1
+                total[stem] += n
+        return {i: total[s] for i, (level, s) in enumerate(n.split(" ", 1) for n in names) if distinct[s] >= int(level)}
+
+    found = {key: counts(t) for key, t in texts}
+    df = Counter(i for c in found.values() for i in c)
+
+    def unit(c):
+        v = {i: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[i])) + 1) for i, n in c.items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {i: x / length for i, x in v.items()}
+
+    vectors = {key: unit(c) for key, c in found.items()}
+    examples = [r for r in picked if r.example and vectors[r.key]]
+
+    def vote(v):
+        near = sorted((-round(sum(x * vectors[e.key].get(i, 0.0) for i, x in v.items()), 12), e.key, e) for e in examples)
+        near = [n for n in near if n[0] < 0][:k]
+        power = sum(n[0] ** 2 * n[2].weight for n in near)
+        return (sum(n[0] ** 2 * n[2].weight * n[2].toxic for n in near) / power if near else None), [n[1] for n in near]
+
+    votes = {key: vote(v) for key, v in vectors.items()}
+    rows = [r for r in picked if not r.example and votes[r.key][0] is not None]
+    x = sorted({votes[r.key][0] for r in rows})
+    steps = [[v, sum(r.weight * r.toxic for r in rows if votes[r.key][0] == v), sum(r.weight for r in rows if votes[r.key][0] == v)] for v in x]
+    while any(a[1] / a[2] >= b[1] / b[2] for a, b in zip(steps, steps[1:])):
+        i = next(i for i, (a, b) in enumerate(zip(steps, steps[1:])) if a[1] / a[2] >= b[1] / b[2])
+        steps[i:i + 2] = [[steps[i][0], steps[i][1] + steps[i + 1][1], steps[i][2] + steps[i + 1][2]]]
+    base = sum(r.weight * r.toxic for r in picked) / sum(r.weight for r in picked)
+    bare = [r for r in picked if not vectors[r.key]]
+    unknown = (base + sum(r.weight * r.toxic for r in bare)) / (1 + sum(r.weight for r in bare))
+
+    def score(v):
+        if v is None:
+            return unknown
+        below = [s for s in steps if s[0] <= v] or steps[:1]
+        return 0.98 * below[-1][1] / below[-1][2] + 0.02 * v if steps else v
+
+    return {key: (score(v), near) for key, (v, near) in votes.items()}
+
+
+def test_toxicity_equals_all_cosines(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    picked = toxicity.sample(labels, "doc_id", "toxic", toxicity.PER_CLASS)
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    names = toxicity.select_features(texts.join(picked.where("example"), "key").select("text", "toxic"), toxicity.FEATURES)
+    want = plain_toxicity([tuple(r) for r in texts.collect()], picked.collect(), names, toxicity.NEIGHBOURS)
+    got = toxicity.toxicity(docs, labels, evidence=toxicity.NEIGHBOURS).collect()
+    assert len(names) > 5 and sum(bool(n) for _, n in want.values()) > 20
+    for r in got:
+        score, near = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9) and [e.key for e in r.nearest] == near
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 0), (52, 1), (52, 0), (None, 1), (7, None), (8, 5)], "doc_id bigint, toxic int")
     scored = toxicity.toxicity(odd, labels)
