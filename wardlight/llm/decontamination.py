@@ -130,16 +130,19 @@ def scanned(rows: DataFrame, texts: list[tuple[str | None, bytes]], size: int, o
     return rows.mapInArrow(run, f"key {kind}, {HIT}")
 
 
-def test_blocks(benchmark: DataFrame, item: str, texts: list[str], block_chars: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """(item, text) of all test texts, in blocks of about ``block_chars`` characters."""
+def item_texts(benchmark: DataFrame, item: str, texts: list[str], block_chars: int) -> tuple[DataFrame, int]:
+    """(item, text) of all test texts, each once, and into how many blocks of about ``block_chars`` characters they go."""
     one = F.explode(F.array(*[text_of(benchmark, t) for t in texts])).alias("text")
     rows = benchmark.select(benchmark[item].cast("string").alias("item"), one).where("text <> ''")
-    rows = written(rows.distinct(), "test_texts")
+    rows = written(rows.distinct(), "item_texts")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    for number in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
-        yield [(r["item"], r["text"].encode("utf-8", "replace")) for r in block.collect()]
+    return rows, max(1, -(-chars // block_chars))
+
+
+def block_of(rows: DataFrame, blocks: int, number: int) -> list[tuple[str | None, bytes]]:
+    """One block of ``item_texts``, for the driver to hand to all tasks."""
+    block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
+    return [(r["item"], r["text"].encode("utf-8", "replace")) for r in block.collect()]
 
 
 def merged(gathered: DataFrame) -> DataFrame:
@@ -176,14 +179,15 @@ def contamination(
     texts leaves all documents clean, an empty table of documents gives an empty result.  Other columns are not read.
     """
     rows = documents.select(documents[key].alias("key"), text_of(documents, text).cast("binary").alias("text"))
-    blocks = list(test_blocks(benchmark, item, list(texts), block_chars))
-    if len(blocks) == 1:
-        return with_counts(scanned(rows, blocks[0], size)).withColumnRenamed("key", key)
+    asked, blocks = item_texts(benchmark, item, list(texts), block_chars)
+    if blocks == 1:
+        return with_counts(scanned(rows, block_of(asked, 1, 0), size)).withColumnRenamed("key", key)
     numbered = written(rows.withColumn("no", F.monotonically_increasing_id()), "numbered")
     counted = written(scanned(numbered.select(F.col("no").alias("key"), "text"), [], size).select(
         F.col("key").alias("no"), "n_words"), "counted")
     hits = None
-    for block in blocks:
+    for number in range(blocks):
+        block = block_of(asked, blocks, number)
         part = written(scanned(numbered.select(F.col("no").alias("key"), "text"), block, size, only_hits=True), "hits")
         hits = part if hits is None else hits.unionByName(part)
     gathered = hits.groupBy("key").agg(
