@@ -794,6 +794,8 @@ def oracle() -> dict[str, str]:
     sql["chat_log_stored"] = sql["chat_log_flat"]
     sql["runlog_stored"] = f"""WITH {run_log()} SELECT ts::DATE AS day, model_name, count(*) AS n,
         count(*) FILTER (adversarial) AS adversarial FROM runs GROUP BY 1, 2"""
+    sql["chat_statistics_rollup"] = f"""SELECT total_chats, adversarial_detected, adversarial_rate, avg_latency FROM ({sql["chat_statistics"]})"""
+    sql["model_performance_rollup"] = sql["model_performance"].replace(AS_OF, AS_OF.replace("00:00:00", "07:30:00"))
     sql["runlog_committed"] = sql["runlog_stored"]
     sql["runlog_filter_text"] = sql["runlog_search"].replace("inference_time_ms > 0", "inference_time_ms > 0 AND detection_outcome = 'adversarial'")
     sql["metrics_stored"] = f"""WITH macro AS ({sql["macro_metrics"]}) """ + " UNION ALL ".join(

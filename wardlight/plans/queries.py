@@ -9,6 +9,7 @@ from wardlight import fixed_values as V
 from wardlight.functions import classifiers, legacy, rules, text, voting
 from wardlight.operators import (
     baseline, counters, dataprep, detect, edits, evaluation, fuzzy, logs, monitoring, ngrams, ordered, reports,
+    rollups,
 )
 from wardlight.plans import inputs
 from wardlight.session import scratch_path, stored
@@ -618,6 +619,38 @@ def chat_statistics(spark, folder):
     return monitoring.chat_statistics(inputs.chat_events(spark, folder), AS_OF)
 
 
+def chat_rollup() -> rollups.Rollup:
+    return rollups.Rollup(
+        counts={"flagged": F.col("detection_results.is_adversarial")}, measures={"latency": F.col("latency_seconds")},
+        distinct={"sessions": F.col("session_id")}, quantiles={"latency": F.col("latency_seconds")})
+
+
+def stored_states(spark, log: DataFrame, rollup: rollups.Rollup) -> DataFrame:
+    return spark.read.parquet(rollups.update(rollup.states(log), scratch_path(spark, "states")))
+
+
+@query
+def chat_statistics_rollup(spark, folder):
+    """``chat_statistics`` without its distinct count, from stored daily states."""
+    log, rollup = inputs.chat_events(spark, folder), chat_rollup()
+    found = rollup.trailing(stored_states(spark, log, rollup), log, AS_OF, 7)
+    return found.where("n > 0").select(
+        F.col("n").alias("total_chats"), F.col("flagged_count").alias("adversarial_detected"),
+        (F.col("flagged_count") / F.col("n")).alias("adversarial_rate"), F.round(rollups.mean("latency"), 6).alias("avg_latency"))
+
+
+@query
+def model_performance_rollup(spark, folder):
+    """``model_performance`` from stored daily states, over a window that begins within a day."""
+    log = performance_events(spark, folder)
+    rollup = rollups.Rollup(
+        by=["model_name"], measures={"time": F.col("inference_time_seconds"), "score": F.col("adversarial_score")})
+    found = rollup.trailing(stored_states(spark, log, rollup), log, AS_OF.replace("00:00:00", "07:30:00"), 7)
+    return found.select(
+        "model_name", F.col("n").alias("total_inferences"), F.round(rollups.mean("time"), 6).alias("avg_inference_time"),
+        F.round(rollups.mean("score"), 6).alias("avg_score"), F.col("score_max").alias("max_score"), F.col("score_min").alias("min_score"))
+
+
 @query
 def model_performance(spark, folder):
     return monitoring.model_performance(performance_events(spark, folder), AS_OF)
