@@ -164,6 +164,43 @@ def chat_log(moderated: DataFrame, latency: Column, session: Column) -> DataFram
     )
 
 
+def found(doc: str, kind: str, *paths: str) -> Column:
+    """The value at the first of ``paths`` that a VARIANT column has as ``kind``; null where none has."""
+    return F.coalesce(*[F.try_variant_get(doc, f"$.{path}", kind) for path in paths])
+
+
+def flatten_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """``flatten_chat`` of VARIANT documents, newer and older ones mixed.
+
+    Older ones have the prompt under ``user_message`` and the detection fields at the top.  Keys that are missing or of
+    another type give null; other keys do no harm.
+    """
+    detection = {"is_adversarial": "boolean", "reason": "string", "threshold": "double"}
+    at = {n: found(doc, kind, f"detection_results.{n}", n) for n, kind in detection.items()}
+    scores = found(doc, "array<double>", "detection_results.scores", "scores")
+    return docs.select(
+        found(doc, "bigint", "prompt_id").alias("prompt_id"), found(doc, "timestamp", "timestamp").alias("timestamp"),
+        found(doc, "string", "session_id").alias("session_id"), found(doc, "string", "prompt", "user_message").alias("prompt"),
+        found(doc, "string", "bot_response").alias("bot_response"), at["is_adversarial"].alias("is_adversarial"),
+        F.posexplode_outer(scores).alias("score_index", "score"), at["reason"].alias("reason"), at["threshold"].alias("threshold"),
+        found(doc, "double", "latency_seconds").alias("latency_seconds"), found(doc, "int", "metadata.model_count").alias("model_count"),
+        found(doc, "string", "metadata.user_agent").alias("user_agent"), found(doc, "string", "metadata.timezone").alias("timezone"))
+
+
+FLAGS = ["high_confidence_trigger", "weak_signals_trigger", "majority_consensus", "weighted_ensemble", "early_exit", "error", "fallback"]
+
+
+def details_rows(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """prompt_id and one row per model name and score of a VARIANT details document, with its flags."""
+    kept = df.select(
+        "prompt_id", F.posexplode(F.arrays_zip(
+            found(doc, "array<string>", "model_names").alias("model_name"), found(doc, "array<double>", "scores").alias("score"))).alias("model_index", "p"),
+        found(doc, "string", "timestamp").alias("timestamp"),
+        *[found(doc, "boolean", f"voting_details.{f}", f).alias(f) for f in FLAGS],
+        found(doc, "string", "voting_details.final_decision", "final_decision").alias("final_decision"))
+    return kept.select("prompt_id", "model_index", "p.model_name", "p.score", "timestamp", *FLAGS, "final_decision")
+
+
 def flatten_chat(log: DataFrame) -> DataFrame:
     """Flat view of chat documents; accepts the older ``user_message`` key for the prompt."""
     text = [F.col(c) for c in ("prompt", "user_message") if c in log.columns]

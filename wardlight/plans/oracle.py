@@ -791,7 +791,8 @@ def oracle() -> dict[str, str]:
     for name in ("mode_compare_scorers", "scorer_failure", "detect_with_scorers"):
         sql[f"{name}_whole"] = sql[name].replace("substr(prompt, 1, 512)", "prompt")
     sql["model_run_summary"] = sql["model_run_summary_latest"].replace(f"{RECENT} LIMIT 100", "")
-    sql["chat_log_stored"] = sql["chat_log_flat"]
+    sql["chat_log_stored"] = sql["chat_log_variant"] = sql["chat_log_flat"]
+    sql["details_variant"] = sql["details_json_fields"]
     sql["runlog_stored"] = f"""WITH {run_log()} SELECT ts::DATE AS day, model_name, count(*) AS n,
         count(*) FILTER (adversarial) AS adversarial FROM runs GROUP BY 1, 2"""
     sql["chat_statistics_rollup"] = f"""SELECT total_chats, adversarial_detected, adversarial_rate, avg_latency FROM ({sql["chat_statistics"]})"""

@@ -420,6 +420,31 @@ def chat_log_stored(spark, folder):
     return flat.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+@query
+def chat_log_variant(spark, folder):
+    """Chat documents of two shapes in one folder, read as VARIANT."""
+    log, path = _chat_log(spark, folder), scratch_path(spark, "chat-documents")
+    older = F.col("prompt_id") % 2 == 0
+    log.where(~older).withColumn("model_version", F.lit("2")).write.json(f"{path}/newer")
+    flat = log.where(older).select(
+        "prompt_id", "timestamp", "session_id", F.col("prompt").alias("user_message"), "bot_response", "detection_results.*",
+        "latency_seconds", "metadata")
+    flat.write.json(f"{path}/older")
+    found = logs.flatten_documents(tabular.read_documents(spark, f"{path}/*"))
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def details_variant(spark, folder):
+    """The details document of every decision as VARIANT, every other one with its flags at the top."""
+    made = scored(spark, folder)
+    flat = F.to_json(F.struct(
+        F.array(*[F.col(f"{m}_score") for m in V.SCORE_NAMES]).alias("scores"),
+        F.array(*[F.lit(m) for m in V.SCORE_NAMES]).alias("model_names"), logs.stamp(F.col("ts")).alias("timestamp"), "voting_details.*"))
+    text_ = F.when(F.col("prompt_id") % 2 == 0, flat).otherwise(logs.details_json())
+    return logs.details_rows(made.select("prompt_id", F.parse_json(text_).alias("doc")))
+
+
 @query
 def runlog_stored(spark, folder):
     """Run log appended as files per day; the day filter prunes folders."""

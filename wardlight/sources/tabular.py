@@ -73,6 +73,16 @@ def read_chat_log(spark: SparkSession, path: str, schema: StructType | str, file
     return docs
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """JSON documents of any keys, one VARIANT column ``doc``; nothing is lost where keys come and go."""
+    return spark.read.format("json").option("singleVariantColumn", "doc").load(path)
+
+
+def document_schema(docs: DataFrame) -> DataFrame:
+    """schema: the merged schema of all documents, one row."""
+    return docs.agg(F.schema_of_variant_agg("doc").alias("schema"))
+
+
 def write_threshold(best: DataFrame, path: str) -> str:
     """The calibrated threshold as a one-line text file."""
     best.select(F.col("threshold").cast("string")).coalesce(1).write.mode("overwrite").text(path)
