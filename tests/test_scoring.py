@@ -130,7 +130,7 @@ def test_safety(spark, label, score, text, expected):
 
 
 def test_scorers_never_see_early_exits(spark):
-    """A Python scorer gets NULL for early exits and the first 512 characters of the others."""
+    """A Python scorer gets NULL for early exits and, where the caller says so, the first 512 characters of the others."""
     import pandas as pd
 
     @F.pandas_udf("label string, score double")
@@ -140,12 +140,12 @@ def test_scorers_never_see_early_exits(spark):
 
     df = spark.createDataFrame([(1, "a bomb"), (2, "rain " * 400), (3, "sun")], "prompt_id bigint, prompt string")
     scorers = {name: scorer for name in ("toxic", "hate", "safety")}
-    rows = detect.score_prompts(df, scorers=scorers).orderBy("prompt_id").collect()
+    rows = detect.score_prompts(df, scorers=scorers, input_chars=detect.MODEL_INPUT_CHARS).orderBy("prompt_id").collect()
     assert [r["early_exit"] for r in rows] == [True, False, False]
     assert rows[0]["toxic_score"] == 0.0 and rows[1]["toxic_score"] == pytest.approx(1 - 0.512)
 
 
-@pytest.mark.parametrize("name", ["mode_compare_scorers_whole", "scorer_failure_whole"])
+@pytest.mark.parametrize("name", ["mode_compare_scorers_whole", "scorer_failure_whole", "detect_with_scorers_whole"])
 def test_models_read_whole_prompts(spark, small, name, monkeypatch):
     from wardlight.plans import queries
 
