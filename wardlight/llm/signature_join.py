@@ -40,7 +40,7 @@ EARLY_SHARE = 5  # a fifth of a set more than the least prefix is compared early
 WINDOW_SHINGLES = 2_000_000  # early shingles that a Python worker combines before it sends them on
 WINDOW_CLASSES = 30_000
 BUCKET_ROWS = 12_000  # documents to a bucket of early shingles: some 2 million entries, of which several are of one class
-REMEMBERED = 400_000  # word hashes that one Python worker keeps
+REMEMBERED = 200_000  # word hashes that one Python worker keeps
 FAN_OUT = 4
 CREDIT_CLASSES = 1_000_000  # classes whose credits one task adds up before it sends them on
 CREDITS_A_PART = 20_000  # classes whose credits meet in one group

@@ -2,9 +2,9 @@
 
 The classifier is fitted on a bounded sample of labelled rows: PER_CLASS rows of either label are examples and as many
 calibrate.  Its features are the words and word beginnings that point to toxic texts most in the sample.  Document
-frequencies are counted over all documents.  The examples lie in a block-max inverted index: the postings of a feature are
-cut into blocks of neighbouring examples with the largest weight in each, the sum of its products with a query bounds all
-cosines within a block, and blocks are visited by falling bound until none can hold a nearer example.  The nearest examples vote with
+frequencies are counted over all documents.  The examples lie in a block-max inverted index: the lists of the few features
+are rows of a matrix, cut into blocks of neighbouring examples with the largest weight in each; the sum of its products with
+a query bounds all cosines within a block, and blocks are visited by falling bound until none can hold a nearer example.  The nearest examples vote with
 the square of their cosine, and the vote is mapped to a probability by the calibration rows.
 """
 
@@ -32,7 +32,7 @@ THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3)
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def held_out(key: Column) -> Column:
@@ -141,44 +141,26 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors (ids ascending, weights): a list for each feature, cut into blocks of neighbouring
-    examples, with the largest weight in each block."""
-
-    def __init__(self, keys: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        strongest = np.array([ids[weights.argmax()] if len(ids) else -1 for ids, weights in vectors], int)
-        self.order = np.lexsort((keys, strongest)) if len(keys) else np.zeros(0, int)
-        self.keys, self.n_blocks = keys[self.order], -(-len(keys) // BLOCK)
-        held: dict[int, tuple[list, list]] = {}
-        for place, i in enumerate(self.order.tolist()):
-            for feature, weight in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                places, weights = held.setdefault(feature, ([], []))
-                places.append(place)
-                weights.append(weight)
-        self.lists = {f: self._blocks(np.array(p), np.array(w)) for f, (p, w) in held.items()}
-
-    def _blocks(self, places: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-        """places, weights, numbers of the blocks that hold any, where each begins and ends, largest weight in each."""
-        numbers, begins = np.unique(places // BLOCK, return_index=True)
-        return places, weights, numbers, np.append(begins, len(places)), np.maximum.reduceat(weights, begins)
+    """Unit vectors in blocks of neighbours, with the largest weight of every feature in each block."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((keys, vectors.argmax(axis=1))) if len(keys) else np.zeros(0, int)
+        self.keys, self.columns = keys[order], np.ascontiguousarray(vectors[order].T)
+        self.starts = range(0, len(keys), BLOCK)
+        self.order = order
+        self.most = np.array([self.columns[:, s : s + BLOCK].max(axis=1) for s in self.starts]).reshape(len(self.starts), vectors.shape[1])
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with a cosine above 0; ties go to the smaller key."""
-        asked = [(w, *self.lists[f]) for f, w in zip(ids.tolist(), weights.tolist()) if f in self.lists]
-        bounds = np.zeros(self.n_blocks)
-        for w, _, _, numbers, _, most in asked:
-            bounds[numbers] += w * most
+        bounds = self.most[:, ids] @ weights
         places, found = np.zeros(0, int), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
+        for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] <= 0 or (len(found) == k and bounds[block] < found[-1] - 1e-9):
                 break
-            cosine = np.zeros(BLOCK)
-            for w, at, own, numbers, edges, _ in asked:
-                i = int(np.searchsorted(numbers, block))
-                if i < len(numbers) and numbers[i] == block:
-                    cosine[at[edges[i] : edges[i + 1]] - block * BLOCK] += w * own[edges[i] : edges[i + 1]]
-            cosine = np.round(cosine, 12)
+            start = self.starts[block]
+            cosine = np.round(weights @ self.columns[ids, start : start + BLOCK], 12)
             hit = np.flatnonzero(cosine > 0)
-            places, found = np.concatenate([places, hit + block * BLOCK]), np.concatenate([found, cosine[hit]])
+            places, found = np.concatenate([places, hit + start]), np.concatenate([found, cosine[hit]])
             best = np.lexsort((self.keys[places], -found))[:k]
             places, found = places[best], found[best]
         return places, found
@@ -206,7 +188,10 @@ class Model:
         rows = sorted(rows, key=lambda r: r["key"])
         weighed = [self.vector(r["ids"], r["counts"]) for r in rows]
         known = [i for i, r in enumerate(rows) if r["example"] and len(weighed[i][0])]
-        self.index = BlockMaxIndex(np.array([rows[i]["key"] for i in known], "int64"), [weighed[i] for i in known])
+        dense = np.zeros((len(known), len(idf)))
+        for row, i in enumerate(known):
+            dense[row, weighed[i][0]] = weighed[i][1]
+        self.index = BlockMaxIndex(np.array([rows[i]["key"] for i in known], "int64"), dense)
         self.toxic = np.array([rows[i]["toxic"] for i in known], float)[self.index.order]
         self.stands = np.array([rows[i]["weight"] for i in known], float)[self.index.order]
         total = sum(r["weight"] for r in rows)
