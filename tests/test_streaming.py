@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import detect, logs, monitoring
 from wardlight.plans import inputs
+from wardlight.plans.queries import REGISTRY
 from wardlight.session import scratch_path
 from wardlight.streaming import jobs
 
@@ -77,3 +78,22 @@ def test_a_failing_log_stops_nothing_and_a_retry_does_not_score_again(spark, sma
     jobs.log_batches(detect.score_prompts(inputs.prompts_from(source)), builders, path, scratch_path(spark, "state"))
     assert sorted(spark.read.parquet(f"{path}/scored").inputFiles()) == before
     assert spark.read.parquet(f"{path}/decisions").count() == docs.count()
+
+
+def test_table_stream_reads_files_and_folders(spark, small):
+    folder = scratch_path(spark, "tables")
+    turns = inputs.table(spark, small, "conversations")
+    turns.repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    spark.range(5).write.parquet(f"{folder}/conversations.parquet.old")
+    for source in (small, folder):
+        path = scratch_path(spark, "out")
+        jobs.write_batches(jobs.table_stream(spark, source, "conversations"), path, scratch_path(spark, "state"))
+        assert as_set(spark.read.parquet(path).select(*turns.columns)) == as_set(turns)
+
+
+def test_stream_queries_over_tables_of_several_files(spark, small):
+    folder = scratch_path(spark, "tables")
+    for name in ("conversations", "documents", "events"):
+        inputs.table(spark, small, name).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    for name in ("stream_context", "stream_dedup", "stream_detect", "stream_logs", "stream_rates", "stream_histogram"):
+        assert as_set(REGISTRY[name](spark, folder)) == as_set(REGISTRY[name](spark, small)), name

@@ -18,9 +18,13 @@ FAILURE_CHARS = 2_000
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, parts: int | None = None) -> DataFrame:
-    """Stream over the files of one table in a folder; ``parts`` spreads the rows of every batch for heavy work."""
+    """Stream over one table of a folder, a file or a folder of files; ``parts`` spreads the rows of every batch for
+    heavy work.
+
+    The pattern matches the table's own name only: a file stream refuses a plain path that is a single file.
+    """
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    stream = spark.readStream.schema(table.schema).parquet(f"{folder}/{name}.parque[t]")
     return stream.repartition(parts) if parts else stream
 
 
