@@ -142,6 +142,18 @@ def test_best_match_is_the_most_similar_train_row(spark):
         None: (56, None, 55 / 57)}
 
 
+def test_sets_without_a_similar_one_are_not_moved(spark):
+    def text(i):
+        return " ".join(["one licence line that every prompt ends with"] + [f"w{i}x{j}" for j in range(80)])
+
+    test, train = [(i, text(i)) for i in range(40)], [(i, text(100 + i)) for i in range(60)]
+    test.append((99, text(100).replace("w100x79", "other")))
+    frames = [spark.createDataFrame(rows, "row_id bigint, prompt string") for rows in (test, train)]
+    sets = fuzzy._sides(*frames, "row_id", "prompt")[-1]
+    assert sets.count() == 2
+    assert {r.row_id for r in fuzzy.near_overlap(*frames).where("leaked").collect()} == {99}
+
+
 def test_stop_words_by_list_and_by_language(spark):
     from wardlight.operators.ngrams import ngram_counts
 
