@@ -154,6 +154,15 @@ def test_sets_without_a_similar_one_are_not_moved(spark):
     assert {r.row_id for r in fuzzy.near_overlap(*frames).where("leaked").collect()} == {99}
 
 
+def test_sides_are_joined_once(spark, small):
+    from wardlight.plans import queries
+
+    plain, kept = queries.raw_overlap_sides(spark, small), queries.stored_overlap_sides(spark, small)
+    for a, b in zip(plain, kept):
+        assert a.columns == b.columns and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+        assert "Join" not in b._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stop_words_by_list_and_by_language(spark):
     from wardlight.operators.ngrams import ngram_counts
 

@@ -79,6 +79,15 @@ def raw_overlap_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return docs.join(marks, "row_id", "left_anti"), docs.join(marks, "row_id", "left_semi")
 
 
+def stored_overlap_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``raw_overlap_sides`` from one join, stored, for queries that read the texts several times: a join beyond the
+    size of a broadcast moves all texts, and would do so for either side and every reading."""
+    docs = inputs.table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"))
+    marks = inputs.table(spark, folder, "labels").select(F.col("doc_id").alias("row_id")).distinct()
+    rows = stored(docs.join(marks.withColumn("marked", F.lit(True)), "row_id", "left"), "sides", "zstd")
+    return rows.where("marked is null").drop("marked"), rows.where("marked").drop("marked")
+
+
 # --- rule scoring -------------------------------------------------------------------------------------------
 
 @query
@@ -864,28 +873,28 @@ def step_profile(spark, folder):
 
 @query
 def near_overlap(spark, folder):
-    train, test = raw_overlap_sides(spark, folder)
+    train, test = stored_overlap_sides(spark, folder)
     return fuzzy.near_overlap(test, train)
 
 
 @query
 def near_overlap_best(spark, folder):
     """The most similar train prompt of every test prompt."""
-    train, test = raw_overlap_sides(spark, folder)
+    train, test = stored_overlap_sides(spark, folder)
     return fuzzy.best_matches(test, train)
 
 
 @query
 def edit_overlap(spark, folder):
     """Test prompts within six edits, and a tenth of the text, of a train prompt; bytes, as the SQL form counts them."""
-    train, test = raw_overlap_sides(spark, folder)
+    train, test = stored_overlap_sides(spark, folder)
     return edits.edit_overlap(test, train, unit="byte")
 
 
 @query
 def edit_matches(spark, folder):
     """The nearest train prompt of every test prompt."""
-    train, test = raw_overlap_sides(spark, folder)
+    train, test = stored_overlap_sides(spark, folder)
     return edits.edit_matches(test, train, unit="byte")
 
 
