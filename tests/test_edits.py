@@ -90,3 +90,19 @@ def test_length_classes(spark):
     low = {r.id: r.low for r in spark.range(1, 5000).select("id", edits.length_class(F.col("id").cast("int")).alias("low")).collect()}
     assert all(low[n] == n for n in range(1, 64)) and low[64] == 64 and low[71] == 64 and low[72] == 72 and low[127] == 120 and low[129] == 128
     assert all(low[n] <= n < low[n] + low[n] // 8 + 1 and low[n] >= low[max(1, n - 1)] for n in low)
+
+
+def test_asked_places_hold_every_moved_segment(spark):
+    """Of characters and of bytes; a text asks for its own segments, and a moved copy for enough of them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdé€") for _ in range(n)) for n in (1, 13, 14, 63, 64, 71, 72, 500)]
+    rows = spark.createDataFrame([(t, "xy" + t[:-1]) for t in texts], "text string, moved string")
+    for unit in ("character", "byte"):
+        cut = [F.encode(c, "ISO-8859-1") if unit == "byte" else c for c in (edits.as_units(F.col(n), unit) for n in rows.columns)]
+        n = [F.length(edits.as_units(F.col(c), unit)) for c in rows.columns]
+        own, asked, moved = (f(*a, 6, 0.1) for f, a in (
+            (edits.own_segments, (cut[0], n[0])), (edits.asked_segments, (cut[0], n[0])), (edits.asked_segments, (cut[1], n[1]))))
+        found = rows.select(F.size(F.array_except(own, asked)).alias("lost"), F.size(F.array_distinct(own)).alias("all"), F.size(
+            F.array_intersect(own, moved)).alias("kept"), n[0].alias("n")).collect()
+        assert all(r.lost == 0 for r in found)
+        assert all(2 * r.kept >= r["all"] for r in found if r.n >= 40)

@@ -11,6 +11,7 @@ Segments lie on a grid that depends on the length class of a text alone, so a te
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,34 +41,48 @@ def _grid(low: Column, edits: int, share: float) -> tuple[Column, Column]:
     return most, F.least(2 * most + 2, F.greatest(low, most + 1))
 
 
-def _segment(text: Column, low: Column, count: Column, i: Column, shift: Column | None = None) -> Column:
-    """Hash of segment ``i`` of the grid of ``low``, read ``shift`` places further right."""
-    size = F.floor(low / count).cast("int")
-    start = i * size + 1 if shift is None else i * size + 1 + shift
-    return F.xxhash64(low, i, F.substring(text, start, size))
+def _segment(text: Column, low: Column, i: Column, start: Column, size: Column) -> Column:
+    """Hash of segment ``i`` of the grid of ``low``, read from place ``start`` (from 0) of ``text``."""
+    return F.xxhash64(low, i, F.substring(text, start + 1, size))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """The array ``use`` makes of ``value``, which is computed once: lambdas compute what they name anew every time."""
+    return F.flatten(F.transform(F.array(value), use))
 
 
 def own_segments(text: Column, n: Column, edits: int, share: float) -> Column:
     """Hashes of all segments of a text."""
     low = length_class(n)
     _, count = _grid(low, edits, share)
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _segment(text, low, count, i))
+    size = F.floor(low / count).cast("int")
+    return _bound(text, lambda t: F.transform(F.sequence(F.lit(0), count - 1), lambda i: _segment(t, low, i, i * size, size)))
 
 
 def asked_segments(text: Column, n: Column, edits: int, share: float) -> Column:
-    """Hashes of everything that may be a segment of a partner: all classes, segments and places in reach."""
+    """Hashes of everything that may be a segment of a partner: all classes, segments and places in reach.
+
+    All places of a segment are read from one stretch of the text, as Spark walks a string from its start to cut it.
+    """
     reach = allowed(n + edits, edits, share)
     lengths = F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)
     classes = F.array_distinct(F.transform(lengths, length_class))
 
-    def of_class(low: Column) -> Column:
+    def of_class(text: Column, low: Column) -> Column:
         most, count = _grid(low, edits, share)
         size = F.floor(low / count).cast("int")
-        places = F.sequence(-F.least(most, reach), F.least(most, reach))
-        return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.transform(
-            F.filter(places, lambda s: (i * size + s >= 0) & ((i + 1) * size + s <= n)), lambda s: _segment(text, low, count, i, s))))
+        far = F.least(most, reach)
+
+        def of_segment(i: Column) -> Column:
+            first, last = F.greatest(i * size - far, F.lit(0)), F.least(i * size + far, n - size)
+            stretch = F.struct(F.substring(text, first + 1, last - first + size).alias("text"), first.alias("first"), size.alias("size"))
+            return _bound(stretch, lambda cut: F.when(first <= last, F.transform(
+                F.sequence(first, F.greatest(first, last)), lambda at: _segment(cut["text"], low, i, at - cut["first"], cut["size"]))
+            ).otherwise(F.array().cast("array<bigint>")))
 
-    return F.array_distinct(F.flatten(F.transform(classes, of_class)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), of_segment))
+
+    return F.array_distinct(_bound(text, lambda t: F.flatten(F.transform(classes, lambda low: of_class(t, low)))))
 
 
 def as_units(text: Column, unit: str) -> Column:
@@ -79,7 +94,7 @@ class Sides:
     """Both sets stored once; equal texts stand for each other."""
 
     def __init__(self, test: DataFrame, train: DataFrame, key: str, text: str, edits: int, share: float, unit: str):
-        self.edits, self.share = edits, share
+        self.edits, self.share, self.unit = edits, share, unit
         both = [df.select(df[key].alias("key"), as_units(df[text].cast("string"), unit).alias("text"), F.lit(side).alias("side"))
                 for side, df in enumerate((test, train))]
         self.rows = stored(both[0].unionByName(both[1]).withColumn("n", F.coalesce(F.length("text"), F.lit(0))).withColumn(
@@ -93,15 +108,19 @@ class Sides:
         one = self.classes.where("a is not null and b is null" if side == "a" else "b is not null").select(F.col(side).alias("no"))
         return self.rows.select("no", "text", "n").join(one, "no", "left_semi")
 
+    def units(self) -> Column:
+        """The text for cutting: bytes, whose places need no walk, or characters."""
+        return F.encode("text", "ISO-8859-1") if self.unit == "byte" else F.col("text")
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(no, h) of what each test text asks for, and of the rarest segments of each train text; only h of both."""
-        own = stored(self.representatives("b").select("no", "n", own_segments(F.col("text"), F.col("n"), self.edits, self.share).alias("own")), "segments")
+        own = stored(self.representatives("b").select("no", "n", own_segments(self.units(), F.col("n"), self.edits, self.share).alias("own")), "segments")
         held = own.select("no", F.explode("own").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         most, _ = _grid(length_class(F.col("n")), self.edits, self.share)
         ranked = own.select("no", most.alias("most"), F.explode("own").alias("h")).join(stored(held, "frequent"), "h", "left").groupBy("no", "most").agg(
             F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("own"))
         right = ranked.select("no", F.explode(F.slice("own", F.lit(1), F.col("most") + 1)["h"]).alias("h"))
-        left = self.representatives("a").select("no", F.explode(asked_segments(F.col("text"), F.col("n"), self.edits, self.share)).alias("h"))
+        left = self.representatives("a").select("no", F.explode(asked_segments(self.units(), F.col("n"), self.edits, self.share)).alias("h"))
         wanted = stored(right.select(F.col("no").alias("b"), "h"), "indexed")
         met = stored(left.join(wanted.select("h").distinct(), "h", "left_semi").select(F.col("no").alias("a"), "h"), "asked")
         return met, wanted
