@@ -158,6 +158,56 @@ def test_signature_join_of_chains_and_shared_passages(spark):
     assert got == brute.op10(rows)
 
 
+def test_prefixes_are_found_without_moving_sets(spark, monkeypatch):
+    """Against a plain version, with several windows; no shingle of a set is a row of its own."""
+    from wardlight.operators import shingle_sets
+
+    monkeypatch.setattr(shingle_sets, "PREFIX_SHINGLES", 300)
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(-2**63, 2**63 - 1, 20))]
+    for _ in range(1200):
+        kept = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.append(kept[: rng.integers(1, 20)], rng.integers(-2**63, 2**63 - 1, rng.integers(0, 9)))))
+    rows = [(v, len(s), s.tolist()) for v, s in enumerate(sets)]
+    found = shingle_sets.shared_prefixes(spark.createDataFrame(rows, "v bigint, n int, hashes array<bigint>").repartition(3))
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+    def code(h):  # 64 buckets
+        h &= 2**64 - 1
+        return (h >> 58) << 32 | h & 0xFFFFFFFF
+
+    held = {}
+    for _, _, own in rows:
+        for h in own:
+            held[code(h)] = held.get(code(h), 0) + 1
+    want = {}
+    for v, n, own in rows:
+        shared = sorted(held[code(h)] << 48 | code(h) for h in own if held[code(h)] > 1)
+        spare = len(shared) - -(-75 * n // 100) + 1
+        if spare > 0:
+            want[v] = (n, shared[:spare])
+    assert by_key(found, "n", "prefix", key="v") == want
+
+
+def test_whole_sets_are_the_wanted_ones(spark, monkeypatch):
+    """Each wanted class once and under its own key, also where the bitmaps take many other rows for wanted."""
+    from wardlight.operators import shingle_sets
+
+    monkeypatch.setattr(shingle_sets, "FILTER_BITS", (1 << 15, 1 << 15))
+    rows = [(i, f"t{i % 9000} a b c d e") for i in range(27_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    read = shingle_sets.read_documents(docs, "doc_id", "text").where("bucket is null").select("key", "class")
+    wanted = read.where("key % 2 = 0 and key < 18000 or key = 18001").localCheckpoint()
+    got = shingle_sets.whole_sets(docs, "doc_id", "text", wanted)
+    keys = sorted(r["key"] for r in got.collect())
+    assert len(keys) == len(set(keys)) and got.select("v").distinct().count() == len(keys)
+    by_class = {}
+    for r in wanted.collect():
+        by_class.setdefault(bytes(r["class"]), []).append(r["key"])
+    assert {bytes(r["class"]) for r in got.collect()} == set(by_class) and got.count() == len(by_class)
+    assert all(r["key"] in by_class[bytes(r["class"])] for r in got.collect())
+
+
 def test_tree_links_are_complete():
     """Dual traversal against all pairs, within one tree and between two, without any pruning by components at first."""
     rng = np.random.default_rng(2)

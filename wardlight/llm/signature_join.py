@@ -5,7 +5,7 @@
    ``operators.shingle_sets``), so a class is dropped unless so many of its early shingles occur early in other classes.  Only the early
    ones are moved, as 32-bit remainders within buckets; classes that stay are read again in full.
 3. Shingles are ordered by the number of classes that hold them.  A class with fewer shared ones than a link needs
-   is dropped; the rest enter a bucket for each shared shingle in their prefix of this order.  Buckets with the same
+   is dropped; the rest (``shared_prefixes``) enter a bucket for each shared shingle in their prefix of this order.  Buckets with the same
    members are one bucket.
 4. Every member of a bucket is held against the bucket's least member, which joins large groups of near copies in time
    linear in their size.  Buckets within one component need no more.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.common import written
 from wardlight.llm.components import components
-from wardlight.operators.shingle_sets import CREDITS_A_PART, PERCENT, credits, least_common, needed, read_documents, whole_sets
+from wardlight.operators.shingle_sets import (
+    CREDITS_A_PART, PERCENT, credits, least_common, read_documents, shared_prefixes, whole_sets,
+)
 from wardlight.session import small_side
 
 BLOCK = 256  # members of one tree
@@ -31,21 +33,6 @@ TASK_ROWS = 2_000  # members that one task holds at a time, on average
 FAN_OUT = 4
 
 
-def shared_prefixes(members: DataFrame) -> DataFrame:
-    """v, n, prefix: the shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by.
-
-    A shingle is moved as one number: how many classes hold it, up to 2 ** 15 - 1, before the first 48 bits of its hash.
-    Numbers that several shingles share are found together, which verification sorts out.
-    """
-    exploded = members.select("v", "n", F.explode("hashes").alias("h"))
-    held = written(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared_shingles")
-    rarity = F.shiftleft(F.least(F.col("df"), F.lit((1 << 15) - 1)).cast("bigint"), 48)
-    code = rarity.bitwiseOR(F.shiftrightunsigned("h", 16))
-    ranked = exploded.join(held, "h").groupBy("v", "n").agg(F.sort_array(F.collect_list(code)).alias("own"))
-    spare = F.size("own") - needed(F.col("n")) + 1  # shared shingles within the prefix; the unshared come before them
-    return ranked.where(spare > 0).select("v", "n", F.slice("own", F.lit(1), spare).alias("prefix"))
-
-
 def buckets(prefixed: DataFrame) -> DataFrame:
     """h, leader, v, n: members of every bucket, each set of members once."""
     rows = prefixed.select("v", "n", F.explode("prefix").alias("h"))

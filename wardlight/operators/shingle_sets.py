@@ -17,19 +17,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.session import stored
+from wardlight.session import small_side, stored
 
 WORDS = 5
 PERCENT = 75
 FILTER_BITS = (1 << 22, 1 << 28)  # least and largest size of the filter that spares most classes a second reading
 BITS_A_CLASS = 64
 EARLY_SHARE = 5  # a fifth of a set more than the least prefix is compared early
-WINDOW_SHINGLES = 2_000_000  # early shingles that a Python worker combines before it sends them on
+WINDOW_SHINGLES = 1_500_000  # early shingles that a Python worker combines before it sends them on
 WINDOW_CLASSES = 30_000
 BUCKET_ROWS = 12_000  # documents to a bucket of early shingles: some 2 million entries, of which several are of one class
 REMEMBERED = 200_000  # word hashes that one Python worker keeps
 CREDIT_CLASSES = 1_000_000  # classes whose credits one task adds up before it sends them on
 CREDITS_A_PART = 20_000  # classes whose credits meet in one group
+PREFIX_SHINGLES = 1_000_000  # shingles of whole sets that a worker combines before it asks how common they are; about as many meet in one bucket
+MOST_COMMON = (1 << 15) - 1  # shingles held by more classes count as held by so many
 
 
 def text_of(df: DataFrame, column: str) -> Column:
@@ -113,7 +115,7 @@ class Window:
     def add(self, x: int, hashes: np.ndarray) -> None:
         if x not in self.seen:
             self.seen[x] = len(self.seen)
-            self.hashes.append(hashes)
+            self.hashes.append(hashes.copy())  # a part of a set would keep the whole of it
             self.size += len(hashes)
 
     def full(self) -> bool:
@@ -126,18 +128,19 @@ class Window:
         if not self.seen:
             return
         xs = np.array(list(self.seen), "int64")
-        owner = np.repeat(np.arange(len(xs)), [len(h) for h in self.hashes])
+        owner = np.repeat(np.arange(len(xs), dtype="u2"), [len(h) for h in self.hashes])
         h = np.concatenate(self.hashes).view("uint64")
+        self.hashes = []
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
+        del order
         first = np.append(True, h[1:] != h[:-1])
-        group = np.cumsum(first) - 1
-        several = (np.bincount(group) > 1)[group]
+        several = ~(first & np.append(first[1:], True))
         credit = np.bincount(owner[several], minlength=len(xs))
         got = np.flatnonzero(credit)
         yield -1, credit[got].astype("<u4").tobytes(), b"", xs[got].tobytes()
         h, owner, several = h[first], owner[first], several[first]
-        bucket = (h >> np.uint64(64 - self.bits)).astype("int64")
+        bucket = (h >> np.uint64(64 - self.bits)).astype("i4")
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
             classes, at = np.unique(owner[start:end], return_inverse=True)
@@ -268,11 +271,11 @@ def credits(read: DataFrame, parts: int) -> DataFrame:
     return across.unionByName(within).groupBy("part").applyInPandas(total, "x bigint, credit bigint")
 
 
-def _bits_of(keys: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of ``size`` bits over the hashes of ``key``: at most 8,192 rows of 4 KB, whatever the table."""
+def _bits_of(hashes: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits over the only column of ``hashes``: at most 8,192 rows of 4 KB, whatever the table."""
     # Spark's bitmap functions number bits from 1
-    at = F.pmod(F.xxhash64("key"), F.lit(size)) + 1
-    rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+    at = F.pmod(F.col(hashes.columns[0]), F.lit(size)) + 1
+    rows = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(size // 8, "u1")
     for r in rows:
@@ -281,40 +284,181 @@ def _bits_of(keys: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes have their bit set."""
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1).astype(bool)
+
+
 def whole_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """key, class, n, hashes, v (a number) of the classes in ``wanted`` (class, key of one of its rows), each once; stored."""
+    """key, class, n, hashes, v (a number) of the classes in ``wanted`` (class, key of one of its rows), each once; stored.
+
+    Two bitmaps, over keys and over keys with their class, find the rows in the task that reads them, so sets are stored
+    where they are made.  The few rows that only the bitmaps take for wanted are named by a join without sets.
+    """
     spark = df.sparkSession
     size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (wanted.count() * BITS_A_CLASS).bit_length()))
-    bits = spark.sparkContext.broadcast(_bits_of(wanted, size))
+    bits = spark.sparkContext.broadcast((
+        _bits_of(wanted.select(F.xxhash64("key")), size), _bits_of(wanted.select(F.xxhash64("key", "class")), size)))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, marks = Shingler(), bits.value
+        shingler, (keys, pairs) = Shingler(), bits.value
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
-                at = batch.column(2).to_numpy()
-                rows = np.flatnonzero(marks[at >> 3] >> (at & 7).astype("u1") & 1)
-                classes, sets = [], []
-                for row in rows.tolist():
+                hashes = batch.column(2).to_numpy().view("uint64")
+                rows, classes, sets = [], [], []
+                for row in np.flatnonzero(_marked(keys, hashes)).tolist():
                     words = shingler.words(batch.column(1)[row].as_py())
-                    classes.append(blake2b(b" ".join(words), digest_size=16).digest())
-                    sets.append(shingler.sets(words))
+                    digest = blake2b(b" ".join(words), digest_size=16).digest()
+                    # Spark's xxhash64 of (key, class): that of the key is the seed for the class
+                    if _marked(pairs, np.array([xxhash.xxh64_intdigest(digest, int(hashes[row]))], "uint64"))[0]:
+                        rows.append(row)
+                        classes.append(digest)
+                        sets.append(shingler.sets(words))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(classes, "binary"),
+                    [batch.column(0).take(pa.array(rows, "int64")), pa.array(classes, "binary"),
                      pa.array([len(s) for s in sets], "int32"), pa.array(sets, pa.list_(pa.int64()))],
                     ["key", "class", "n", "hashes"],
                 )
 
-    rows = df.select(
-        df[key].alias("key"), text_of(df, text).alias("text"),
-    ).withColumn("at", F.pmod(F.xxhash64("key"), F.lit(size)))
+    rows = df.select(df[key].alias("key"), text_of(df, text).alias("text")).withColumn("at", F.xxhash64("key"))
     read = rows.mapInArrow(run, f"key {kind}, class binary, n int, hashes array<bigint>")
+    found = stored(read.withColumn("v", F.monotonically_increasing_id()), "members", compression="none")
     right = wanted.select(F.col("class").alias("c"), F.col("key").alias("k"))
-    found = read.join(right, (read["class"] == right["c"]) & read["key"].eqNullSafe(right["k"]), "left_semi")
-    found = stored(found.select("key", "class", "n", "hashes", F.monotonically_increasing_id().alias("v")), "members", compression="none")
+    named = found.select("key", "class", "v")
+    wrong = stored(named.join(right, (named["class"] == right["c"]) & named["key"].eqNullSafe(right["k"]), "left_anti").select("v"), "unwanted")
+    if wrong.head(1):
+        found = found.join(small_side(wrong), "v", "left_anti").select(found.columns)
     # only a repeated row with the same key gives a class twice; sets are moved for these alone
     twice = found.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class")
     if not twice.head(1):
         return found
     return found.join(twice, "class", "left_anti").unionByName(found.join(twice, "class", "left_semi").dropDuplicates(["class"]))
+
+
+# --- the rarest shingles of whole sets -----------------------------------------------------------------------------
+
+def _questions(number: int, bits: int, vs: np.ndarray, ns: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """Rows (window, bucket, h, df, owner) of one window of classes.  Bucket -1 names the classes (v for h, n for owner)
+    and stays in the window; the others hold the least 32 bits of the shingles of a bucket, each once, and the places of the
+    classes that hold them, the first of each shingle marked."""
+    owner = np.repeat(np.arange(len(vs), dtype="u2"), ns)
+    h = hashes.view("uint64")
+    code = h >> np.uint64(64 - bits) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    del order
+    first = np.append(True, code[1:] != code[:-1])[: len(code)]
+    marked = (owner | first.astype("u2") << 15).astype("<u2")
+    bucket = (code >> np.uint64(32)).astype("i4")
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket)).tolist()
+    rows = [(number, -1, vs.astype("<i8").tobytes(), b"", ns.astype("<i4").tobytes())]
+    for start, end in zip(edges[:-1], edges[1:]):
+        least = (code[start:end][first[start:end]] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        rows.append((number, int(bucket[start]), least.tobytes(), b"", marked[start:end].tobytes()))
+    return _asked(rows)
+
+
+ASKED = "window bigint, bucket int, h binary, df binary, owner binary"
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["window", "bucket", "h", "df", "owner"])
+
+
+def _answers(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    """The rows of one bucket with how many entries each shingle has in all windows, less the shingles that have one."""
+    hashes = [np.frombuffer(h, "<u4") for _, h, _ in rows]
+    owners = [np.frombuffer(o, "<u2") for _, _, o in rows]
+    held = [np.diff(np.append(np.flatnonzero(o >> 15), len(o))) for o in owners]
+    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    df = np.bincount(at, np.concatenate(held), minlength=len(known)).astype("int64")[at]
+    out, start = [], 0
+    for (window, _, _), h, o, n in zip(rows, hashes, owners, held):
+        own, start = df[start : start + len(h)], start + len(h)
+        shared = own > 1
+        if shared.any():
+            out.append((window, bucket, h[shared].tobytes(), np.minimum(own[shared], MOST_COMMON).astype("<u2").tobytes(),
+                        o[np.repeat(shared, n)].tobytes()))
+    return _asked(out)
+
+
+def _prefixes(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    """(v, n, prefix) of the classes of one window from all its rows (bucket, h, df, owner)."""
+    vs, ns, codes, owners = np.zeros(0, "<i8"), np.zeros(0, "<i4"), [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    for bucket, h, df, owner in rows:
+        if bucket < 0:
+            vs, ns = np.frombuffer(h, "<i8"), np.frombuffer(owner, "<i4")
+            continue
+        marked = np.frombuffer(owner, "<u2")
+        code = np.frombuffer(df, "<u2").astype("int64") << 48 | bucket << 32 | np.frombuffer(h, "<u4").astype("int64")
+        codes.append(code[np.cumsum(marked >> 15, dtype="int64") - 1])
+        owners.append((marked & 0x7FFF).astype("int64"))
+    code, owner = np.concatenate(codes), np.concatenate(owners)
+    order = np.lexsort((code, owner))
+    code, own = code[order], np.bincount(owner, minlength=len(vs))
+    spare = own - (ns.astype("int64") * PERCENT + 99) // 100 + 1  # shared shingles within the prefix; the unshared come before them
+    rank = np.arange(len(code)) - np.repeat(np.cumsum(own) - own, own)
+    values = code[rank < np.repeat(spare, own)]
+    got = spare > 0
+    offsets = np.append(0, np.cumsum(spare[got]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(vs[got], "int64"), pa.array(ns[got], "int32"),
+         pa.ListArray.from_arrays(pa.array(offsets, "int32"), pa.array(values, "int64"))], ["v", "n", "prefix"])
+
+
+def shared_prefixes(members: DataFrame) -> DataFrame:
+    """v, n, prefix: the shingles, rarest first, that a linked partner of ``members`` (v, n, hashes) must be found by.
+
+    A shingle is one number: how many classes hold it, up to MOST_COMMON, before the first bits (those of its bucket) and
+    the last 32 of its hash.  Numbers that several shingles share are counted and found together, in one order for all
+    sets, which verification sorts out.  Windows of classes send each of their shingles once to the shingle's bucket and
+    get the shared ones back with their counts; sets stay where they are.
+    """
+    total = members.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    bits = min(16, max(6, (total // PREFIX_SHINGLES).bit_length()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, size = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                hashes = batch.column(2)
+                window.append((batch.column(0).to_numpy(), np.diff(hashes.offsets.to_numpy()), hashes.flatten().to_numpy()))
+                size += len(window[-1][2])
+                if size >= PREFIX_SHINGLES or len(window) * 500 >= WINDOW_CLASSES:
+                    yield _questions(int(window[0][0][0]), bits, *(np.concatenate(c) for c in zip(*window)))
+                    window, size = [], 0
+        if window:
+            yield _questions(int(window[0][0][0]), bits, *(np.concatenate(c) for c in zip(*window)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _runs(batches, 1):
+            yield _answers(bucket, [(window, h, owner) for window, _, h, _, owner in rows])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, 0):
+            yield _prefixes([row[1:] for row in rows])
+
+    asked = stored(members.select("v", "n", "hashes").mapInArrow(ask, ASKED), "asked", compression="zstd")
+    answered = asked.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, ASKED)
+    whole = asked.where("bucket < 0").unionByName(answered)
+    return whole.repartition("window").sortWithinPartitions("window").mapInArrow(cut, "v bigint, n int, prefix array<bigint>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of sorted batches, those with the same value in column ``by`` together."""
+    value, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[by] != value:
+                yield value, rows
+                rows = []
+            value = row[by]
+            rows.append(row)
+    if rows:
+        yield value, rows
