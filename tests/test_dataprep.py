@@ -170,3 +170,28 @@ def test_stop_words_by_list_and_by_language(spark):
     expected = {"bomb", "gun", "c4", "bomb gun", "gun c4", "bomb gun c4"}
     for stop in (["the", "and"], "english"):
         assert {r["gram"] for r in ngram_counts(df, 3, stop).collect()} == expected
+
+
+def test_most_frequent_grams_by_codes_and_by_texts(spark, monkeypatch):
+    """The same grams, ties in text order, where codes tell them, where all tie, and where codes collide."""
+    from pyspark.sql import functions as F
+
+    from wardlight.operators import ngrams
+
+    texts = [" ".join(f"w{j:03d}" for j in range(60) if i % (j + 1) == 0) for i in range(1, 400)]
+    df = spark.createDataFrame([(t, "a" if i % 2 else "b") for i, t in enumerate(texts)], "prompt string, label string")
+    sums = [F.count_if(F.col("label") == "a").alias("a")]
+    every = ngrams.ngram_counts(df, 2).orderBy(F.desc("n"), "gram").collect()
+    assert len(every) > 100
+    plain, counted = F.xxhash64, []
+    monkeypatch.setattr(ngrams, "top_ngrams", lambda rows, size, top=ngrams.top_ngrams: counted.append(rows) or top(rows, size))
+    for size in (5, 20, 60, len(every), len(every) + 5):
+        found = ngrams.most_frequent(df, size, 2, sums=sums, keep=("label",)).collect()
+        assert sorted((-r["n"], r["gram"]) for r in found) == [(-r["n"], r["gram"]) for r in every[:size]]
+        assert all(r["a"] <= r["n"] for r in found)
+    counted.clear()
+    ngrams.most_frequent(df, 5, 2).collect()
+    assert len(counted) == 1 and "left_semi" not in str(counted) and "LeftSemi" in counted[0]._jdf.queryExecution().toString()
+    monkeypatch.setattr(ngrams.F, "xxhash64", lambda *c: plain(*c) % 40)
+    got = ngrams.most_frequent(df, 9, 2).collect()
+    assert sorted((-r["n"], r["gram"]) for r in got) == [(-r["n"], r["gram"]) for r in every[:9]]

@@ -13,6 +13,7 @@ from wardlight.session import stored
 
 LEAK_VOCABULARY, LEAK_NGRAMS = 5000, 3
 BASELINE_VOCABULARY, BASELINE_NGRAMS = 1000, 2
+CODES_A_GRAM = 4  # so many times the grams that are asked for are looked at as codes, to see where ties at the border end
 StopWords = list[str] | str | None
 
 
@@ -57,23 +58,44 @@ def top_ngrams(counts: DataFrame, size: int) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), "gram").limit(size)
 
 
+def most_frequent(df: DataFrame, size: int, longest: int = LEAK_NGRAMS, stop_words: StopWords = None,
+                  sums: list[Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """gram, n and ``sums`` (over the columns in ``keep``) of the ``size`` most frequent grams, ties in text order.
+
+    Grams are counted by 64-bit codes first, so that no text is moved but that of the grams whose codes are as frequent as
+    the last one needed.  A code counts at least as much as each of its grams, so these hold all that are asked for unless
+    fewer than ``size`` of them are so frequent themselves; then, and where too many codes tie at the border, all grams are
+    counted by their texts.
+    """
+    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", *keep)
+    code = F.xxhash64("gram")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return top_ngrams(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *(sums or [])), size)
+
+    codes = grams.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    best = codes.orderBy(F.col("n").desc(), "code").limit(CODES_A_GRAM * size).collect()  # bounded by ``size``
+    if len(best) < size or len(best) == CODES_A_GRAM * size and best[-1]["n"] == best[size - 1]["n"]:
+        return counted(grams)
+    least = best[size - 1]["n"]
+    heavy = df.sparkSession.createDataFrame([(r["code"],) for r in best if r["n"] >= least], "code bigint")
+    found = stored(counted(grams.join(F.broadcast(heavy), code == heavy["code"], "left_semi")), "frequent_grams")
+    if found.where(F.col("n") >= least).count() < size:
+        return counted(grams)
+    return found
+
+
 def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign", longest: int = LEAK_NGRAMS,
                vocabulary: int = LEAK_VOCABULARY, top: int = 20, stop_words: StopWords = None) -> DataFrame:
     """Grams whose mean count per prompt differs most between two labels.
 
-    Prompts without the gram count as zero in the mean.  One aggregate carries the corpus frequency and both label
-    sums, so the text is tokenised and shuffled once.
+    Prompts without the gram count as zero in the mean.  Both label sums are counted for the vocabulary alone.
     """
-    grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", "label")
-    counted = grams.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("label") == first).alias("_a"),
-        F.count_if(F.col("label") == second).alias("_b"),
-    )
+    labels = [F.count_if(F.col("label") == first).alias("_a"), F.count_if(F.col("label") == second).alias("_b")]
     sizes = df.agg(F.struct(
         F.count_if(F.col("label") == first).alias("a"), F.count_if(F.col("label") == second).alias("b")
     ).alias("s")).scalar()  # one subquery for both sizes
-    known = top_ngrams(counted, vocabulary).select(
+    known = most_frequent(df, vocabulary, longest, stop_words, labels, ("label",)).select(
         "gram",
         (F.col("_a") / sizes["a"]).alias("mean_first"),
         (F.col("_b") / sizes["b"]).alias("mean_second"),
@@ -84,7 +106,7 @@ def ngram_bias(df: DataFrame, first: str = "adversarial", second: str = "benign"
 
 def vocabulary_of(df: DataFrame, size: int, longest: int, stop_words: StopWords = None) -> list[str]:
     """The ``size`` most frequent grams in text order.  ``size`` bounds what comes to the driver."""
-    return sorted(row["gram"] for row in top_ngrams(ngram_counts(df, longest, stop_words), size).collect())
+    return sorted(row["gram"] for row in most_frequent(df, size, longest, stop_words).collect())
 
 
 def tfidf_long(df: DataFrame, size: int = BASELINE_VOCABULARY, longest: int = BASELINE_NGRAMS,

@@ -905,7 +905,7 @@ def ngram_counts(spark, folder):
 
 @query
 def top_ngrams(spark, folder):
-    return ngrams.top_ngrams(ngrams.ngram_counts(spread_clean(spark, folder)), ngrams.LEAK_VOCABULARY)
+    return ngrams.most_frequent(spread_clean(spark, folder), ngrams.LEAK_VOCABULARY)
 
 
 @query
