@@ -208,6 +208,31 @@ def test_whole_sets_are_the_wanted_ones(spark, monkeypatch):
     assert all(r["key"] in by_class[bytes(r["class"])] for r in got.collect())
 
 
+def test_workers_hold_only_what_the_step_needs(spark):
+    """A window holds early shingles, not the sets they were cut from, and the words of an earlier step are given back."""
+    from wardlight.llm import common, toxicity
+    from wardlight.operators.shingle_sets import Window
+
+    window = Window(6)
+    window.add(1, np.arange(1000)[:10])
+    assert window.hashes[0].base is None and window.size == 10
+
+    def words_after(batches):
+        common.ENCODERS["earlier"] = object()
+        yield from (b.slice(0, 0) for b in step(batches))
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array([len(common.ENCODERS)], "int64")], ["n"])
+
+    class Rows:  # takes the place of a table, to run its task here
+        columns, dtypes, sparkSession = ["key", "text"], [("key", "bigint"), ("text", "string")], spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    step = toxicity.feature_counts(Rows(), ["1 w a"])
+    assert [b.column(0).to_pylist() for b in words_after(iter([]))] == [[0]]
+
+
 def test_tree_links_are_complete():
     """Dual traversal against all pairs, within one tree and between two, without any pruning by components at first."""
     rng = np.random.default_rng(2)

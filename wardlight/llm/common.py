@@ -128,6 +128,11 @@ def word_encoder(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
+def forget_words() -> None:
+    """Gives back what the encoder of an earlier step holds; steps without one call it in their tasks."""
+    ENCODERS.clear()
+
+
 def arrow_rows(batches: Iterable[pa.RecordBatch], size: int = 2_000) -> Iterator[list[dict]]:
     """Rows of Arrow batches in small lists."""
     for batch in batches:

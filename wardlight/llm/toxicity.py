@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import text_of, written
+from wardlight.llm.common import forget_words, text_of, written
 
 PER_CLASS = 3_000
 FEATURES = 2_048
@@ -111,6 +111,7 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
     kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes[:-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         number, memory = shared.value, {}
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
