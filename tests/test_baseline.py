@@ -26,3 +26,23 @@ def test_optimum_and_label_order(spark):
     assert row["f1"] == 1.0
     scored = model.transform(train)
     assert scored.where((F.col("p") < 0) | (F.col("p") > 1)).count() == 0
+
+
+def test_features_from_stored_grams(spark, monkeypatch):
+    """Texts are read twice, and vocabulary and features are those of plain counts, where codes tell grams and where they collide."""
+    from wardlight.operators import ngrams
+
+    texts = [" ".join(f"w{j:03d}" for j in range(60) if i % (j + 1) == 0) for i in range(1, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, prompt string")
+    every = ngrams.ngram_counts(df, 2).orderBy(F.desc("n"), "gram").collect()
+    plain, cut = F.xxhash64, []
+    monkeypatch.setattr(ngrams, "frequent_codes", lambda *a, f=ngrams.frequent_codes: cut.append(f(*a)) or cut[-1])
+    for code in (plain, lambda *c: plain(*c) % 40):
+        monkeypatch.setattr(ngrams.F, "xxhash64", code)
+        model = TfIdf(size=9)
+        fitted = model.fit_transform(df)
+        assert model.vocabulary == sorted(r["gram"] for r in every[:9])
+        assert "prompt" not in fitted.columns and fitted.count() == len(texts)
+        again = {r["row_id"]: r["features"] for r in model.transform(df).collect()}
+        assert {r["row_id"]: r["features"] for r in fitted.collect()} == again
+    assert cut[0] is not None

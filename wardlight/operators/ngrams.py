@@ -58,6 +58,19 @@ def top_ngrams(counts: DataFrame, size: int) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), "gram").limit(size)
 
 
+def frequent_codes(grams: DataFrame, size: int) -> tuple[list[int], int] | None:
+    """The 64-bit codes of ``gram`` that are as frequent as the ``size``-th one, and how often that one is there.
+
+    None where there are fewer codes, or too many tie with it.  A code counts at least as much as each of its grams.
+    """
+    codes = grams.groupBy(F.xxhash64("gram").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    best = codes.orderBy(F.col("n").desc(), "code").limit(CODES_A_GRAM * size).collect()  # bounded by ``size``
+    if len(best) < size or len(best) == CODES_A_GRAM * size and best[-1]["n"] == best[size - 1]["n"]:
+        return None
+    least = best[size - 1]["n"]
+    return [r["code"] for r in best if r["n"] >= least], least
+
+
 def most_frequent(df: DataFrame, size: int, longest: int = LEAK_NGRAMS, stop_words: StopWords = None,
                   sums: list[Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """gram, n and ``sums`` (over the columns in ``keep``) of the ``size`` most frequent grams, ties in text order.
@@ -68,18 +81,16 @@ def most_frequent(df: DataFrame, size: int, longest: int = LEAK_NGRAMS, stop_wor
     counted by their texts.
     """
     grams = exploded(with_ngrams(df, longest, stop_words), "_grams", "gram", *keep)
-    code = F.xxhash64("gram")
 
     def counted(rows: DataFrame) -> DataFrame:
         return top_ngrams(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *(sums or [])), size)
 
-    codes = grams.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    best = codes.orderBy(F.col("n").desc(), "code").limit(CODES_A_GRAM * size).collect()  # bounded by ``size``
-    if len(best) < size or len(best) == CODES_A_GRAM * size and best[-1]["n"] == best[size - 1]["n"]:
+    known = frequent_codes(grams, size)
+    if known is None:
         return counted(grams)
-    least = best[size - 1]["n"]
-    heavy = df.sparkSession.createDataFrame([(r["code"],) for r in best if r["n"] >= least], "code bigint")
-    found = stored(counted(grams.join(F.broadcast(heavy), code == heavy["code"], "left_semi")), "frequent_grams")
+    codes, least = known
+    heavy = df.sparkSession.createDataFrame([(c,) for c in codes], "code bigint")
+    found = stored(counted(grams.join(F.broadcast(heavy), F.xxhash64("gram") == heavy["code"], "left_semi")), "frequent_grams")
     if found.where(F.col("n") >= least).count() < size:
         return counted(grams)
     return found
@@ -137,15 +148,36 @@ class TfIdf:
     def _grams(self, df: DataFrame) -> DataFrame:
         return with_ngrams(df, self.longest, self.stop_words)
 
+    def _fit_vocabulary(self, train: DataFrame, text: str) -> DataFrame:
+        """Finds the vocabulary; gives ``train`` without its texts, with ``_grams`` that hold all of the vocabulary.
+
+        Grams whose codes are frequent are stored by row, so that one pass over the texts serves the exact counts and the
+        features.
+        """
+        rows = with_ngrams(train, self.longest, self.stop_words, text)
+        known = frequent_codes(exploded(rows, "_grams", "gram"), self.size)
+        if known is not None:
+            codes, least = known
+            kept = rows.withColumn("_grams", F.filter("_grams", lambda g: F.xxhash64(g).isin(codes))).drop(text)
+            kept = stored(kept, "frequent_grams")
+            counts = exploded(kept, "_grams", "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            best = top_ngrams(counts, self.size).collect()
+            if sum(r["n"] >= least for r in best) >= self.size:
+                self.vocabulary = sorted(r["gram"] for r in best)
+                return kept
+        counts = exploded(rows, "_grams", "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        self.vocabulary = sorted(r["gram"] for r in top_ngrams(counts, self.size).collect())
+        return rows.drop(text)
+
     def fit(self, train: DataFrame) -> TfIdf:
         self.fit_transform(train)
         return self
 
     def fit_transform(self, train: DataFrame, text: str = "prompt") -> DataFrame:
         """``train`` without its texts, with ``features``; counts are stored, so that all passes of a fit read these."""
-        self.vocabulary = vocabulary_of(train, self.size, self.longest, self.stop_words)
+        grams = self._fit_vocabulary(train, text)
         self.counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="_tf")
-        counted = stored(self.counter.transform(self._grams(train)).drop("_grams", text), "term_counts")
+        counted = stored(self.counter.transform(grams).drop("_grams"), "term_counts")
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf
         self.weights = ElementwiseProduct(
             scalingVec=Vectors.dense([value + 1.0 for value in idf]), inputCol="_tf", outputCol="_weighted"
